@@ -18,7 +18,23 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs).join(sha, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
+#: host, path, action
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relmill.llm.url_filter import url_filter
+
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relmill.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op10_toxicity)}
 
 SQL = {
     "op3_exact_dedup": """

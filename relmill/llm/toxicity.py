@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are the distinct words, pairs of neighbours and pairs one and two words apart of a text,
-hashed into 2^22 slots. FTRL-proximal keeps a learning rate per coordinate, and its L1 term holds the
+Features are the distinct words and word stems of four and five bytes, pairs of neighbours and pairs
+one and two words apart of a text, hashed into 2^22 slots. FTRL-proximal keeps a learning rate per coordinate, and its L1 term holds the
 weight of every feature without steady evidence at exactly zero, so the model that is sent to the
 executors is a short list of slots. Training reads a bounded, class-balanced sample of labelled rows
 (``per_class``); scoring reads every text whole.
@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import M1, M2, M3, LOWER, SPACE, mix, raw, slices, token_spans
+from relmill.llm.common import KEEP, LOWER, M1, M2, M3, SPACE, mix, raw, slices, token_spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -31,8 +31,6 @@ TO_WORD[NOT_WORD] = 32
 
 def features(texts) -> tuple[np.ndarray, np.ndarray]:
     """Slots of all n-grams and skip-grams of a batch and the texts' numbers; repeats are still there."""
-    from relmill.llm.common import KEEP
-
     data, offsets = raw(texts)
     low = np.full(len(data) + 8, 32, np.uint8)
     low[: len(data)] = TO_WORD[data]
@@ -46,6 +44,8 @@ def features(texts) -> tuple[np.ndarray, np.ndarray]:
         more = left > 8
         where, at, left = where[more], at[more] + 8, left[more] - 8
     slots, docs = [h], [doc]
+    for stem in (4, 5):  # unigrams of stems, so that an inflection that was never labelled still counts
+        slots.append(mix((view[starts] & KEEP[np.minimum(size, stem)]) * M1 + np.uint64(stem))), docs.append(doc)
     for gap in (1, 2, 3):
         same = doc[gap:] == doc[:-gap]
         slots.append(mix(h[:-gap][same] * M2 + h[gap:][same] + np.uint64(gap))), docs.append(doc[gap:][same])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from relmill.llm.common import Scratch
 
 
-def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 32, growth: int = 6) -> DataFrame:
+def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 256, growth: int = 6) -> DataFrame:
     """(keep_id, group_size, doc_id) of every text that equals another one; keep_id has the largest id.
 
     Null counts as empty. Rows with a null id are left out. Ids are taken as unique; a repeated row is
@@ -35,7 +35,8 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not n_open and not n_ended:
             break
         # one pass hands each member its group: ended groups need no more bytes, open ones lose the digit
-        split = keyed.join(counts, ["grp", "digit"]).select(
+        # (shuffled at every size: whether the counts would fit a broadcast depends on the data)
+        split = keyed.join(counts.hint("merge"), ["grp", "digit"]).select(
             F.col("top").alias("grp"), "id", F.when(F.col("ended"), F.lit(None)).otherwise(F.expr(f"substring(rest, {width + 1})")).alias("rest"), "n", "ended"
         )
         split = scratch.store(split, f"radix-split-{width}")
@@ -58,6 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = radix_groups(docs, id_col, text_col)
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     keep = F.coalesce("keep_id", "doc_id")
+    groups = groups.dropDuplicates(["doc_id"])  # a repeated row is in its group twice
     return ids.join(groups, "doc_id", "left").select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept")
     )

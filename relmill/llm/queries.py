@@ -28,6 +28,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from relmill.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from relmill.llm.embedding_dedup import embedding_dedup
 
@@ -40,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op9_embedding_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity)}
 
 SQL = {
     "op3_exact_dedup": """

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relmill.llm.interpolated_lm import interpolated_lm
+
+    return interpolated_lm(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from relmill.llm.exact_dedup import exact_dedup
 
@@ -48,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_exact_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_interpolated_lm, op3_exact_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity)}
 
 SQL = {
     "op3_exact_dedup": """

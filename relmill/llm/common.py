@@ -14,7 +14,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Executors get the small helpers below with each task and need no copy of this package.
@@ -169,3 +169,71 @@ def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
         more = left > 8
         where, at, left = where[more], at[more] + 8, left[more] - 8
     return h, doc
+
+
+# ------------------------------------------------------------------------------------------------
+# Ranks and links without an unbounded group in one task.
+
+
+def dealt_rank(df: DataFrame, scratch: Scratch, by: str, order: list[str], rows: int, per_task: int = 200_000) -> DataFrame:
+    """Adds ``rank``, from 0 within ``by``. A group is dealt to salts by a hash of ``order`` and ranked inside
+    each; the salts' counts, pre-aggregated, give where each salt begins. Hot groups spread over all salts."""
+    salts = max(1, -(-rows // per_task))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    counts = salted.groupBy(by, "_salt").agg(F.count("*").alias("_n"))
+    begin = F.sum("_n").over(Window.partitionBy(by).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
+    begins = scratch.store(counts.select(F.col(by).alias("_by"), F.col("_salt").alias("_s"), F.coalesce(begin, F.lit(0)).alias("_begin")), "rank-begins")
+    ranked = salted.withColumn("_rn", F.row_number().over(Window.partitionBy(by, "_salt").orderBy(*order)))
+    joined = ranked.join(begins, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_salt") == F.col("_s")))
+    return joined.withColumn("rank", F.col("_begin") + F.col("_rn") - 1).drop("_by", "_s", "_salt", "_begin", "_rn")
+
+
+def linked_groups(members: DataFrame, scratch: Scratch, verify, fits=None, small: int = 16, salts: int = 16) -> DataFrame:
+    """(node, component) of the ids that verified links join; ids without a link are absent.
+
+    members: key, id and attributes. Ids that share a key are candidates, ``fits(a, b)`` is a condition on
+    two members' attributes, ``verify(pairs)`` keeps the true links of (a, b). Keys with up to ``small``
+    members give all their pairs. Larger keys first test every member against one head, then against
+    ``salts`` heads, and at last only those pairs whose members are still in different components. No pair
+    that could join two components is left out, yet a group that its heads connect never makes all pairs.
+    """
+    cols = [c for c in members.columns if c not in ("key", "id")]
+    sizes = scratch.store(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
+    live = scratch.store(members.join(sizes.hint("merge"), "key"), "key-members")
+    spare = lambda side, df: df.select("key", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "key"])
+    ok = fits({c: F.col(f"a_{c}") for c in cols}, {c: F.col(f"b_{c}") for c in cols}) if fits else F.lit(True)
+    few = live.where(F.col("n") <= small).drop("n")
+    pairs = spare("a", few).join(spare("b", few), "key").where((F.col("a_id") < F.col("b_id")) & ok).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    many = live.where(F.col("n") > small).drop("n")
+    has_many = bool(many.take(1))
+    heads = lambda df, k: df.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(k)).alias("_s")).agg(F.min("id").alias("id")).drop("_s")
+
+    def across(df: DataFrame, k: int) -> DataFrame:
+        """Pairs of every member with the k heads of its key, where the components differ."""
+        top = scratch.store(heads(df, k).join(df, ["key", "id"]).dropDuplicates(["key", "id"]), "heads")
+        new = spare("a", top).join(spare("b", df), "key").where((F.col("a_id") != F.col("b_id")) & (F.col("a_c") != F.col("b_c")) & ok)
+        return new.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+
+    if has_many:
+        pairs = pairs.unionByName(across(many.withColumn("c", F.col("id")), 1))
+    tested = scratch.store(pairs.distinct(), "pairs")
+    links = scratch.store(verify(tested).select("a", "b"), "links")
+    groups = scratch.store(connected_components(links, scratch), "groups")
+    for k in (salts, None) if has_many else ():
+        placed = many.join(groups.select(F.col("node").alias("id"), F.col("component").alias("c")).hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id"))
+        open_keys = scratch.store(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "open-keys")
+        if not open_keys.take(1):
+            break
+        placed = scratch.store(placed.join(open_keys.hint("merge"), "key"), "open")
+        if k:
+            new = across(placed, k)
+        else:
+            both = spare("a", placed).join(spare("b", placed), "key").where((F.col("a_id") < F.col("b_id")) & (F.col("a_c") != F.col("b_c")) & ok)
+            new = both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        fresh = scratch.store(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = scratch.store(verify(fresh).select("a", "b"), "links")
+        tested, grown = tested.unionByName(fresh), more.take(1)
+        if grown:
+            links = links.unionByName(more)
+            groups = scratch.store(connected_components(links, scratch), "groups")
+    return groups

@@ -16,10 +16,10 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import KEEP, M1, M3, Scratch, mix, raw, slices, token_spans
+from relmill.llm.common import KEEP, M1, M3, Scratch, dealt_rank, mix, raw, slices, token_spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -233,13 +233,6 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, id_col: str =
     if not histogram:
         return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     runs = plan(histogram, length)
-    # ranks within a length: a count per (length, salt) first, so that a hot length is dealt over many tasks
-    salts = max(1, -(-sum(histogram.values()) // 200_000))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
-    counts = salted.groupBy("length", "salt").count()
-    before = F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
-    before = scratch.store(counts.select("length", "salt", F.coalesce(before, F.lit(0)).alias("before")), "ranks")
-    ranked = salted.withColumn("rn", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")))
-    ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", (F.col("before") + F.col("rn") - 1).cast("long"))
+    ranked = dealt_rank(pieces, scratch, "length", ["doc_id", "piece"], sum(histogram.values())).withColumn("rank", F.col("rank").cast("long"))
     cols = [f.name for f in pieces.schema]
     return ranked.select(*cols, "rank").mapInArrow(_place(runs), schema + ", sequence_id long, offset long")

@@ -34,6 +34,29 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+#: The sources of the synthetic documents, in equal parts.
+SOURCE_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
+
+
+def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, source, and the block, slot, place in the block, window and phase of every document."""
+    from relmill.llm.mixing import mix
+
+    out = mix(table(spark, sf_dir, "documents").select("doc_id", "source"), SOURCE_WEIGHTS)
+    return out.select("doc_id", "source", *[F.col(f"_{c}").alias(c) for c in ("block", "slot", "place", "release", "deadline", "phase")])
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the number of its lines, the numbers of those removed and how many they are."""
+    from relmill.llm.line_dedup import removed_lines
+
+    docs = table(spark, sf_dir, "documents")
+    n = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    gone = removed_lines(docs)
+    lines = F.coalesce("lines", F.array().cast("array<int>"))
+    return n.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(lines).cast("long").alias("n_removed"), lines.alias("removed_lines"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -54,7 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_interpolated_lm, op3_exact_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_interpolated_lm, op3_exact_dedup, op6_pfair_mixing, op7_line_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity)}
 
 SQL = {
     "op3_exact_dedup": """

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import sys
+import types
 import zlib
 from collections import defaultdict
 
@@ -19,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import KEEP, M1, M3, Scratch, dealt_rank, mix, raw, slices, token_spans
+from relmill.llm.common import KEEP, LOWER, M1, M3, Scratch, dealt_rank, mix, raw, slices, token_spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -112,48 +113,87 @@ def plan(histogram: dict[int, int], length: int) -> np.ndarray:
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
+#: Bytes that always end a run of letters in the vocabulary's own splitting. Left out: the apostrophe, which
+#: may start a suffix, and < | >, which may be part of a special token.
+BREAK = np.zeros(256, bool)
+BREAK[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
+LETTER = np.zeros(256, bool)
+LETTER[[i for i in range(128) if chr(i).isalpha()]] = True
+
+
 class Encoder:
-    """Token ids of whole texts. The vocabulary drops white space and never joins across it, so each
-    distinct word is encoded once and found again by a hash of its bytes; the store of words is emptied
-    when it is full, which bounds the memory of a task."""
+    """Token ids of whole texts. The vocabulary drops white space, lower-cases and never joins a letter with
+    a sign after it, so texts are cut there, each distinct part is encoded once and found again by a hash
+    of its bytes. The store of parts is emptied when it is full, which bounds the memory of a task."""
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most_words
         self.clear()
 
+    @staticmethod
+    def of_worker(path: str) -> Encoder:
+        """One encoder for the life of a Python worker, which runs many tasks."""
+        kept = sys.modules.setdefault("relmill_kept_by_worker", types.ModuleType("relmill_kept_by_worker"))
+        if not hasattr(kept, "encoders"):
+            kept.encoders = {}
+        if path not in kept.encoders:
+            kept.encoders[path] = Encoder(path)
+        return kept.encoders[path]
+
     def clear(self) -> None:
-        self.index, self.pool, self.ends = {}, np.zeros(1 << 20, np.uint32), [0]
+        self.index, self.pool, self.ends = {}, np.zeros(1 << 20, np.uint32), np.zeros(1, np.int64)
 
-    def words(self, uniq: np.ndarray, starts, ends, data) -> np.ndarray:
+    def add(self, hashes: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> None:
+        lo = int(self.ends[-1])
+        if lo + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint32)])
+        self.pool[lo : lo + len(ids)] = ids
+        first = len(self.ends) - 1
+        self.index.update(zip(hashes.tolist(), range(first, first + len(hashes)), strict=True))
+        self.ends = np.concatenate([self.ends, lo + np.cumsum(counts)])
+
+    def words(self, uniq: np.ndarray, starts, ends, data: np.ndarray, plain: np.ndarray) -> np.ndarray:
         if len(self.index) + len(uniq) > max(self.most, len(uniq)):
             self.clear()
         get = self.index.get
         at = np.array([get(x, -1) for x in uniq.tolist()], np.int64)
         new = np.flatnonzero(at < 0)
-        if len(new):
-            buffer = data.tobytes()
-            texts = [buffer[s:e].decode("utf-8", "replace") for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            for i, enc in zip(new.tolist(), self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-                ids, lo = enc.ids, self.ends[-1]
-                while lo + len(ids) > len(self.pool):
-                    self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-                self.pool[lo : lo + len(ids)] = ids
-                self.index[int(uniq[i])] = at[i] = len(self.ends) - 1
-                self.ends.append(lo + len(ids))
+        buffer = data.tobytes() if len(new) else b""
+        one = new[plain[new]]  # runs of ASCII letters: one pre-token each, so many are encoded as one text
+        for lo in range(0, len(one), 2000):
+            part = one[lo : lo + 2000]
+            text = b" ".join([buffer[s:e] for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)]).decode("ascii")
+            enc = self.tokenizer.encode(text, add_special_tokens=False)
+            self.add(uniq[part], np.bincount(enc.word_ids, minlength=len(part)), np.array(enc.ids, np.uint32))
+        rest = new[~plain[new]]
+        if len(rest):
+            texts = [buffer[s:e].decode("utf-8", "replace") for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            ids = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            self.add(uniq[rest], np.array([len(x) for x in ids]), np.array([y for x in ids for y in x], np.uint32))
+        for i in new.tolist():
+            at[i] = get(int(uniq[i]))
         return at
 
     def __call__(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by id 0, and the offsets of the texts."""
         data, offsets = raw(texts)
-        pad = np.zeros(len(data) + 8, np.uint8)
-        pad[: len(data)] = data
-        starts, ends, doc = token_spans(data, offsets)
         n_docs = len(offsets) - 1
+        if b"<|" not in data.tobytes():  # else a special token could hide or appear
+            data = LOWER[data]
+        starts, ends, doc = token_spans(data, offsets)
         if not len(starts):
             return np.zeros(n_docs, np.uint32), np.arange(n_docs + 1)
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = LETTER[data[:-1]] & BREAK[data[1:]]
+        cut[offsets] = False
+        inner = np.flatnonzero(cut)
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        doc = np.searchsorted(offsets, starts, "right") - 1
+        pad = np.zeros(len(data) + 8, np.uint8)
+        pad[: len(data)] = data
         size = ends - starts
         view = np.ndarray((len(data) + 1,), "<u8", pad, strides=(1,))
         h = mix(size.astype(np.uint64) * M1)
@@ -163,9 +203,10 @@ class Encoder:
             more = left > 8
             where, at, left = where[more], at[more] + 8, left[more] - 8
         uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-        known = self.words(uniq, starts[first], ends[first], data)
-        bounds = np.array(self.ends, np.int64)
-        lo, n = bounds[known][inverse], (bounds[known + 1] - bounds[known])[inverse]
+        letters = np.concatenate([[0], np.cumsum(LETTER[data])])
+        plain = letters[ends[first]] - letters[starts[first]] == size[first]
+        known = self.words(uniq, starts[first], ends[first], data, plain)
+        lo, n = self.ends[known][inverse], (self.ends[known + 1] - self.ends[known])[inverse]
         total = np.bincount(doc, n, n_docs).astype(np.int64) + 1
         out_at = np.concatenate([[0], np.cumsum(total)])
         ids = np.zeros(out_at[-1], np.uint32)
@@ -177,7 +218,7 @@ class Encoder:
 
 def _cut(path: str, length: int, with_ids: bool):
     def run(batches):
-        encode = Encoder(path)
+        encode = Encoder.of_worker(path)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, at = encode(part.column("text"))

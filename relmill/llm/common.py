@@ -32,7 +32,7 @@ class Scratch:
 
     def store(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        (df.coalesce(files) if files else df).write.parquet(path)
+        (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

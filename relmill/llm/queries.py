@@ -34,6 +34,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relmill.llm.jaccard_join import jaccard_groups
+
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 #: The sources of the synthetic documents, in equal parts.
 SOURCE_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
 
@@ -77,7 +83,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_interpolated_lm, op3_exact_dedup, op6_pfair_mixing, op7_line_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_interpolated_lm, op3_exact_dedup, op5_jaccard_join, op6_pfair_mixing, op7_line_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity)}
 
 SQL = {
     "op3_exact_dedup": """

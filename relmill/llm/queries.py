@@ -34,6 +34,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relmill.llm.repeats import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from relmill.llm.jaccard_join import jaccard_groups
 
@@ -83,7 +90,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_interpolated_lm, op3_exact_dedup, op5_jaccard_join, op6_pfair_mixing, op7_line_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_interpolated_lm, op3_exact_dedup, op4_repeated_passages, op5_jaccard_join, op6_pfair_mixing, op7_line_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity)}
 
 SQL = {
     "op3_exact_dedup": """

@@ -127,13 +127,13 @@ def _scorer(slots: np.ndarray, weights: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of docs and score, from 0 to 1. Null and empty texts get the bias alone; an
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str], out: str = "score") -> DataFrame:
+    """The columns ``keep`` of docs and ``out``, a score from 0 to 1. Null and empty texts get the bias alone; an
     empty model gives 0. Other columns, whatever their names, pass by untouched."""
     row = F.struct(*[F.col(c) for c in keep])
     kept = docs.select(row.alias("row"), F.col("text").alias("text"))
     schema = kept.select("row").withColumn("score", F.lit(0.0)).schema
-    return kept.mapInArrow(_scorer(*model), schema).select("row.*", "score")
+    return kept.mapInArrow(_scorer(*model), schema).select("row.*", F.col("score").alias(out))
 
 
 def fold(id_col: Column, parts: int) -> Column:

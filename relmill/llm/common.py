@@ -1,97 +1,22 @@
-"""Shared pieces of the corpus operators: scratch tables, components, ranks, byte-level tokens.
-
-Tables that cut a lineage are written to the folder named by ``spark.checkpoint.dir``; where the
-session sets none (tests, a laptop) the SQL warehouse folder is used. Both are shared by all
-executors, so a lost executor costs a re-read, never data.
-"""
+"""Shared pieces of the corpus operators: byte-level tokens, ranks and links."""
 
 from __future__ import annotations
 
-import atexit
 import sys
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from relmill.operators.components import connected_components
+from relmill.staging import Scratch
+
 # Executors get the small helpers below with each task and need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-class Scratch:
-    """Parquet tables in the shared folder, removed when the driver process ends."""
-
-    def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        self.spark = spark
-        self.root = f"{base.rstrip('/')}/relmill-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self.drop, self.root)
-
-    def store(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, what) -> None:
-        path = what if isinstance(what, str) else getattr(what, "scratch_path", None)
-        try:
-            jvm = self.spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-        except Exception:  # noqa: BLE001 - the JVM may have gone before the interpreter's exit hooks run
-            pass
-
-
-def files_for(rows: int, per_file: int = 250_000) -> int:
-    """Number of output files for a small intermediate table; grows with the rows."""
-    return max(2, -(-rows // per_file))
-
-
-def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, component) for every endpoint of undirected ``edges``; component is the smallest node.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014) until nothing changes. Minima
-    are pre-aggregated per map task and stored, so that the join that hands them back reads plain
-    shuffles and adaptive execution can split a hub's rows. Null endpoints are dropped, a self-loop
-    keeps its node as a component of its own, and an empty input gives an empty result.
-    """
-    ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    loops = ends.where("a = b").select(F.col("a").alias("u")).distinct()
-    cur = scratch.store(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc-edges")
-    state = cur.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1_000_000_007)))).first()
-    first = cur
-    for _ in range(rounds):
-        if not state[0]:
-            break
-        n = files_for(2 * state[0])
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low", n)
-        large = scratch.store(
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "cc-large", n
-        )
-        low2 = scratch.store(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low2", n)
-        small = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = scratch.store(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct(), "cc-edges", n)
-        now = new.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1_000_000_007)))).first()
-        for old in (low, large, low2, *([cur] if cur is not first else [])):
-            scratch.drop(old)
-        cur, same, state = new, now == state, now
-        if same:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    members = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    known = members.unionByName(roots)
-    alone = loops.select(F.col("u").alias("node")).join(known.select("node"), "node", "left_anti")
-    return known.unionByName(alone.select("node", F.col("node").alias("component")))
-
-
 # ------------------------------------------------------------------------------------------------
 # Tokens of a batch of texts, worked out on its bytes: A-Z lower-cased, words [^\x20\x09-\x0D]+.
 

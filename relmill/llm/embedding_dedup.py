@@ -18,7 +18,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import Scratch, connected_components
+from relmill.operators.components import connected_components
+from relmill.staging import Scratch
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

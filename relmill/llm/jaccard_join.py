@@ -11,7 +11,9 @@ that very many documents hold moved to its end.
 * The boundary is where the estimated cost of the two is least, from the counted sizes and the mean
   length of the lists.
 
-Equal sets are collapsed first. Candidates are verified exactly on the whole texts. Groups are the
+Equal sets are collapsed first. A candidate must pass two bounds that no true link fails: after their
+first common shingle both sets must still hold enough (the positional filter), and the prefixes must
+share enough of the overlap themselves. What passes is verified exactly on the whole texts. Groups are the
 components of the links, so a group of copies is never expanded into all its pairs.
 """
 
@@ -33,6 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 WORDS = 5
 LOW = 53  # bits of a shingle's hash; the rest of the 64 number the texts of a slice
 MOST = 1 << (63 - LOW)
+PLACE = 20  # low bits of a posted key: its place in the order, for the positional filter
 
 
 def shingles(texts) -> np.ndarray:
@@ -92,18 +95,22 @@ def _profile(percent: int, late: np.ndarray, boundary: int, key_bits: int):
                 n = np.bincount(doc, minlength=part.num_rows)
                 s1, s2 = np.zeros(part.num_rows, np.uint64), np.zeros(part.num_rows, np.uint64)
                 np.add.at(s1, doc, mix(key + M1)), np.add.at(s2, doc, mix(key * M2 + M1))
+                place = lambda of: np.minimum(np.arange(len(of)) - np.searchsorted(of, of), (1 << PLACE) - 1).astype(np.uint64)
+                post = lambda k, where: k << np.uint64(PLACE) | where
                 at, of = prefix_mask(key, doc, n, late, percent, 1)
                 listed = n[of] > boundary * percent // 100  # large, or near enough in size to match a large one
-                keys, docs = [(key[at] >> shift)[listed]], [of[listed]]
+                keys, docs = [post(key[at] >> shift, place(of))[listed]], [of[listed]]
                 small = (n[doc] <= boundary) & (n[doc] > 1)
                 if small.any():
                     own = np.bincount(doc[small], minlength=part.num_rows)
                     at, of = prefix_mask(key[small], doc[small], own, late, percent, 2)
-                    x = key[small][at]
+                    x, where = key[small][at], place(of)
                     for gap in range(1, int(np.bincount(of).max())):
                         same = of[gap:] == of[:-gap]
                         a, b = np.minimum(x[:-gap], x[gap:])[same], np.maximum(x[:-gap], x[gap:])[same]
-                        keys.append(mix(mix(a + M1) + b) >> np.uint64(64 - key_bits) | np.uint64(1 << key_bits)), docs.append(of[gap:][same])
+                        pair = mix(mix(a + M1) + b) >> np.uint64(64 - key_bits) | np.uint64(1 << key_bits)
+                        # two are shared when the second is reached, so one more may follow than its place says
+                        keys.append(post(pair, where[gap:][same] - np.uint64(1))), docs.append(of[gap:][same])
                 keys, docs = np.concatenate(keys).astype(np.int64), np.concatenate(docs)
                 order = np.argsort(docs, kind="stable")
                 ends = np.searchsorted(docs[order], np.arange(part.num_rows + 1)).astype(np.int32)
@@ -181,20 +188,40 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     sets = scratch.store(texts.mapInArrow(_profile(percent, late, boundary, key_bits), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "sets")
     some = sets.where("n > 0")
     reps = scratch.store(some.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys")), "distinct-sets")
-    members = reps.select(F.explode("keys").alias("key"), "id", "n")
+    posted = reps.select(F.explode("keys").alias("v"), "id", "n")
+    members = posted.select(F.shiftright("v", PLACE).alias("key"), "id", F.col("n").alias("size"), F.col("v").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int").alias("place"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    def enough(overlap, n, m):
+        """Whether an overlap is as large as a similarity of ``percent`` needs."""
+        return overlap * (100 + percent) >= (n + m) * percent
+
+    def fits(a, b):
+        return enough(F.least(a["size"] - a["place"], b["size"] - b["place"]), a["size"], b["size"])
+
+    def of_ids(pairs: DataFrame, table: DataFrame, name: str) -> DataFrame:
+        """The rows of a table (id, ...) that the pairs name, stored."""
+        wanted = scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "wanted")
         small = wanted.count() <= 1_000_000  # the list of ids is broadcast only if it is short
-        found = texts.join(F.broadcast(wanted) if small else wanted.hint("merge"), "doc_id").dropDuplicates(["doc_id"])
-        found = scratch.store(found, "wanted-texts")
-        both = pairs.join(found.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-        both = both.join(found.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long")
-
-    fits = lambda a, b: F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent
-    # the same two sets may share many keys; linked_groups takes each pair once
-    groups = linked_groups(members.withColumnRenamed("n", "size"), scratch, verify, lambda a, b: fits({"n": a["size"]}, {"n": b["size"]}))
+        return scratch.store(table.join(F.broadcast(wanted) if small else wanted.hint("merge"), "id").dropDuplicates(["id"]), name)
+
+    def beside(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+        """Pairs with the rows of both sides, columns prefixed a_ and b_."""
+        for side in ("a", "b"):
+            pairs = pairs.join(rows.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in rows.columns if c != "id"]).hint("merge"), side)
+        return pairs
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        # the overlap is at most what the prefixes share and the longer of the two rests
+        least = lambda n: F.ceil(n * percent / 100)
+        prefixes = of_ids(pairs, reps.select("id", "n", F.transform("keys", lambda v: F.shiftright(v, PLACE)).alias("k")), "wanted-prefixes")
+        both = beside(pairs, prefixes)
+        most = F.size(F.array_intersect("a_k", "b_k")) + F.greatest(least(F.col("a_n")), least(F.col("b_n"))) - 1
+        lists = F.least("a_n", "b_n") > boundary * percent // 100  # both posted their whole prefix
+        near = scratch.store(both.where(~lists | enough(most, F.col("a_n"), F.col("b_n"))).select("a", "b"), "near")
+        found = of_ids(near, texts.select(F.col("doc_id").alias("id"), F.col("text").alias("t")), "wanted-texts")
+        return beside(near, found).select("a", "b", F.col("a_t").alias("ta"), F.col("b_t").alias("tb")).mapInArrow(_verify(percent), "a long, b long")
+
+    groups = linked_groups(members, scratch, verify, fits)
     classes = reps.select("s1", "s2", "n", "id").join(groups.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     classes = scratch.store(classes.select("s1", "s2", "n", F.coalesce("component", "id").alias("component")), "classes")
     out = sets.select("doc_id", "n", "s1", "s2").join(classes.hint("merge"), ["s1", "s2", "n"], "left")

@@ -50,19 +50,20 @@ def pfair(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = 64, most_blocks: int = 100_000) -> DataFrame:
-    """All rows and columns of docs with _block, _slot, _place, _release, _deadline and _phase.
+ADDED = ("_block", "_slot", "_place", "_release", "_deadline", "_phase")
 
-    Read in order of (_slot, _place) the sources keep to their weights. Rows of a null source or one
-    without a weight get slots after all others, one per block and source, and null windows. Inside a
-    source the order is a hash of ``order``; nulls there are allowed and repeated rows stay apart. An
-    empty table gives an empty result.
-    """
+
+def placed_rows(docs: DataFrame, weights: Mapping[str, float], source_col: str, order: tuple[str, ...], block_rows: int, most_blocks: int) -> DataFrame:
+    """(row, _block, _slot, _place, _release, _deadline, _phase), the row being all columns as one struct."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    named = docs.withColumn("_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    known = F.create_map(*[x for s in sorted(weights) for x in (F.lit(s), F.lit(True))]) if weights else None
-    named = named.withColumn("_group", F.when(F.coalesce(F.element_at(known, F.col("_source")), F.lit(False)), F.col("_source")).otherwise("") if weights else F.lit(""))
+    source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
+    if weights:
+        known = F.create_map(*[x for s in sorted(weights) for x in (F.lit(s), F.lit(True))])
+        source = F.when(F.coalesce(F.element_at(known, source), F.lit(False)), source).otherwise("")
+    else:
+        source = F.lit("")
+    named = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), source.alias("_group"), *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)])
     sizes = {r["_group"]: r["n"] for r in named.groupBy("_group").agg(F.count("*").alias("n")).collect()}  # a row per weight at most
     rows = sum(sizes.values())
     block_rows = max(block_rows, -(-rows // most_blocks))
@@ -76,8 +77,27 @@ def mix(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source
         F.element_at(F.array(*[F.lit(s) for s in names] or [F.lit("")]), parts[0].cast("int") + 1).alias("_group"),
         parts[1].cast("long").alias("_block"), F.col("_slot").cast("long"), parts[2].cast("long").alias("_release"), parts[3].cast("long").alias("_deadline"), parts[4].cast("int").alias("_phase"),
     )
-    ranked = dealt_rank(named, scratch, "_group", list(order), rows)
-    ranked = ranked.withColumns({"_block": F.floor(F.col("rank") / block_rows).cast("long"), "_place": F.pmod("rank", F.lit(block_rows)).cast("int")}).drop("rank", "_source")
-    placed = ranked.join(F.broadcast(table), ["_group", "_block"], "left").drop("_group")
+    ranked = dealt_rank(named, scratch, "_group", [f"_order{i}" for i in range(len(order))], rows)
+    ranked = ranked.withColumns({"_block": F.floor(F.col("rank") / block_rows).cast("long"), "_place": F.pmod("rank", F.lit(block_rows)).cast("int")})
+    placed = ranked.join(F.broadcast(table), ["_group", "_block"], "left")
     slot = F.coalesce("_slot", F.lit(len(plan)) + F.col("_block")).cast("long")
-    return placed.select(*docs.columns, "_block", slot.alias("_slot"), "_place", "_release", "_deadline", "_phase")
+    return placed.select("row", "_block", slot.alias("_slot"), "_place", "_release", "_deadline", "_phase")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = 64, most_blocks: int = 100_000) -> DataFrame:
+    """All rows and columns of docs with _block, _slot, _place, _release, _deadline and _phase, which replace
+    columns of those names.
+
+    Read in order of (_slot, _place) the sources keep to their weights. Rows of a null source or one
+    without a weight get slots after all others, in blocks, and null windows. Inside a source the order is
+    a hash of ``order``, then ``order`` itself; nulls there are allowed and repeated rows stay apart. An
+    empty table gives an empty result.
+    """
+    out = placed_rows(docs, weights, source_col, order, block_rows, most_blocks)
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED], *ADDED)
+
+
+def in_order(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = 64, most_blocks: int = 100_000) -> DataFrame:
+    """docs, rows and columns as they are, sorted by slot and place over the partitions."""
+    out = placed_rows(docs, weights, source_col, order, block_rows, most_blocks)
+    return out.repartitionByRange("_slot").sortWithinPartitions("_slot", "_place").select(*[F.col("row")[c].alias(c) for c in docs.columns])

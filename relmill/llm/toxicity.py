@@ -127,13 +127,12 @@ def _scorer(slots: np.ndarray, weights: np.ndarray):
     return run
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str], out: str = "score") -> DataFrame:
-    """The columns ``keep`` of docs and ``out``, a score from 0 to 1. Null and empty texts get the bias alone; an
-    empty model gives 0. Other columns, whatever their names, pass by untouched."""
-    row = F.struct(*[F.col(c) for c in keep])
-    kept = docs.select(row.alias("row"), F.col("text").alias("text"))
+def scored_rows(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], keep: list[str]) -> DataFrame:
+    """(row, score): the columns ``keep`` as one struct, whatever their names, and a score from 0 to 1. Null
+    and empty texts get the bias alone; an empty model gives 0."""
+    kept = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col("text").alias("text"))
     schema = kept.select("row").withColumn("score", F.lit(0.0)).schema
-    return kept.mapInArrow(_scorer(*model), schema).select("row.*", F.col("score").alias(out))
+    return kept.mapInArrow(_scorer(*model), schema)
 
 
 def fold(id_col: Column, parts: int) -> Column:
@@ -145,5 +144,5 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, held_ou
 
     An empty table gives an empty result; a row with a null id is scored and counts as not held out."""
     model = train(docs, labels.where(fold(F.col("doc_id"), folds) != held_out), **options)
-    out = score(docs, model, ["doc_id"])
+    out = scored_rows(docs, model, ["doc_id"]).select("row.doc_id", "score")
     return out.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -16,7 +16,7 @@ from relmill.schema import DatabaseSpec, ForeignKey, RelationalDB, Role, TableSp
 
 
 def _text(spark: SparkSession, path: str) -> str:
-    rows = spark.read.option("wholetext", True).text(path).collect()  # one schema file
+    rows = spark.read.text(path, wholetext=True).collect()  # one schema file
     return rows[0][0]
 
 

@@ -47,14 +47,15 @@ def _cells(centroids: np.ndarray, slack: float, most: int):
 
     def run(it):
         for pdf in it:
-            x = unit(np.array(pdf.v.tolist(), float).reshape(len(pdf), -1))
-            if centroids.shape[1] != x.shape[1] if len(x) else False:
-                pdf = pdf.assign(cells=[[0]] * len(pdf))
-            else:
-                s = x @ centroids.T if len(x) else np.zeros((0, len(centroids)))
+            cells = [[0]] * len(pdf)  # vectors of another length than the centroids' share one cell
+            own = np.flatnonzero(pdf.v.map(len).to_numpy() == centroids.shape[1])
+            if len(own):
+                s = unit(np.array(pdf.v.iloc[own].tolist(), float)) @ centroids.T
                 top = np.argsort(-s, 1)[:, :most]
                 near = np.take_along_axis(s, top, 1)
-                pdf = pdf.assign(cells=[t[g >= g[0] - slack].tolist() for t, g in zip(top, near, strict=True)])
+                for i, t, g in zip(own.tolist(), top, near, strict=True):
+                    cells[i] = t[g >= g[0] - slack].tolist()
+            pdf = pdf.assign(cells=cells)
             yield pdf[["id", "n", "part", "v", "cells"]]
 
     return run

@@ -62,8 +62,10 @@ def _feature_rows(batches):
             yield pa.RecordBatch.from_arrays([part.column("order"), part.column("toxic"), lists], ["order", "toxic", "slots"])
 
 
-def _learner(alpha: float, beta: float, l1: float, l2: float):
-    """FTRL-proximal over the rows of one task in their order; memory is two arrays of 2^22 floats."""
+def _learner(alpha: float, beta: float, l1: float, l2: float, heft: float):
+    """FTRL-proximal over the rows of one task in their order; memory is two arrays of 2^22 floats.
+
+    ``heft`` is what a toxic row counts against another, so that the rarer class is not drowned."""
 
     def run(batches):
         z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
@@ -80,7 +82,7 @@ def _learner(alpha: float, beta: float, l1: float, l2: float):
                 at = flat[ends[i] : ends[i + 1]]
                 w = weights(at)
                 b = -bias[0] * alpha / (beta + np.sqrt(bias[1]))
-                g = 1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y[i]
+                g = (1 / (1 + np.exp(-np.clip(w.sum() + b, -35, 35))) - y[i]) * (heft if y[i] else 1.0)
                 new = n[at] + g * g
                 z[at] += g - (np.sqrt(new) - np.sqrt(n[at])) / alpha * w
                 n[at] = new
@@ -92,7 +94,7 @@ def _learner(alpha: float, beta: float, l1: float, l2: float):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, epochs: int = 2, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.5, l2: float = 0.5) -> tuple[np.ndarray, np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, epochs: int = 3, alpha: float = 0.5, beta: float = 1.0, l1: float = 25.0, l2: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """(slots, weights), slot -1 being the bias. At most ``per_class`` labelled rows of each class are
     used, picked by a hash of the id. Rows without a label are ignored, of several labels for one id the
     larger holds. Without rows of both classes the model is empty."""
@@ -100,13 +102,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 6000, epochs: int
     order = F.xxhash64(F.col("doc_id").cast("string"))
     picks = [known.where(F.col("toxic") == k).withColumn("order", order).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)]
     picked = picks[0].unionByName(picks[1])  # at most 2 * per_class ids: small enough to broadcast at any size
+    counts = {r["toxic"]: r["count"] for r in picked.groupBy("toxic").count().collect()}
+    if len(counts) < 2:
+        return np.zeros(0, np.int64), np.zeros(0)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("order", "toxic", "text")
     rows = sample.mapInArrow(_feature_rows, "order long, toxic int, slots array<int>")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("turn", F.xxhash64("order", "epoch"))
     rows = rows.repartition(1).sortWithinPartitions("epoch", "turn").select("toxic", "slots")
-    got = rows.mapInArrow(_learner(alpha, beta, l1, l2), "slot int, weight double").toPandas()
-    if len({r[0] for r in picked.select("toxic").distinct().collect()}) < 2:
-        got = got[:0]
+    got = rows.mapInArrow(_learner(alpha, beta, l1, l2, counts[0] / counts[1]), "slot int, weight double").toPandas()
     return got.slot.to_numpy(np.int64), got.weight.to_numpy(np.float64)
 
 

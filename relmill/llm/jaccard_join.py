@@ -122,20 +122,26 @@ def _profile(percent: int, late: np.ndarray, boundary: int, key_bits: int):
     return run
 
 
-def _listed(percent: int, key_bits: int):
-    """For the cost of a list: each posted key of the plain hash order, counted per batch, with its whole hash."""
+def _listed(percent: int, often: int = 4):
+    """Per batch: keys, how often they stand in a prefix of the plain hash order and in all sets. Keys outside
+    all prefixes are named only if the batch holds them ``often``: they matter for the order alone, as keys
+    that would come up once the frequent ones before them have moved to the end."""
 
     def run(batches):
         for batch in batches:
-            found = []
+            found, listed = [], []
             for part in texts_of(batch, "text"):
                 both = shingles(part.column("text"))
                 doc, key = (both >> np.uint64(LOW)).astype(np.int64), both & np.uint64((1 << LOW) - 1)
                 n = np.bincount(doc, minlength=part.num_rows)
                 at, _ = prefix_mask(key, doc, n, np.zeros(0, np.uint64), percent, 1)
-                found.append(key[at])
-            key, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(count)], ["key", "c"])
+                found.append(key), listed.append(key[at])
+            key, t = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            own, count = np.unique(np.concatenate(listed), return_counts=True) if listed else (key, t)
+            c = np.zeros(len(key), np.int64)
+            c[np.searchsorted(key, own)] = count
+            keep = (c > 0) | (t >= often)
+            yield pa.RecordBatch.from_arrays([pa.array(key[keep].astype(np.int64)), pa.array(c[keep]), pa.array(t[keep])], ["key", "c", "t"])
 
     return run
 
@@ -176,11 +182,11 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     spark = docs.sparkSession
     scratch = Scratch(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    counts = texts.select("text").mapInArrow(_listed(percent, key_bits), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).where("c > 1")
+    counts = texts.select("text").mapInArrow(_listed(percent), "key long, c long, t long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).where("t > 1")
     counts = scratch.store(counts, "listed")
-    level = counts.groupBy(F.floor(F.log2("c")).cast("int").alias("b")).agg(F.count("*").alias("k"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).collect()  # 63 rows at most
+    level = counts.groupBy(F.floor(F.log2("t")).cast("int").alias("b")).agg(F.count("*").alias("k"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).collect()  # 63 rows at most
     limit = next((b for b in range(int(math.log2(heavy)), 64) if sum(r.k for r in level if r.b >= b) <= most_heavy), 63)
-    late = np.sort(np.array([r.key for r in counts.where(F.col("c") >= 2**limit).select("key").collect()], np.uint64)) if any(r.b >= limit for r in level) else np.zeros(0, np.uint64)
+    late = np.sort(np.array([r.key for r in counts.where(F.col("t") >= 2**limit).select("key").collect()], np.uint64)) if any(r.b >= limit for r in level) else np.zeros(0, np.uint64)
     mean_list = 1 + sum(r.cc for r in level if r.b < limit) / max(1, sum(r.c for r in level if r.b < limit))
     words = F.size(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"))  # only for the cost: about how many shingles
     sizes = {r["n"]: r["c"] for r in texts.where(F.length("text") < 4096).groupBy(F.greatest(F.lit(1), words - 4).alias("n")).agg(F.count("*").alias("c")).where("n <= 128").collect()}

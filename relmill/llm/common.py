@@ -118,7 +118,8 @@ def linked_groups(members: DataFrame, scratch: Scratch, verify, fits=None, small
 
     members: key, id and attributes. Ids that share a key are candidates, ``fits(a, b)`` is a condition on
     two members' attributes, ``verify(pairs)`` keeps the true links of (a, b). Keys with up to ``small``
-    members give all their pairs. Larger keys first test every member against one head, then against
+    members give all their pairs. Larger keys first test every member against one head, the member that is in
+    the most large keys, then against
     ``salts`` heads, and at last only those pairs whose members are still in different components. No pair
     that could join two components is left out, yet a group that its heads connect never makes all pairs.
     """
@@ -131,7 +132,13 @@ def linked_groups(members: DataFrame, scratch: Scratch, verify, fits=None, small
     pairs = spare("a", few).join(spare("b", few), "key").where((F.col("a_id") < F.col("b_id")) & ok).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     many = live.where(F.col("n") > small).drop("n")
     has_many = bool(many.take(1))
-    heads = lambda df, k: df.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(k)).alias("_s")).agg(F.min("id").alias("id")).drop("_s")
+    if has_many:  # a head should be like many: the member of the most large keys, such as what all copies came from
+        weight = many.groupBy("id").agg(F.count("*").alias("w"))
+        many = scratch.store(many.join(scratch.store(weight, "weights").hint("merge"), "id"), "large-keys")
+
+    def heads(df: DataFrame, k: int) -> DataFrame:
+        best = F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("_b")  # ties to the smallest id
+        return df.groupBy("key", F.pmod(F.xxhash64("id"), F.lit(k)).alias("_s")).agg(best).select("key", (-F.col("_b.m")).cast(df.schema["id"].dataType).alias("id"))
 
     def across(df: DataFrame, k: int) -> DataFrame:
         """Pairs of every member with the k heads of its key, where the components differ."""

@@ -13,14 +13,16 @@ from relmill.schema import RelationalDB
 
 
 def keyed_nodes(db: RelationalDB) -> DataFrame:
-    """(table, key, node_id, type_id, row, time): ids count the tables' rows in order of table, then key."""
-    out, offset = [], 0
+    """(table, key, node_id, type_id, row, time): ids count all rows in order of table, then key (as a number
+    where it is one)."""
+    out = []
     for i, (name, df) in enumerate(db.tables.items()):
         time = F.coalesce(F.col(db.times[name]).cast("double"), F.lit(NEVER)) if name in db.times else F.lit(NEVER)
-        rows = row_index(df.select(F.col(db.keys[name]).cast("string").alias("key"), F.col(db.keys[name]).alias("_k"), time.alias("time")), ["_k"], "row").drop("_k")
-        out.append(rows.select(F.lit(name).alias("table"), "key", (F.col("row") + offset).alias("node_id"), F.lit(i).alias("type_id"), "row", "time"))
-        offset += df.count()
-    return reduce(DataFrame.unionByName, out)
+        out.append(df.select(F.lit(name).alias("table"), F.lit(i).alias("type_id"), F.col(db.keys[name]).cast("string").alias("key"), time.alias("time")))
+    rows = reduce(DataFrame.unionByName, out).withColumn("_n", F.col("key").try_cast("bigint"))
+    rows = row_index(rows, ["type_id", "_n", "key"], "node_id")
+    first = rows.groupBy("type_id").agg(F.min("node_id").alias("_first"))  # a row per table
+    return rows.join(F.broadcast(first), "type_id").select("table", "key", "node_id", "type_id", (F.col("node_id") - F.col("_first")).alias("row"), "time")
 
 
 def edges(db: RelationalDB, nodes: DataFrame) -> DataFrame:

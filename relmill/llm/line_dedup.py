@@ -1,22 +1,32 @@
 """Fuzzy line deduplication on DataFrames alone.
 
-Lines are normalised (case, signs and white space) and equal ones collapsed. Each distinct line gets a
-64-bit SimHash over its words of four letters or more (over all words if it has none): short words are
-in most lines and would make strangers look alike. Lines that agree on one of the ``blocks`` equal parts of it are
-candidates, which by the pigeonhole principle finds every pair that differs in fewer bits than there
-are parts, and many that differ in more. Candidates must agree on most bits and pass a check of edit
-similarity. The first line of each connected group stays, in order of document and line number.
-
-The SimHash is counted eight bits to a 64-bit word: bit k of every byte of a hash is added at once, so
-a line's 64 counters take eight sums. The top lane must not reach the sign bit, so lines of 128 words or more use wider lanes.
+Lines are normalised (case, signs and white space) and equal ones collapsed. Each distinct line gets MinHash
+keys over its words of four letters or more (over all words if it has none): short words are in most lines
+and would make strangers look alike. In scripts without spaces, pairs of characters stand for words. A key
+joins ROWS minima; lines that share one of the ``blocks`` keys are candidates. With a share j of common words
+a pair is found with a chance of 1 - (1 - j^4)^blocks. Candidates must agree on most bits of a sketch of 64
+minima and pass a check of edit similarity. The first line of each connected group stays, in order of
+document and line number.
+
+Most keys belong to one line alone. They are dropped in one pass over keys in order, before lines are joined.
 """
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import Scratch, linked_groups
+from relmill.llm.common import M2, Scratch, linked_groups, mix, slices, word_hashes
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ROWS = 4
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def line_words(line: Column) -> Column:
@@ -24,33 +34,47 @@ def line_words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def _lanes(hashes: Column, bits: int) -> list[Column]:
-    """Sums of the hashes' bits k, k + bits, ... in lanes of ``bits`` bits, for each k below ``bits``."""
-    mask = sum(1 << (i * bits) for i in range(64 // bits))
-    mask -= (1 << 64) if mask >> 63 else 0
-    step = lambda k: lambda a, h: a + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(mask))
-    return [F.aggregate(hashes, F.lit(0).cast("long"), step(k)) for k in range(bits)]
-
-
-def _votes(sums: Column, n: Column, bits: int) -> Column:
-    """The bits whose lane counts more than half of n words; sums is an array of ``_lanes``."""
-    out = F.lit(0).cast("long")
-    for k in range(bits):
-        for i in range(64 // bits):
-            b = i * bits + k
-            count = F.shiftrightunsigned(sums[k], i * bits).bitwiseAND(F.lit((1 << bits) - 1))
-            out = out.bitwiseOR(F.when(count * 2 > n, F.lit((1 << b) - ((1 << 64) if b == 63 else 0))).otherwise(F.lit(0).cast("long")))
-    return out
-
-
-def with_simhash(df: DataFrame, words: str, out: str) -> DataFrame:
-    """Adds the SimHash of an array of words."""
-    df = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
-    wide = F.when(F.size("_h") < 128, F.array(*_lanes(F.col("_h"), 8)))
-    wide = wide.when(F.size("_h") < 32768, F.array(*_lanes(F.col("_h"), 16))).otherwise(F.array(*_lanes(F.col("_h"), 32)))
-    df = df.withColumn("_s", wide).withColumn("_n", F.size("_h").cast("long"))
-    vote = F.when(F.size("_s") == 8, _votes(F.col("_s"), F.col("_n"), 8)).when(F.size("_s") == 16, _votes(F.col("_s"), F.col("_n"), 16)).otherwise(_votes(F.col("_s"), F.col("_n"), 32))
-    return df.withColumn(out, vote).drop("_h", "_s", "_n")
+def _min_hashes(blocks: int):
+    """The keys and the sketch of each line, by the words in ``tokens``."""
+    n = max(64, ROWS * blocks)
+    seeds = mix(np.arange(1, n + 1, dtype=np.uint64) * M2)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "tokens"):
+                h, line = word_hashes(part.column("tokens"))
+                begin = np.searchsorted(line, np.arange(part.num_rows))
+                low = [np.minimum.reduceat(mix(h ^ s), begin) for s in seeds]
+                sig = np.zeros(part.num_rows, np.uint64)
+                for k in range(64):
+                    sig |= (low[k] & np.uint64(1)) << np.uint64(k)
+                keys = np.empty((part.num_rows, blocks), np.int32)
+                for i in range(blocks):
+                    key = np.full(part.num_rows, i, np.uint64)
+                    for r in range(ROWS):
+                        key = mix(key ^ low[i * ROWS + r])
+                    keys[:, i] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, blocks, dtype=np.int32)), pa.array(keys.ravel()))
+                kept = [c for c in part.schema.names if c != "tokens"]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(sig.view(np.int64)), lists], [*kept, "sig", "keys"])
+
+    return run
+
+
+def _shared(batches):
+    """The rows whose key another row has; rows come in order of key."""
+    key, rid, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for batch in batches:
+        key, rid = (np.append(x, batch.column(i).to_numpy(zero_copy_only=False)) for i, x in enumerate((key, rid)))
+        if not len(key):
+            continue
+        keep = np.append(key[1:] == key[:-1], False)
+        keep[1:] |= key[1:] == key[:-1]
+        keep[0] |= met
+        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep[:-1]]), pa.array(rid[:-1][keep[:-1]])], ["key", "rid"])
+        key, rid, met = key[-1:], rid[-1:], bool(keep[-1])  # the last row waits for its follower
+    if met:
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid)], ["key", "rid"])
 
 
 def similar(a: Column, b: Column, similarity: float, long_line: int) -> Column:
@@ -72,14 +96,17 @@ def line_groups(
     lid = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")
     norm = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words).withColumn("norm", F.array_join("words", " "))
     telling = F.filter("words", lambda w: F.length(w) >= 4)
-    norm = norm.withColumns({"h": F.unhex(F.md5("norm")), "len": F.length("norm"), "words": F.when(F.size(telling) > 0, telling).otherwise(F.col("words"))})
-    seen = scratch.store(with_simhash(norm, "words", "sig").select("h", "doc_id", "line_no", "sig", "len", lid.cast("decimal(38,0)").alias("lid")), "lines")
-    reps = seen.groupBy("h").agg(F.min("lid").alias("id"), F.first("sig").alias("sig"), F.first("len").alias("len"), F.count("*").alias("n"))
-    reps = scratch.store(reps, "distinct-lines")
-    width = 64 // blocks
-    parts = [F.shiftrightunsigned("sig", i * width).bitwiseAND(F.lit((1 << (width if i < blocks - 1 else 64 - i * width)) - 1)) for i in range(blocks)]
-    keys = F.array(*[F.xxhash64(F.lit(i), p) for i, p in enumerate(parts)])
-    members = reps.select(F.explode(keys).alias("key"), "id", "sig", "len")
+    tokens = F.regexp_replace(F.array_join(F.when(F.size(telling) > 0, telling).otherwise(F.col("words")), " "), f"({UNSPACED})(?=({UNSPACED}))", "$1$2 ")
+    norm = norm.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h"), F.length("norm").alias("len"), lid.cast("decimal(38,0)").alias("lid"), tokens.alias("tokens"))
+    schema = "doc_id long, line_no int, h binary, len int, lid decimal(38,0), sig long, keys array<int>"
+    hashed = scratch.store(norm.mapInArrow(_min_hashes(blocks), schema), "hashed-lines")
+    seen = scratch.store(hashed.select("h", "doc_id", "line_no", "lid"), "lines")
+    reps = hashed.groupBy("h").agg(F.min("lid").alias("id"), F.count("*").alias("n"), F.first(F.struct("sig", "len", "keys")).alias("_f"))
+    reps = scratch.store(reps.select("h", "id", "n", "_f.*", F.monotonically_increasing_id().alias("rid")), "distinct-lines")
+    scratch.drop(hashed)
+    keyed = reps.select(F.posexplode("keys").alias("i", "k"), "rid").select((F.shiftleft(F.col("i").cast("long"), 32) + F.col("k")).alias("key"), "rid")
+    shared = scratch.store(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, rid long"), "shared-keys")
+    members = shared.join(reps.select("rid", "id", "sig", "len").hint("merge"), "rid").drop("rid")
     fits = lambda a, b: (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= most_bits) & (F.least(a["len"], b["len"]) >= F.greatest(a["len"], b["len"]) * similarity)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -103,7 +130,7 @@ def line_groups(
 
 
 def removed_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, min_words: int = 5, blocks: int = 3, most_bits: int = 10, long_line: int = 4_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, min_words: int = 5, blocks: int = 20, most_bits: int = 24, long_line: int = 4_000
 ) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines to remove from each document that loses any.
 

@@ -149,6 +149,33 @@ def test_line_dedup(docs, texts, spark):
     assert {r.doc_id for r in line_dedup.removed_lines(fuzzy, blocks=8, most_bits=24).collect()} == {2}
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_line_dedup_finds_fuzzy_lines(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 9)))
+    rows, pairs = [], []
+    for n, replaced in [(5, 1), (8, 1), (12, 1), (20, 3), (20, 4)] * 20:
+        a = [word() for _ in range(n)]
+        b = list(a)
+        for i in r.sample(range(n), replaced):
+            b[i] = word()
+        a, b = " ".join(a), " ".join(b)
+        if edit_distance(a, b) <= int(max(len(a), len(b)) * 0.25):
+            pairs.append(len(rows) + 1)
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    gone = {x.doc_id for x in line_dedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert gone <= set(pairs) and len(pairs) > 60  # nothing but true pairs
+    assert len(gone) >= 0.95 * len(pairs)
+
+
 def test_mixing(docs, spark):
     weights = {"src0": 5.0, "src1": 2.0, "src2": 3.0}
     out = mixing.mix(docs, weights, block_rows=2)

@@ -26,6 +26,7 @@ from relmill.llm.common import M2, Scratch, linked_groups, mix, slices, word_has
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS = 4
+FUZZY_WORDS = 5
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
@@ -77,34 +78,29 @@ def _shared(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid)], ["key", "rid"])
 
 
-def similar(a: Column, b: Column, similarity: float, long_line: int) -> Column:
-    """Edit similarity, 1 - distance / longer length, of at least ``similarity``. Edit distance is quadratic,
-    so lines over ``long_line`` characters are compared by the share of their common words instead."""
-    size = F.greatest(F.length(a), F.length(b))
-    most = F.floor(size * (1 - similarity)).cast("int")
-    near = F.call_function("levenshtein", a, b, most)  # -1 beyond the bound, which a narrow band can tell
-    x, y = F.split(a, " "), F.split(b, " ")
-    shared = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    return F.when(size <= long_line, near >= 0).otherwise(shared >= similarity)
+def similar(a: Column, b: Column, similarity: float) -> Column:
+    """Edit similarity, 1 - distance / longer length, of at least ``similarity``, at every length."""
+    most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - similarity)).cast("int")
+    return F.call_function("levenshtein", a, b, most) >= 0  # -1 beyond the bound, which a narrow band can tell
 
 
 def line_groups(
-    docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, similarity: float, min_words: int, blocks: int, most_bits: int, long_line: int
+    docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, similarity: float, min_words: int, blocks: int, most_bits: int, min_chars: int
 ) -> tuple[DataFrame, DataFrame]:
     """All judged lines (h, doc_id, line_no, lid) and, for lines in a group of several, h and keep."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "line")).where("doc_id is not null")
     lid = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")
-    norm = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") >= min_words).withColumn("norm", F.array_join("words", " "))
+    norm = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") >= max(min_words, 1)).withColumn("norm", F.array_join("words", " "))
     telling = F.filter("words", lambda w: F.length(w) >= 4)
     tokens = F.regexp_replace(F.array_join(F.when(F.size(telling) > 0, telling).otherwise(F.col("words")), " "), f"({UNSPACED})(?=({UNSPACED}))", "$1$2 ")
-    norm = norm.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h"), F.length("norm").alias("len"), lid.cast("decimal(38,0)").alias("lid"), tokens.alias("tokens"))
-    schema = "doc_id long, line_no int, h binary, len int, lid decimal(38,0), sig long, keys array<int>"
+    norm = norm.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h"), F.length("norm").alias("len"), lid.cast("decimal(38,0)").alias("lid"), (F.size("words") >= FUZZY_WORDS).alias("wordy"), tokens.alias("tokens"))
+    schema = "doc_id long, line_no int, h binary, len int, lid decimal(38,0), wordy boolean, sig long, keys array<int>"
     hashed = scratch.store(norm.mapInArrow(_min_hashes(blocks), schema), "hashed-lines")
     seen = scratch.store(hashed.select("h", "doc_id", "line_no", "lid"), "lines")
-    reps = hashed.groupBy("h").agg(F.min("lid").alias("id"), F.count("*").alias("n"), F.first(F.struct("sig", "len", "keys")).alias("_f"))
+    reps = hashed.groupBy("h").agg(F.min("lid").alias("id"), F.count("*").alias("n"), F.first(F.struct("sig", "len", "wordy", "keys")).alias("_f"))
     reps = scratch.store(reps.select("h", "id", "n", "_f.*", F.monotonically_increasing_id().alias("rid")), "distinct-lines")
     scratch.drop(hashed)
-    keyed = reps.select(F.posexplode("keys").alias("i", "k"), "rid").select((F.shiftleft(F.col("i").cast("long"), 32) + F.col("k")).alias("key"), "rid")
+    keyed = reps.where(F.col("wordy") | (F.col("len") >= min_chars)).select(F.posexplode("keys").alias("i", "k"), "rid").select((F.shiftleft(F.col("i").cast("long"), 32) + F.col("k")).alias("key"), "rid")
     shared = scratch.store(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, rid long"), "shared-keys")
     members = shared.join(reps.select("rid", "id", "sig", "len").hint("merge"), "rid").drop("rid")
     fits = lambda a, b: (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= most_bits) & (F.least(a["len"], b["len"]) >= F.greatest(a["len"], b["len"]) * similarity)
@@ -121,7 +117,7 @@ def line_groups(
         texts = held.select("id", F.array_join(line_words(line), " ").alias("t")).dropDuplicates(["id"])
         texts = scratch.store(texts, "line-texts")
         both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        return both.where(similar(F.col("ta"), F.col("tb"), similarity, long_line)).select("a", "b")
+        return both.where(similar(F.col("ta"), F.col("tb"), similarity)).select("a", "b")
 
     groups = linked_groups(members, scratch, verify, fits)
     keep = reps.join(groups.select(F.col("node").alias("id"), F.col("component")), "id", "left")
@@ -130,16 +126,18 @@ def line_groups(
 
 
 def removed_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, min_words: int = 5, blocks: int = 20, most_bits: int = 24, long_line: int = 4_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, min_words: int = 5, blocks: int = 20, most_bits: int = 24, min_chars: int = 20
 ) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines to remove from each document that loses any.
 
-    Lines with fewer than ``min_words`` words are not judged and stay. Null and empty texts have no judged
+    Lines with fewer than ``min_words`` words are not judged and stay; lines without a letter or digit always
+    do. Equal judged lines are removed whatever their length. Lines of fewer than five words and fewer than
+    ``min_chars`` characters are not compared with lines that differ: "page 12" is not "page 13". Null and empty texts have no judged
     line. A null id's lines stay. Repeated rows of one id share its line numbers, so their lines stay in
     both or go from both. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    seen, keep = line_groups(docs, scratch, id_col, text_col, similarity, min_words, blocks, most_bits, long_line)
+    seen, keep = line_groups(docs, scratch, id_col, text_col, similarity, min_words, blocks, most_bits, min_chars)
     gone = seen.select("h", "doc_id", "line_no", "lid").join(keep.hint("merge"), "h").where("lid <> keep").select("doc_id", "line_no")
     return scratch.store(gone.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("lines")), "removed-lines")
 

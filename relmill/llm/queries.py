@@ -65,7 +65,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     n = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    gone = removed_lines(docs)
+    gone = removed_lines(docs, min_words=1)
     lines = F.coalesce("lines", F.array().cast("array<int>"))
     return n.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.size(lines).cast("long").alias("n_removed"), lines.alias("removed_lines"))
 

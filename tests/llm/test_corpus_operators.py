@@ -176,6 +176,24 @@ def test_line_dedup_finds_fuzzy_lines(spark):
     assert len(gone) >= 0.95 * len(pairs)
 
 
+def test_line_dedup_judges_short_long_and_unspaced_lines(spark, tmp_path):
+    from relmill.llm import queries
+
+    r = random.Random(7)
+    many = ["".join(r.choice("abcdefghij") for _ in range(7)) for _ in range(700)]
+    shuffled = r.sample(many, len(many))
+    assert len(" ".join(many)) > 4000 and edit_distance(many, shuffled) > 600
+    chinese = "今天的天气非常好我们一起去公园散步吧然后回家吃晚饭"
+    rows = [
+        (1, "Share on X\n\nPage 12"), (2, "share on x!\n\npage 13"),  # equal but for signs; blank lines and near ones stay
+        (3, chinese), (4, chinese), (5, chinese.replace("公园", "海边")),
+        (6, " ".join(many)), (7, " ".join(shuffled)), (8, " ".join([*many[:-3], "other", "words", "here"])),
+    ]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op7_line_dedup(spark, str(tmp_path)).where("n_removed > 0").collect()
+    assert {x.doc_id: x.removed_lines for x in out} == {2: [0], 4: [0], 5: [0], 8: [0]}
+
+
 def test_mixing(docs, spark):
     weights = {"src0": 5.0, "src1": 2.0, "src2": 3.0}
     out = mixing.mix(docs, weights, block_rows=2)

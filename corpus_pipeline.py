@@ -28,8 +28,10 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts fuzzy duplicate lines, all but the first of each group; n_chars follows the text."""
-    out = line_dedup(docs, min_words=1)
+    """Cuts fuzzy duplicate lines, all but the first of each group; n_chars follows the text. Documents left
+    without a letter or digit go, as all their lines are kept elsewhere; those that never had one stay."""
+    said = F.coalesce(F.col("text").rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    out = line_dedup(docs.withColumn("_said", said), min_words=1).where(~F.col("_said") | said).drop("_said")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

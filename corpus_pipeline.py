@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from relmill.llm.common import Scratch
 from relmill.llm.jaccard_join import jaccard_groups
 from relmill.llm.line_dedup import line_dedup
-from relmill.llm.mixing import in_order
+from relmill.llm.mixing import in_order, mix
 from relmill.llm.packing import pack
 from relmill.llm.queries import SOURCE_WEIGHTS
 from relmill.llm.toxicity import fold, scored_rows, train
@@ -47,10 +47,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    """The pieces of all documents and their places in sequences of 2048 tokens, numbered in the order of the
+    mixture. Files read again keep no order, so slots are worked out from the documents, as in mixing_stage."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    slots = mix(docs.select("doc_id", "source", "text"), SOURCE_WEIGHTS)
+    slots = slots.select("doc_id", "text", (F.shiftleft("_slot", 32) + F.col("_place")).alias("_at"))
+    return pack(slots, public_tokenizers.path("word_bpe_49k.json"), order_col="_at")
 
 
 STAGES = [("toxicity", toxicity_stage), ("line_dedup", line_stage), ("ngram_jaccard", jaccard_stage), ("mixing", mixing_stage), ("packing", packing_stage)]

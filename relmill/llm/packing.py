@@ -20,6 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relmill.operators.ordered import row_index
 from relmill.llm.common import KEEP, LOWER, M1, M3, Scratch, dealt_rank, mix, raw, slices, token_spans
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -216,7 +217,7 @@ class Encoder:
         return ids, out_at
 
 
-def _cut(path: str, length: int, with_ids: bool):
+def _cut(path: str, length: int, with_ids: bool, ordered: bool):
     def run(batches):
         encode = Encoder.of_worker(path)
         for batch in batches:
@@ -233,6 +234,9 @@ def _cut(path: str, length: int, with_ids: bool):
                 crc = [zlib.crc32(ids[a : a + b].astype("<u4").tobytes()) for a, b in zip(lo.tolist(), n.tolist(), strict=True)]
                 out = [pa.array(doc_id[row], pa.int64()), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(n), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if ordered:
+                    out.append(pa.array(part.column("at").to_numpy(zero_copy_only=False)[row], pa.int64()))
+                    names.append("at")
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(lo, at[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
@@ -257,23 +261,35 @@ def _place(runs: np.ndarray):
     return go
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, order_col: str | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids on request).
 
     A document is its ids and a closing id 0; null and empty texts are that id alone. Documents longer
     than ``length`` are cut every ``length`` ids, others are never cut. Ties are broken by id and piece.
+    With ``order_col`` (a long that is not null) pieces of one length are taken in its order, and sequences
+    are numbered by the order of their longest piece, the first such piece if there are several.
     A repeated row is packed once more, a null id stays null. Other columns are ignored and an empty
     table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    pieces = scratch.store(texts.mapInArrow(_cut(tokenizer_path, length, with_ids), schema), "pieces")
+    ordered = order_col is not None
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", at long" if ordered else "") + (", ids array<int>" if with_ids else "")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(order_col).cast("long").alias("at")] if ordered else []))
+    pieces = scratch.store(texts.mapInArrow(_cut(tokenizer_path, length, with_ids, ordered), schema), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``length`` rows
     if not histogram:
-        return pieces.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return pieces.drop("at").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     runs = plan(histogram, length)
-    ranked = dealt_rank(pieces, scratch, "length", ["doc_id", "piece"], sum(histogram.values())).withColumn("rank", F.col("rank").cast("long"))
     cols = [f.name for f in pieces.schema]
-    return ranked.select(*cols, "rank").mapInArrow(_place(runs), schema + ", sequence_id long, offset long")
+    if not ordered:
+        ranked = dealt_rank(pieces, scratch, "length", ["doc_id", "piece"], sum(histogram.values())).withColumn("rank", F.col("rank").cast("long"))
+        return ranked.select(*cols, "rank").mapInArrow(_place(runs), schema + ", sequence_id long, offset long")
+    # positions over all pieces, less where a length begins: one order per length, whatever the rows
+    before = scratch.spark.createDataFrame([(n, sum(c for m, c in histogram.items() if m < n)) for n in histogram], "length long, _before long")
+    ranked = row_index(pieces, ["length", "at", "doc_id", "piece"]).join(F.broadcast(before), "length").withColumn("rank", F.col("_row") - F.col("_before"))
+    placed = scratch.store(ranked.select(*cols, "rank").mapInArrow(_place(runs), schema + ", sequence_id long, offset long"), "placed")
+    first = placed.groupBy("sequence_id").agg(F.min(F.struct((-F.col("length")).alias("l"), "at", "piece")).alias("_f"))
+    number = row_index(first.select("sequence_id", "_f.at", "_f.piece"), ["at", "piece", "sequence_id"], "_number").select("sequence_id", "_number")
+    named = placed.join(scratch.store(number, "numbers").hint("merge"), "sequence_id").withColumn("sequence_id", F.col("_number"))
+    return named.select(*[c for c in cols if c != "at"], "sequence_id", "offset")

@@ -373,3 +373,25 @@ def test_pipeline(spark, tmp_path, docs):
     kept = now.count()
     pieces = cp.run(spark, str(tmp_path))
     assert pieces.select("doc_id").distinct().count() == kept < docs.count()
+
+
+def test_packing_stage_follows_the_weights(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as cp
+
+    r = random.Random(9)
+    rows = [(i, f"src{i % 2}", " ".join(r.choice(WORDS) for _ in range(2500))) for i in range(256)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    source = {i: s for i, s, _ in rows}
+    monkeypatch.setattr(cp, "STAGES", cp.STAGES[3:])  # the trained stages take no part in the order
+
+    def early(weights):
+        monkeypatch.setattr(cp, "SOURCE_WEIGHTS", weights)
+        out = cp.run(spark, str(tmp_path)).select("doc_id", "piece", "length", "sequence_id", "offset").collect()
+        used = sorted((x.sequence_id, x.offset, x.length) for x in out)
+        assert {x[0] for x in used} == set(range(len({x[0] for x in used}))) and len(set(used)) == len(used)
+        full = [source[x.doc_id] for x in sorted(out, key=lambda x: x.sequence_id) if x.length == 2048]
+        return Counter(full[: len(full) // 2])["src0"] / (len(full) // 2)
+
+    assert early({"src0": 3.0, "src1": 1.0}) > 0.7 and early({"src0": 1.0, "src1": 3.0}) < 0.3

@@ -5,9 +5,6 @@ Loops store each round in the shared folder; drivers see single numbers only, su
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,53 +109,52 @@ def closeness(vertices: DataFrame, edges: DataFrame, sources: DataFrame | None =
     return sums.select("id", F.when(F.col("_s") > 0, F.col("_r") / F.col("_s")).otherwise(0.0).alias("closeness"))
 
 
-def _brandes(edges: pd.DataFrame, directed: bool):
-    near = defaultdict(set)
-    for a, b in edges.itertuples(index=False):
-        if a != b:
-            near[a].add(b)
-            if not directed:
-                near[b].add(a)
-
-    def run(batches):
-        for batch in batches:
-            total: dict[int, float] = defaultdict(float)
-            for s in batch.id:
-                order, preds, sigma, dist = [], defaultdict(list), defaultdict(float, {s: 1.0}), {s: 0}
-                queue = deque([s])
-                while queue:
-                    v = queue.popleft()
-                    order.append(v)
-                    for w in sorted(near[v]):
-                        if w not in dist:
-                            dist[w] = dist[v] + 1
-                            queue.append(w)
-                        if dist[w] == dist[v] + 1:
-                            sigma[w] += sigma[v]
-                            preds[w].append(v)
-                delta: dict[int, float] = defaultdict(float)
-                for w in reversed(order):
-                    for v in preds[w]:
-                        delta[v] += sigma[v] / sigma[w] * (1 + delta[w])
-                    if w != s:
-                        total[w] += delta[w]
-            yield pd.DataFrame({"id": list(total), "part": list(total.values())}).astype({"id": "int64", "part": "float64"})
-
-    return run
-
-
-def betweenness(vertices: DataFrame, edges: DataFrame, directed: bool = False, most_edges: int = 1_000_000) -> DataFrame:
-    """(id, betweenness) over (n-1)(n-2) pairs, halved if undirected. The sources are spread over tasks, which
-    hold the graph; larger graphs than ``most_edges`` are refused, sample or cluster them first."""
+def betweenness(vertices: DataFrame, edges: DataFrame, directed: bool = False, block_rows: int = 50_000_000) -> DataFrame:
+    """(id, betweenness) over (n-1)(n-2) pairs, halved if undirected. Brandes level by level on tables: joins
+    forward add up the paths, joins backward the dependencies. A source has at most a row for each vertex of its
+    component; sources are taken in blocks of about ``block_rows`` such rows, which bounds the scratch tables."""
+    scratch = Scratch(edges.sparkSession)
     n = vertices.count()
-    if edges.count() > most_edges:
-        raise ValueError("too many edges for betweenness")
-    local = edges.select("src", "dst").distinct().toPandas()
-    parts = vertices.select(F.col("id").cast("long").alias("id")).mapInPandas(_brandes(local, directed), "id long, part double")
-    sums = parts.groupBy("id").agg(F.sum("part").alias("_s"))
+    pairs = scratch.store((edges.select("src", "dst") if directed else _both_ways(edges)).where("src <> dst").distinct(), "pairs")
+    every = vertices.select(F.col("id").cast("long").alias("id")).distinct()
+    sizes = connected_components(pairs, scratch, "src", "dst").groupBy("component").agg(F.count("*").cast("double").alias("_n"))
+    blocks = max(1, -(-int(sizes.agg(F.sum(F.col("_n") * F.col("_n"))).first()[0] or 0) // block_rows))
+    sums = None
+    for block in range(blocks):
+        sources = every.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
+        levels = [scratch.store(sources.select(F.col("id").alias("source"), "id", F.lit(1.0).alias("sigma")), "level")]
+        seen = levels[0].select("source", "id")
+        while True:
+            ways = levels[-1].withColumnRenamed("id", "src").join(pairs, "src").groupBy("source", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
+            new = scratch.store(ways.join(seen, ["source", "id"], "left_anti"), "level")
+            if not new.take(1):
+                scratch.drop(new)
+                break
+            seen = seen.unionByName(new.select("source", "id"))
+            levels.append(new)
+        below, parts = None, []
+        for level in reversed(levels[1:]):  # the source itself gets nothing
+            if below is None:
+                deep = level.withColumn("delta", F.lit(0.0))
+            else:
+                share = below.select("source", F.col("id").alias("dst"), ((1 + F.col("delta")) / F.col("sigma")).alias("_w")).join(pairs, "dst")
+                share = share.groupBy("source", F.col("src").alias("id")).agg(F.sum("_w").alias("_w"))
+                deep = level.join(share, ["source", "id"], "left").select("source", "id", "sigma", F.coalesce(F.col("sigma") * F.col("_w"), F.lit(0.0)).alias("delta"))
+            below = scratch.store(deep, "dependencies")
+            parts.append(below)
+        if parts:
+            total = parts[0].select("id", "delta")
+            for part in parts[1:]:
+                total = total.unionByName(part.select("id", "delta"))
+            total = scratch.store(total.groupBy("id").agg(F.sum("delta").alias("part")), "parts")
+            sums = total if sums is None else sums.unionByName(total)
+        for used in (*levels, *parts):
+            scratch.drop(used)
     scale = (n - 1) * (n - 2)
-    rows = vertices.select("id").join(sums, "id", "left")
-    return rows.select("id", (F.coalesce("_s", F.lit(0.0)) / float(scale) if scale > 0 else F.lit(0.0)).alias("betweenness"))
+    if sums is None or scale <= 0:
+        return vertices.select("id", F.lit(0.0).alias("betweenness"))
+    rows = vertices.select("id").join(sums.groupBy("id").agg(F.sum("part").alias("_s")), "id", "left")
+    return rows.select("id", (F.coalesce("_s", F.lit(0.0)) / float(scale)).alias("betweenness"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Small cases worked out by hand, and invariants."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -34,6 +35,25 @@ def test_betweenness_of_a_path_and_a_diamond(spark):
     assert two[1] == two[2] == pytest.approx(1 / 6)
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_betweenness_stays_on_tables(spark, monkeypatch, directed):
+    r = random.Random(4)
+    pairs = sorted({(r.randrange(9), r.randrange(9)) for _ in range(16)})
+    near = {v: {b for a, b in pairs if a == v != b} | ({a for a, b in pairs if b == v != a} if not directed else set()) for v in range(10)}
+    ways = {}  # all shortest paths of every pair of vertices, by extending them
+    for s in near:
+        level, seen = [[s]], {s}
+        while level:
+            level = [[*p, w] for p in level for w in near[p[-1]] if w not in seen]
+            seen |= {p[-1] for p in level}
+            for p in level:
+                ways.setdefault((s, p[-1]), []).append(p)
+    want = {v: sum(sum(v in p[1:-1] for p in ps) / len(ps) for ps in ways.values()) / (9 * 8) for v in near}
+    v, e = graph_of(spark, pairs, 10)
+    monkeypatch.setattr(type(e), "toPandas", None)
+    assert as_dict(analytics.betweenness(v, e, directed, block_rows=60)) == pytest.approx(want)
+
+
 def test_triangles_clustering_and_components(spark):
     v, e = graph_of(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (5, 6), (1, 0), (4, 4)], 7)
     assert as_dict(analytics.triangles(e)) == {0: 1, 1: 1, 2: 1}

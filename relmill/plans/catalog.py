@@ -580,19 +580,19 @@ def is_connected(spark, sf_dir):
 @query(f"with recursive {SMALL}, w as (select 1::bigint as id, 0 as level union select dst, level + 1 from w join u on src = w.id where level < 12) select id, min(level)::int as level from w group by 1")
 def bfs_levels(spark, sf_dir):
     v, e = small_graph(spark, sf_dir)
-    return analytics.bfs_levels(e, v.where("id = 1"), most=12).select("id", "level")
+    return analytics.bfs_levels(e, v.where("id = 1")).select("id", "level")
 
 
 @query(f"with recursive {SMALL}, uw as (select src, dst, weight from e union all select dst, src, weight from e), w as (select 1::bigint as id, 0.0::double as d union select dst, w.d + weight from w join uw on src = w.id where w.d + weight <= 400) select id, min(d) as distance from w group by 1")
 def shortest_paths(spark, sf_dir):
     v, e = small_graph(spark, sf_dir)
-    return analytics.shortest_paths(e, v.where("id = 1")).where("distance <= 400").select("id", "distance")
+    return analytics.shortest_paths(e, v.where("id = 1")).select("id", "distance")
 
 
 @query()
 def closeness(spark, sf_dir):
     v, e = small_graph(spark, sf_dir)
-    return analytics.closeness(v, e, v.where("id <= 20"))
+    return analytics.closeness(v, e)
 
 
 @query()
@@ -635,8 +635,7 @@ def cycle_vertices(spark, sf_dir):
 
 @query()
 def greedy_colouring(spark, sf_dir):
-    v, e = small_graph(spark, sf_dir)
-    return analytics.greedy_colouring(v, e.where("weight >= 16"))
+    return analytics.greedy_colouring(*small_graph(spark, sf_dir))
 
 
 @query(f"""with {SMALL}, {TRIANGLES}, d as (select id, count(*) as d from (select unnest([a, b]) as id from p) group by 1), c as (select (select count(*) from v)::bigint as n, (select count(*) from e)::bigint as m)

@@ -5,6 +5,8 @@ Loops store each round in the shared folder; drivers see single numbers only, su
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +68,14 @@ def degree_centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id", F.when(F.col("_n") > 1, F.coalesce("_d", F.lit(0)) / (F.col("_n") - 1)).otherwise(0.0).alias("centrality"))
 
 
-def bfs_levels(edges: DataFrame, sources: DataFrame, directed: bool = False, most: int = 1_000) -> DataFrame:
-    """(source, id, level, pred): hops from each source (a table with id) and the smallest predecessor."""
+def bfs_levels(edges: DataFrame, sources: DataFrame, directed: bool = False, most: int | None = None) -> DataFrame:
+    """(source, id, level, pred): hops from each source (a table with id) and the smallest predecessor; up to
+    ``most`` hops if given."""
     scratch = Scratch(edges.sparkSession)
     pairs = scratch.store((edges.select("src", "dst") if directed else _both_ways(edges)).where("src <> dst").distinct(), "pairs")
     seen = scratch.store(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("pred")).distinct(), "level")
     frontier = seen
-    for level in range(1, most + 1):
+    for level in count(1) if most is None else range(1, most + 1):
         new = frontier.select("source", F.col("id").alias("src")).join(pairs, "src").groupBy("source", F.col("dst").alias("id")).agg(F.min("src").alias("pred"))
         new = scratch.store(new.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(level).alias("level"), "pred"), "level")
         if not new.take(1):
@@ -81,14 +84,14 @@ def bfs_levels(edges: DataFrame, sources: DataFrame, directed: bool = False, mos
     return seen
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False, most: int = 1_000) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
     """(source, id, distance, pred) by relaxing from the vertices that improved; weights must not be negative."""
     scratch = Scratch(edges.sparkSession)
     pairs = edges.select("src", "dst", "weight") if directed else _both_ways(edges, "weight")
     pairs = scratch.store(pairs.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "pairs")
     best = scratch.store(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("pred")).distinct(), "best")
     fresh = best
-    for _ in range(most):
+    while True:
         ways = fresh.select("source", F.col("id").alias("src"), "distance").join(pairs, "src")
         offer = ways.select("source", F.col("dst").alias("id"), (F.col("distance") + F.col("weight")).alias("distance"), F.col("src").alias("pred"))
         offer = offer.groupBy("source", "id").agg(F.min(F.struct("distance", "pred")).alias("_o"))
@@ -217,12 +220,12 @@ def modularity(communities: DataFrame, edges: DataFrame, resolution: float = 1.0
     return both.agg(F.sum(F.col("e") / F.col("m") - resolution * F.pow(F.col("d") / (2 * F.col("m")), 2.0)).alias("modularity"))
 
 
-def cycle_vertices(edges: DataFrame, most: int = 10_000) -> DataFrame:
+def cycle_vertices(edges: DataFrame) -> DataFrame:
     """(id) of the vertices left after peeling those without in-edges again and again; empty without a cycle."""
     scratch = Scratch(edges.sparkSession)
     now = scratch.store(edges.select("src", "dst").distinct(), "edges")
     size = now.count()
-    for _ in range(most):
+    while True:
         kept = scratch.store(now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), "edges")
         new = kept.count()
         scratch.drop(now)
@@ -233,14 +236,14 @@ def cycle_vertices(edges: DataFrame, most: int = 10_000) -> DataFrame:
     return now.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
-def greedy_colouring(vertices: DataFrame, edges: DataFrame, most: int = 1_000) -> DataFrame:
+def greedy_colouring(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, colour): rounds of independent sets. A vertex is coloured once all its smaller neighbours are, with
     the smallest colour that none of them has, which is greedy colouring in order of id."""
     scratch = Scratch(edges.sparkSession)
     pairs = scratch.store(simple_pairs(edges), "pairs")
     done = vertices.select("id").join(pairs.select(F.col("b").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("colour"))
     done, left = scratch.store(done, "done"), vertices.select("id").join(done.select("id"), "id", "left_anti")
-    for _ in range(most):
+    while True:
         left = scratch.store(left, "left")
         if not left.take(1):
             break

@@ -1,5 +1,6 @@
 """Small cases worked out by hand, and invariants."""
 
+import inspect
 import math
 import random
 
@@ -77,6 +78,15 @@ def test_paths(spark):
     assert as_dict(analytics.closeness(v, e, start))[0] == pytest.approx(3 / 4)
 
 
+def test_graph_loops_have_no_silent_cap(spark):
+    for f in (analytics.bfs_levels, analytics.shortest_paths, analytics.greedy_colouring, analytics.cycle_vertices):
+        most = inspect.signature(f).parameters.get("most")
+        assert most is None or most.default is None
+    v, e = graph_of(spark, [(0, 1), (1, 2), (2, 3)])
+    assert {r.id for r in analytics.bfs_levels(e, v.where("id = 0"), most=2).collect()} == {0, 1, 2}
+    assert analytics.cycle_vertices(e).count() == 0
+
+
 def test_labels_colours_cycles(spark):
     v, e = graph_of(spark, [(0, 1), (1, 2), (2, 0), (2, 3)])
     colours = as_dict(analytics.greedy_colouring(v, e))

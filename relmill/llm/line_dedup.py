@@ -1,144 +1,155 @@
 """Fuzzy line deduplication on DataFrames alone.
 
-Lines are normalised (case, signs and white space) and equal ones collapsed. Each distinct line gets MinHash
-keys over its words of four letters or more (over all words if it has none): short words are in most lines
-and would make strangers look alike. In scripts without spaces, pairs of characters stand for words. A key
-joins ROWS minima; lines that share one of the ``blocks`` keys are candidates. With a share j of common words
-a pair is found with a chance of 1 - (1 - j^4)^blocks. Candidates must agree on most bits of a sketch of 64
-minima and pass a check of edit similarity. The first line of each connected group stays, in order of
-document and line number.
-
-Most keys belong to one line alone. They are dropped in one pass over keys in order, before lines are joined.
+Lines are normalised (case, signs and white space) and equal ones collapsed. A SimHash moves by many bits when one
+word in ten changes, so blocks of its bits, joined as pigeonholes, miss most of the lines with an edit similarity
+near 0.75 (README has the figures). Lines are therefore joined on blocks of another fingerprint with the same
+chain of steps: each of SAMPLES hashes elects the word that it ranks first, and a block joins ROWS of the elected.
+With a share j of common words a block is equal with a chance of j^4. Lines that agree on any of the ``blocks``
+and on enough bits of a sketch of all the elected words are candidates. They must pass a check of edit
+similarity. The first line of each connected group stays, in order of document and line number.
+
+The elected are telling words, of four letters or more: short ones are in most lines and would make strangers look
+alike. Lines without any elect among all their words. In lines of scripts without spaces, pairs of characters
+stand for words.
 """
 
 from __future__ import annotations
 
-import sys
+from functools import reduce
 
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relmill.llm.common import M2, Scratch, linked_groups, mix, slices, word_hashes
+from relmill.llm.common import M1, Scratch, linked_groups
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-ROWS = 4
+ROWS, SAMPLES = 4, 20
+SKETCH = 3  # bits of each elected word's hash in the sketch
+KEY_BITS = 44
 FUZZY_WORDS = 5
+PASS = 4  # blocks that are joined at once: bounds the shuffled keys on disk
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def line_words(line: Column) -> Column:
-    """The words of a normalised line: runs of letters and digits, lower-cased."""
-    return F.filter(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def _min_hashes(blocks: int):
-    """The keys and the sketch of each line, by the words in ``tokens``."""
-    n = max(64, ROWS * blocks)
-    seeds = mix(np.arange(1, n + 1, dtype=np.uint64) * M2)
-
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "tokens"):
-                h, line = word_hashes(part.column("tokens"))
-                begin = np.searchsorted(line, np.arange(part.num_rows))
-                low = [np.minimum.reduceat(mix(h ^ s), begin) for s in seeds]
-                sig = np.zeros(part.num_rows, np.uint64)
-                for k in range(64):
-                    sig |= (low[k] & np.uint64(1)) << np.uint64(k)
-                keys = np.empty((part.num_rows, blocks), np.int32)
-                for i in range(blocks):
-                    key = np.full(part.num_rows, i, np.uint64)
-                    for r in range(ROWS):
-                        key = mix(key ^ low[i * ROWS + r])
-                    keys[:, i] = (key >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, blocks, dtype=np.int32)), pa.array(keys.ravel()))
-                kept = [c for c in part.schema.names if c != "tokens"]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(sig.view(np.int64)), lists], [*kept, "sig", "keys"])
-
-    return run
-
-
-def _shared(batches):
-    """The rows whose key another row has; rows come in order of key."""
-    key, rid, met = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-    for batch in batches:
-        key, rid = (np.append(x, batch.column(i).to_numpy(zero_copy_only=False)) for i, x in enumerate((key, rid)))
-        if not len(key):
-            continue
-        keep = np.append(key[1:] == key[:-1], False)
-        keep[1:] |= key[1:] == key[:-1]
-        keep[0] |= met
-        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][keep[:-1]]), pa.array(rid[:-1][keep[:-1]])], ["key", "rid"])
-        key, rid, met = key[-1:], rid[-1:], bool(keep[-1])  # the last row waits for its follower
-    if met:
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(rid)], ["key", "rid"])
-
-
-def similar(a: Column, b: Column, similarity: float) -> Column:
-    """Edit similarity, 1 - distance / longer length, of at least ``similarity``, at every length."""
-    most = F.floor(F.greatest(F.length(a), F.length(b)) * (1 - similarity)).cast("int")
-    return F.call_function("levenshtein", a, b, most) >= 0  # -1 beyond the bound, which a narrow band can tell
+    """The words of a line: runs of letters and digits, lower-cased."""
+    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
+
+
+def block_samples(blocks: int) -> list[list[int]]:
+    """Which samples make up each block: spread evenly, few pairs twice."""
+    used, paired, out = [0] * SAMPLES, [[0] * SAMPLES for _ in range(SAMPLES)], []
+    for b in range(blocks):
+        chosen: list[int] = []
+        for _ in range(ROWS):
+            free = [i for i in range(SAMPLES) if i not in chosen]
+            chosen.append(min(free, key=lambda i: (2 * used[i] + 3 * sum(paired[i][j] for j in chosen), (i * 7 + b * 11) % SAMPLES)))
+        for i in chosen:
+            used[i] += 1
+            for j in chosen:
+                paired[i][j] += i != j
+        out.append(chosen)
+    return out
+
+
+def with_keys(lines: DataFrame, blocks: int) -> DataFrame:
+    """Adds sketch and keys to lines with ``list``, their words, and norm, the words joined."""
+    keep = [c for c in lines.columns if c != "list"]
+    telling = F.filter("list", lambda w: F.length(w) >= 4)
+    pairs = F.split(F.regexp_replace("norm", f"({UNSPACED})(?=({UNSPACED}))", "$1$2 "), " ")
+    dense = F.octet_length("norm") * 2 >= F.length("norm") * 3  # three bytes a character, as such scripts have
+    words = lines.select(*keep, F.when(dense, pairs).otherwise(F.when(F.size(telling) > 0, telling).otherwise(F.col("list"))).alias("_w"))
+    hashed = words.select(*keep, F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
+    turn = [(int(M1) * (2 * i + 1)) % (1 << 63) for i in range(SAMPLES)]  # each ranks the hashes in another order
+    elect = lambda c: F.array_min(F.transform("_h", lambda h: h.bitwiseXOR(F.lit(c))))
+    chosen = hashed.select(*keep, *[elect(c).alias(f"_m{i}") for i, c in enumerate(turn)])
+    own = [F.xxhash64(F.col(f"_m{i}").bitwiseXOR(F.lit(c))) for i, c in enumerate(turn)]  # turned back, mixed anew
+    bits = [F.shiftleft(x.bitwiseAND(F.lit((1 << SKETCH) - 1)), SKETCH * i) for i, x in enumerate(own)]
+    keys = [F.shiftrightunsigned(F.xxhash64(F.lit(b), *[F.col(f"_m{i}") for i in row]), 64 - KEY_BITS) for b, row in enumerate(block_samples(blocks))]
+    return chosen.select(*keep, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sketch"), F.array(*keys).alias("keys"))
+
+
+def symbols(norm: Column) -> Column:
+    """A text with one character for each word, so that levenshtein counts words."""
+    code = F.transform(F.split(norm, " "), lambda w: F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(w), F.lit(0x5200))))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+
+
+def within(a: Column, b: Column, least: float) -> Column:
+    """Whether 1 - distance / longer length is at least ``least``. A narrow band settles most true pairs."""
+    longer = F.greatest(F.length(a), F.length(b))
+    near = lambda most: F.call_function("levenshtein", a, b, most.cast("int")) >= 0  # noqa: E731  -1 beyond the bound
+    most = F.floor(longer * (1 - least))
+    return F.when(near(F.least(most, F.floor(longer / 16) + 2)), True).otherwise(near(most))
+
+
+def similar(pairs: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (ta, tb, sa, sb: lines and their symbols) whose edit similarity is at least ``similarity`` in words or,
+    where at least half as much is alike in words, in characters; the same at every length."""
+    words = within(F.col("sa"), F.col("sb"), similarity)
+    return pairs.where(words | (within(F.col("sa"), F.col("sb"), similarity / 2) & within(F.col("ta"), F.col("tb"), similarity)))
 
 
 def line_groups(
     docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, similarity: float, min_words: int, blocks: int, most_bits: int, min_chars: int
 ) -> tuple[DataFrame, DataFrame]:
-    """All judged lines (h, doc_id, line_no, lid) and, for lines in a group of several, h and keep."""
+    """All judged lines (h1, h2, doc_id, line_no, lid) and, for lines in a group of several, h1, h2 and keep."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "line")).where("doc_id is not null")
-    lid = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")
-    norm = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("words")).where(F.size("words") >= max(min_words, 1)).withColumn("norm", F.array_join("words", " "))
-    telling = F.filter("words", lambda w: F.length(w) >= 4)
-    tokens = F.regexp_replace(F.array_join(F.when(F.size(telling) > 0, telling).otherwise(F.col("words")), " "), f"({UNSPACED})(?=({UNSPACED}))", "$1$2 ")
-    norm = norm.select("doc_id", "line_no", F.unhex(F.md5("norm")).alias("h"), F.length("norm").alias("len"), lid.cast("decimal(38,0)").alias("lid"), (F.size("words") >= FUZZY_WORDS).alias("wordy"), tokens.alias("tokens"))
-    schema = "doc_id long, line_no int, h binary, len int, lid decimal(38,0), wordy boolean, sig long, keys array<int>"
-    hashed = scratch.store(norm.mapInArrow(_min_hashes(blocks), schema), "hashed-lines")
-    seen = scratch.store(hashed.select("h", "doc_id", "line_no", "lid"), "lines")
-    reps = hashed.groupBy("h").agg(F.min("lid").alias("id"), F.count("*").alias("n"), F.first(F.struct("sig", "len", "wordy", "keys")).alias("_f"))
-    reps = scratch.store(reps.select("h", "id", "n", "_f.*", F.monotonically_increasing_id().alias("rid")), "distinct-lines")
-    scratch.drop(hashed)
-    keyed = reps.where(F.col("wordy") | (F.col("len") >= min_chars)).select(F.posexplode("keys").alias("i", "k"), "rid").select((F.shiftleft(F.col("i").cast("long"), 32) + F.col("k")).alias("key"), "rid")
-    shared = scratch.store(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, "key long, rid long"), "shared-keys")
-    members = shared.join(reps.select("rid", "id", "sig", "len").hint("merge"), "rid").drop("rid")
-    fits = lambda a, b: (F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= most_bits) & (F.least(a["len"], b["len"]) >= F.greatest(a["len"], b["len"]) * similarity)
+    lines = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("list")).where(F.size("list") >= max(min_words, 1))
+    lines = lines.select("doc_id", "line_no", "list", F.array_join("list", " ").alias("norm"))
+    lines = lines.select("doc_id", "line_no", F.xxhash64(F.lit(1), "norm").alias("h1"), F.xxhash64(F.lit(2), "norm").alias("h2"), (F.size("list") >= FUZZY_WORDS).alias("wordy"), F.length("norm").alias("len"), "list", "norm")
+    lines = scratch.store(with_keys(lines, blocks).withColumn("rid", F.monotonically_increasing_id()), "lines")
+    lid = (F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
+    placed = lines.select("rid", "h1", "h2", "doc_id", "line_no", lid.alias("lid"))
+
+    # of equal lines, one stands for all
+    equal = placed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rid").alias("rid"), F.min("lid").alias("lid")).where("n > 1")
+    equal = scratch.store(equal.select("h1", "h2", "rid", "lid"), "equal-lines")
+    few = equal.count() <= 500_000  # their list is broadcast only if it is short
+    first = equal.select("h1", "h2", F.col("rid").alias("_first"))
+    compared = lines.where(F.col("wordy") | (F.col("len") >= min_chars)).select("rid", "h1", "h2", "sketch", "len", "keys")
+    compared = compared.join(F.broadcast(first) if few else first.hint("merge"), ["h1", "h2"], "left").where("_first is null or _first = rid")
+    shared = []
+    for start in range(0, blocks, PASS):  # most keys belong to one line alone and go before lines are joined
+        keyed = compared.select(F.explode(F.slice("keys", start + 1, PASS)).alias("key"), F.col("rid").alias("id"), "sketch", "len")
+        keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
+        shared.append(scratch.store(keyed, "shared-keys"))
+
+    def fits(a, b):
+        near = F.bit_count(a["sketch"].bitwiseXOR(b["sketch"])) <= most_bits
+        return near & (F.least(a["len"], b["len"]) >= F.greatest(a["len"], b["len"]) * similarity)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        # back from ids to documents and lines: only documents that hold a candidate are read again
-        place = F.pmod("id", F.lit(2**32).cast("decimal(10,0)"))
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("place", place.cast("int"))
-        wanted = scratch.store(wanted.withColumn("doc", ((F.col("id") - place) / F.lit(2**32).cast("decimal(10,0)")).cast("long")), "wanted-lines")
-        small = wanted.count() <= 500_000  # their list is broadcast only if it is short
-        hint = (lambda d: F.broadcast(d)) if small else (lambda d: d.hint("merge"))
-        held = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_t")).join(hint(wanted), "doc")
-        line = F.split("_t", "\n", -1)[F.col("place")]
-        texts = held.select("id", F.array_join(line_words(line), " ").alias("t")).dropDuplicates(["id"])
-        texts = scratch.store(texts, "line-texts")
-        both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        return both.where(similar(F.col("ta"), F.col("tb"), similarity)).select("a", "b")
-
-    groups = linked_groups(members, scratch, verify, fits)
-    keep = reps.join(groups.select(F.col("node").alias("id"), F.col("component")), "id", "left")
-    keep = keep.where("n > 1 or component is not null").select("h", F.coalesce("component", "id").alias("keep"))
-    return seen, scratch.store(keep, "kept-lines")
+        wanted = scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "wanted-lines")
+        small = wanted.count() <= 500_000  # as above
+        texts = lines.select("rid", "norm").join(F.broadcast(wanted) if small else wanted.hint("merge"), "rid")
+        texts = scratch.store(texts.withColumn("sym", symbols(F.col("norm"))), "line-texts")
+        side = lambda x: texts.select(F.col("rid").alias(x), F.col("norm").alias(f"t{x}"), F.col("sym").alias(f"s{x}")).hint("merge")
+        tasks = max(3 * scratch.spark.sparkContext.defaultParallelism, -(-pairs.count() // 10_000))  # few bytes, much work
+        return similar(pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks), similarity).select("a", "b")
+
+    groups = linked_groups(reduce(DataFrame.unionByName, shared), scratch, verify, fits)
+    nodes = placed.join(groups.select(F.col("node").alias("rid"), "component").hint("merge"), "rid")
+    held = nodes.select("h1", "h2", "rid", "lid", "component").unionByName(equal.withColumn("component", F.lit(None).cast("long")))
+    held = held.groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.min("lid").alias("lid"), F.max("component").alias("component"))
+    held = scratch.store(held.select("h1", "h2", "lid", F.coalesce("component", "rid").alias("class")), "classes")
+    keep = scratch.store(held.groupBy("class").agg(F.min("lid").alias("keep")), "first-lines")
+    return placed, scratch.store(held.join(keep.hint("merge"), "class").select("h1", "h2", "keep"), "kept-lines")
 
 
 def removed_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, min_words: int = 5, blocks: int = 20, most_bits: int = 24, min_chars: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, min_words: int = 1, blocks: int = 20, most_bits: int = 20, min_chars: int = 20
 ) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines to remove from each document that loses any.
 
     Lines with fewer than ``min_words`` words are not judged and stay; lines without a letter or digit always
     do. Equal judged lines are removed whatever their length. Lines of fewer than five words and fewer than
-    ``min_chars`` characters are not compared with lines that differ: "page 12" is not "page 13". Null and empty texts have no judged
-    line. A null id's lines stay. Repeated rows of one id share its line numbers, so their lines stay in
-    both or go from both. An empty table gives an empty result.
+    ``min_chars`` characters are not compared with lines that differ: "page 12" is not "page 13". Null and empty
+    texts have no judged line. A null id's lines stay. Repeated rows of one id share its line numbers, so their
+    lines stay in both or go from both. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
     seen, keep = line_groups(docs, scratch, id_col, text_col, similarity, min_words, blocks, most_bits, min_chars)
-    gone = seen.select("h", "doc_id", "line_no", "lid").join(keep.hint("merge"), "h").where("lid <> keep").select("doc_id", "line_no")
+    gone = seen.join(keep.hint("merge"), ["h1", "h2"]).where("lid <> keep").select("doc_id", "line_no")
     return scratch.store(gone.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("lines")), "removed-lines")
 
 

@@ -79,6 +79,11 @@ def token_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each lower-cased word and the number of the text that it is in, in text order."""
+    return sized_hashes(texts)[:2]
+
+
+def sized_hashes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, with the words' numbers of bytes."""
     data, offsets = raw(texts)
     low = np.full(len(data) + 8, 32, np.uint8)
     low[: len(data)] = LOWER[data]
@@ -93,7 +98,7 @@ def word_hashes(texts) -> tuple[np.ndarray, np.ndarray]:
         h[where] = mix((h[where] ^ part) * M1 + M3)
         more = left > 8
         where, at, left = where[more], at[more] + 8, left[more] - 8
-    return h, doc
+    return h, doc, size
 
 
 # ------------------------------------------------------------------------------------------------

@@ -1,103 +1,235 @@
-"""Fuzzy line deduplication on DataFrames alone.
-
-Lines are normalised (case, signs and white space) and equal ones collapsed. A SimHash moves by many bits when one
-word in ten changes, so blocks of its bits, joined as pigeonholes, miss most of the lines with an edit similarity
-near 0.75 (README has the figures). Lines are therefore joined on blocks of another fingerprint with the same
-chain of steps: each of SAMPLES hashes elects the word that it ranks first, and a block joins ROWS of the elected.
-With a share j of common words a block is equal with a chance of j^4. Lines that agree on any of the ``blocks``
-and on enough bits of a sketch of all the elected words are candidates. They must pass a check of edit
+"""Fuzzy line deduplication.
+
+Lines are normalised (case, signs and white space) and equal ones collapsed. Every distinct line has a SimHash of 64
+bits, the majority vote of its telling words' hashes, and ``blocks`` join keys. Blocks of the SimHash's own bits, joined
+as pigeonholes, miss most of the lines with an edit similarity near 0.75, because one word in ten moves eight bits of
+64 (README has the figures). The votes on a block are therefore sampled: each of ROWS hashes elects the word that it
+ranks first, and the block is equal when the elected are. With a share j of common words that has a chance of j^4.
+Lines that agree on any block and on enough bits of the SimHash are candidates, and must pass a check of edit
 similarity. The first line of each connected group stays, in order of document and line number.
 
-The elected are telling words, of four letters or more: short ones are in most lines and would make strangers look
-alike. Lines without any elect among all their words. In lines of scripts without spaces, pairs of characters
-stand for words.
+Telling words have four bytes or more: short ones are in most lines and would make strangers look alike. Lines without
+any elect among all their words. In lines of scripts without spaces, pairs of characters stand for words.
+
+Most keys belong to one line alone. They travel in messages, one for each batch of lines and bucket of keys, and only
+those that two lines share become rows. A key that many lines of a batch share is settled in the batch and sends one
+line, so that the bucket of a hot key stays small.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import sys
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import M1, Scratch, linked_groups
+from relmill.llm.common import M1, M2, M3, Scratch, linked_groups, mix, sized_hashes, slices
 
-ROWS, SAMPLES = 4, 20
-SKETCH = 3  # bits of each elected word's hash in the sketch
-KEY_BITS = 44
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+ROWS = 4
+KEY_BITS = 48
 FUZZY_WORDS = 5
-PASS = 4  # blocks that are joined at once: bounds the shuffled keys on disk
-UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
-
-
-def line_words(line: Column) -> Column:
-    """The words of a line: runs of letters and digits, lower-cased."""
-    return F.array_remove(F.split(F.lower(line), r"[^\p{L}\p{N}]+"), "")
-
-
-def block_samples(blocks: int) -> list[list[int]]:
-    """Which samples make up each block: spread evenly, few pairs twice."""
-    used, paired, out = [0] * SAMPLES, [[0] * SAMPLES for _ in range(SAMPLES)], []
-    for b in range(blocks):
-        chosen: list[int] = []
-        for _ in range(ROWS):
-            free = [i for i in range(SAMPLES) if i not in chosen]
-            chosen.append(min(free, key=lambda i: (2 * used[i] + 3 * sum(paired[i][j] for j in chosen), (i * 7 + b * 11) % SAMPLES)))
-        for i in chosen:
-            used[i] += 1
-            for j in chosen:
-                paired[i][j] += i != j
-        out.append(chosen)
-    return out
+BUCKET_KEYS = 2_000_000  # keys of a bucket, on average: 32 MB
+#: Thai, Lao, Myanmar, Khmer, kana and Han.
+UNSPACED = re.compile("([฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿])(?=[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿])")
+
+
+def normalised(lines: pa.Array) -> pa.Array:
+    """Runs of letters and digits, lower-cased, one space between them."""
+    return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\pL\pN]+", " "))
+
+
+def line_tokens(norm: pa.Array) -> pa.Array:
+    """norm with a space after each character of a script without spaces that another one follows, doubled into pairs."""
+    dense = np.flatnonzero(pc.greater_equal(pc.multiply(pc.binary_length(norm), 2), pc.multiply(pc.utf8_length(norm), 3)).to_numpy(zero_copy_only=False))
+    if not len(dense):
+        return norm
+    out = norm.to_pylist()
+    for i in dense.tolist():
+        s = out[i]
+        out[i] = UNSPACED.sub(lambda m: f"{m[1]}{s[m.end()]} ", s)
+    return pa.array(out, pa.large_string())
+
+
+def _sketch(min_words: int, blocks: int):
+    """The judged lines of documents: numbers, two hashes, length, SimHash, keys and the normalised line."""
+    turns = mix(np.arange(1, ROWS * blocks + 1, dtype=np.uint64) * M2) | np.uint64(1)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                lists = pc.split_pattern(part.column("text").cast(pa.large_string()).fill_null(""), "\n")
+                count = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(count)), count)
+                line_no = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                norm = normalised(lists.flatten())
+                words = pc.add(pc.count_substring(norm, " "), 1).to_numpy(zero_copy_only=False)
+                keep = (pc.binary_length(norm).to_numpy(zero_copy_only=False) > 0) & (words >= min_words)
+                norm, row, line_no, words = norm.filter(pa.array(keep)), row[keep], line_no[keep], words[keep]
+                if not len(row):
+                    continue
+                h, line, size = sized_hashes(line_tokens(norm))
+                n = np.bincount(line, minlength=len(row))
+                begin = np.cumsum(n) - n
+                place = (np.arange(len(h)) - np.repeat(begin, n)).astype(np.uint64)
+                h1, h2 = (np.add.reduceat(mix(h + place * m + M3), begin) for m in (M1, M2))
+                telling = size >= 4
+                use = telling | ~(np.bincount(line[telling], minlength=len(row)) > 0)[line]
+                h, line = h[use], line[use]
+                n = np.bincount(line, minlength=len(row))
+                begin = np.cumsum(n) - n
+                votes = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), begin, axis=0, dtype=np.int32)
+                sig = np.packbits(votes * 2 > n[:, None], axis=1).view(np.uint64).ravel()
+                keys = np.empty((len(row), blocks), np.int64)
+                for b in range(blocks):
+                    key = np.full(len(row), b, np.uint64)
+                    for turn in turns[b * ROWS : (b + 1) * ROWS]:
+                        key = mix(key ^ np.minimum.reduceat(h * turn, begin))
+                    keys[:, b] = (key >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, blocks, dtype=np.int32)), pa.array(keys.ravel()))
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids, pa.int64()), pa.array(line_no.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(words >= FUZZY_WORDS)]
+                    + [pc.utf8_length(norm).cast(pa.int32()), pa.array(sig.view(np.int64)), lists, norm.cast(pa.string())],
+                    ["doc_id", "line_no", "h1", "h2", "wordy", "len", "sig", "keys", "norm"],
+                )
+
+    return run
+
 
+PAIR = np.dtype([("key", "<i8"), ("rid", "<i8")])
 
-def with_keys(lines: DataFrame, blocks: int) -> DataFrame:
-    """Adds sketch and keys to lines with ``list``, their words, and norm, the words joined."""
-    keep = [c for c in lines.columns if c != "list"]
-    telling = F.filter("list", lambda w: F.length(w) >= 4)
-    pairs = F.split(F.regexp_replace("norm", f"({UNSPACED})(?=({UNSPACED}))", "$1$2 "), " ")
-    dense = F.octet_length("norm") * 2 >= F.length("norm") * 3  # three bytes a character, as such scripts have
-    words = lines.select(*keep, F.when(dense, pairs).otherwise(F.when(F.size(telling) > 0, telling).otherwise(F.col("list"))).alias("_w"))
-    hashed = words.select(*keep, F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
-    turn = [(int(M1) * (2 * i + 1)) % (1 << 63) for i in range(SAMPLES)]  # each ranks the hashes in another order
-    elect = lambda c: F.array_min(F.transform("_h", lambda h: h.bitwiseXOR(F.lit(c))))
-    chosen = hashed.select(*keep, *[elect(c).alias(f"_m{i}") for i, c in enumerate(turn)])
-    own = [F.xxhash64(F.col(f"_m{i}").bitwiseXOR(F.lit(c))) for i, c in enumerate(turn)]  # turned back, mixed anew
-    bits = [F.shiftleft(x.bitwiseAND(F.lit((1 << SKETCH) - 1)), SKETCH * i) for i, x in enumerate(own)]
-    keys = [F.shiftrightunsigned(F.xxhash64(F.lit(b), *[F.col(f"_m{i}") for i in row]), 64 - KEY_BITS) for b, row in enumerate(block_samples(blocks))]
-    return chosen.select(*keep, reduce(lambda a, b: a.bitwiseOR(b), bits).alias("sketch"), F.array(*keys).alias("keys"))
 
+def _runs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """pairs in order of key and rid, whether another one has the same key, and whether it is the first that has."""
+    pairs = pairs[np.lexsort((pairs["rid"], pairs["key"]))]
+    same = pairs["key"][1:] == pairs["key"][:-1]
+    return pairs, np.append(same, False) | np.append(False, same), ~np.append(False, same)
 
-def symbols(norm: Column) -> Column:
-    """A text with one character for each word, so that levenshtein counts words."""
-    code = F.transform(F.split(norm, " "), lambda w: F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(w), F.lit(0x5200))))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
 
+def _messages(buckets: int):
+    """Keys of a batch by bucket; those that several of its lines share in bucket -1, and once in their own."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("keys")
+            pairs = np.empty(len(lists.flatten()), PAIR)
+            pairs["key"] = lists.flatten().to_numpy(zero_copy_only=False)
+            pairs["rid"] = np.repeat(batch.column("rid").to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            if not len(pairs):
+                continue
+            pairs, met, first = _runs(pairs)
+            out, names = [pairs[met].tobytes()], [-1]
+            pairs = pairs[first]
+            bucket = pairs["key"] % buckets
+            order = np.argsort(bucket, kind="stable")
+            pairs, bucket = pairs[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            out += [x.tobytes() for x in np.split(pairs, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(names, bucket[cuts]).astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "data"])
+
+    return run
+
+
+def _open(batches):
+    for batch in batches:
+        pairs = np.frombuffer(b"".join(batch.column("data").to_pylist()), PAIR)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs["key"].copy()), pa.array(pairs["rid"].copy())], ["key", "id"])
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    pairs, met, _ = _runs(np.frombuffer(b"".join(table.column("data").to_pylist()), PAIR))
+    return pa.table({"key": pairs["key"][met], "id": pairs["rid"][met]})
+
+
+def _core(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both without the ends that they have in common, which cost nothing."""
+    for turn in (1, -1):
+        n = min(len(x), len(y))
+        p, q = x[::turn][:n], y[::turn][:n]
+        unlike = np.flatnonzero(p != q)
+        same = int(unlike[0]) if len(unlike) else n
+        x, y = (x[same:], y[same:]) if turn == 1 else (x[: len(x) - same], y[: len(y) - same])
+    return x, y
+
+
+def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Levenshtein distances of pairs of code arrays, bit-parallel (Myers, 1999; blocks after Hyyro, 2003).
+
+    The columns' words of 64 rows depend on each other from top to bottom, so all words of all pairs advance
+    together, each one column behind the word above it."""
+    a, b = zip(*[_core(x, y) for x, y in zip(a, b, strict=True)], strict=True) if len(a) else (a, b)
+    out = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    todo = sorted((i for i in range(len(a)) if len(a[i]) and len(b[i])), key=lambda i: (len(a[i]), len(b[i])))
+    one, zero, full = np.uint64(1), np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
+    while todo:
+        width = -(-len(a[todo[0]]) // 64)
+        some = [i for i in todo[: max(1, 4096 // width)] if -(-len(a[i]) // 64) <= width + width // 8]
+        todo = todo[len(some) :]
+        m, n = np.array([len(a[i]) for i in some]), np.array([len(b[i]) for i in some])
+        p, w, cols = len(some), -(-int(m.max()) // 64), int(n.max())
+        pair = np.repeat(np.arange(p), m)
+        codes, local = np.unique(pair.astype(np.int64) << 32 | np.concatenate([a[i] for i in some]).astype(np.int64), return_inverse=True)
+        start = np.searchsorted(codes, np.arange(p).astype(np.int64) << 32)
+        letters = int(np.bincount((codes >> 32).astype(np.int64), minlength=p).max()) + 1  # the last one is in no pattern
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
+        peq = np.zeros((p, letters, w), np.uint64)
+        np.bitwise_or.at(peq, (pair, local - start[pair], at >> 6), one << (at & 63).astype(np.uint64))
+        text = np.full((p, cols), letters - 1, np.int64)
+        pair = np.repeat(np.arange(p), n)
+        want = pair.astype(np.int64) << 32 | np.concatenate([b[i] for i in some]).astype(np.int64)
+        found = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
+        text[pair, np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)] = np.where(codes[found] == want, found - start[pair], letters - 1)
+        vp, vn = np.full((p, w), full), np.zeros((p, w), np.uint64)
+        last = (m - 1) >> 6
+        top = np.full((p, w), np.uint64(63))
+        top[np.arange(p), last] = ((m - 1) & 63).astype(np.uint64)
+        up, down = np.ones((p, w + 1), np.uint64), np.zeros((p, w + 1), np.uint64)  # +1 or -1 that enters each word from above
+        rows, words, score = np.arange(p)[:, None], np.arange(w)[None, :], m.copy()
+        for t in range(cols + w - 1):
+            lo, hi = max(0, t - cols + 1), min(w, t + 1)  # words that have a column at hand
+            s, word = slice(lo, hi), words[:, lo:hi]
+            eq, pv, mv, plus, minus = peq[rows, text[:, t - word[0]], word], vp[:, s], vn[:, s], up[:, s], down[:, s]
+            xv = eq | mv
+            eq = eq | minus
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph, mh = mv | ~(xh | pv), pv & xh
+            more, less = (ph >> top[:, s]) & one, (mh >> top[:, s]) & one
+            live = last[:, None] == word
+            if live.any():
+                own = live & ((t - word) < n[:, None])
+                score += ((more.astype(np.int64) - less.astype(np.int64)) * own).sum(1)
+            ph, mh = ph << one | plus, mh << one | minus
+            vp[:, s], vn[:, s] = mh | ~(xv | ph), ph & xv
+            up[:, lo + 1 : hi + 1], down[:, lo + 1 : hi + 1] = more, less
+        out[some] = score
+    return out
 
-def within(a: Column, b: Column, least: float) -> Column:
-    """Whether 1 - distance / longer length is at least ``least``. A narrow band settles most true pairs."""
-    longer = F.greatest(F.length(a), F.length(b))
-    near = lambda most: F.call_function("levenshtein", a, b, most.cast("int")) >= 0  # noqa: E731  -1 beyond the bound
-    most = F.floor(longer * (1 - least))
-    return F.when(near(F.least(most, F.floor(longer / 16) + 2)), True).otherwise(near(most))
 
+def _similar(similarity: float):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "ta", 1 << 20):
+                a, b = ([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in part.column(c).to_pylist()] for c in ("ta", "tb"))
+                longer = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)])
+                yield part.select(["a", "b"]).filter(pa.array(edit_distances(a, b) <= np.floor(longer * (1 - similarity) + 1e-9)))
 
-def similar(pairs: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (ta, tb, sa, sb: lines and their symbols) whose edit similarity is at least ``similarity`` in words or,
-    where at least half as much is alike in words, in characters; the same at every length."""
-    words = within(F.col("sa"), F.col("sb"), similarity)
-    return pairs.where(words | (within(F.col("sa"), F.col("sb"), similarity / 2) & within(F.col("ta"), F.col("tb"), similarity)))
+    return run
 
 
 def line_groups(
     docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, similarity: float, min_words: int, blocks: int, most_bits: int, min_chars: int
 ) -> tuple[DataFrame, DataFrame]:
     """All judged lines (h1, h2, doc_id, line_no, lid) and, for lines in a group of several, h1, h2 and keep."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)).alias("line_no", "line")).where("doc_id is not null")
-    lines = lines.select("doc_id", "line_no", line_words(F.col("line")).alias("list")).where(F.size("list") >= max(min_words, 1))
-    lines = lines.select("doc_id", "line_no", "list", F.array_join("list", " ").alias("norm"))
-    lines = lines.select("doc_id", "line_no", F.xxhash64(F.lit(1), "norm").alias("h1"), F.xxhash64(F.lit(2), "norm").alias("h2"), (F.size("list") >= FUZZY_WORDS).alias("wordy"), F.length("norm").alias("len"), "list", "norm")
-    lines = scratch.store(with_keys(lines, blocks).withColumn("rid", F.monotonically_increasing_id()), "lines")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    schema = "doc_id long, line_no int, h1 long, h2 long, wordy boolean, len int, sig long, keys array<long>, norm string"
+    lines = scratch.store(texts.mapInArrow(_sketch(min_words, blocks), schema).withColumn("rid", F.monotonically_increasing_id()), "lines")
     lid = (F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
     placed = lines.select("rid", "h1", "h2", "doc_id", "line_no", lid.alias("lid"))
 
@@ -106,28 +238,27 @@ def line_groups(
     equal = scratch.store(equal.select("h1", "h2", "rid", "lid"), "equal-lines")
     few = equal.count() <= 500_000  # their list is broadcast only if it is short
     first = equal.select("h1", "h2", F.col("rid").alias("_first"))
-    compared = lines.where(F.col("wordy") | (F.col("len") >= min_chars)).select("rid", "h1", "h2", "sketch", "len", "keys")
-    compared = compared.join(F.broadcast(first) if few else first.hint("merge"), ["h1", "h2"], "left").where("_first is null or _first = rid")
-    shared = []
-    for start in range(0, blocks, PASS):  # most keys belong to one line alone and go before lines are joined
-        keyed = compared.select(F.explode(F.slice("keys", start + 1, PASS)).alias("key"), F.col("rid").alias("id"), "sketch", "len")
-        keyed = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1").drop("n")
-        shared.append(scratch.store(keyed, "shared-keys"))
+    compared = lines.where(F.col("wordy") | (F.col("len") >= min_chars)).select("rid", "h1", "h2", "keys")
+    compared = compared.join(F.broadcast(first) if few else first.hint("merge"), ["h1", "h2"], "left").where("_first is null or _first = rid").select("rid", "keys")
+    buckets = max(8, -(-lines.count() * blocks // BUCKET_KEYS))
+    sent = scratch.store(compared.mapInArrow(_messages(buckets), "bucket int, data binary"), "key-messages")
+    met = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, "key long, id long")
+    shared = scratch.store(met.unionByName(sent.where("bucket < 0").select("data").mapInArrow(_open, "key long, id long")).distinct(), "shared-keys")
+    members = shared.join(lines.select(F.col("rid").alias("id"), "sig", "len").hint("merge"), "id")
 
     def fits(a, b):
-        near = F.bit_count(a["sketch"].bitwiseXOR(b["sketch"])) <= most_bits
+        near = F.bit_count(a["sig"].bitwiseXOR(b["sig"])) <= most_bits
         return near & (F.least(a["len"], b["len"]) >= F.greatest(a["len"], b["len"]) * similarity)
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = scratch.store(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "wanted-lines")
         small = wanted.count() <= 500_000  # as above
-        texts = lines.select("rid", "norm").join(F.broadcast(wanted) if small else wanted.hint("merge"), "rid")
-        texts = scratch.store(texts.withColumn("sym", symbols(F.col("norm"))), "line-texts")
-        side = lambda x: texts.select(F.col("rid").alias(x), F.col("norm").alias(f"t{x}"), F.col("sym").alias(f"s{x}")).hint("merge")
-        tasks = max(3 * scratch.spark.sparkContext.defaultParallelism, -(-pairs.count() // 10_000))  # few bytes, much work
-        return similar(pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks), similarity).select("a", "b")
+        texts = scratch.store(lines.select("rid", "norm").join(F.broadcast(wanted) if small else wanted.hint("merge"), "rid"), "line-texts")
+        side = lambda x: texts.select(F.col("rid").alias(x), F.col("norm").alias(f"t{x}")).hint("merge")
+        tasks = max(scratch.spark.sparkContext.defaultParallelism, -(-pairs.count() // 20_000))  # few bytes, much work
+        return pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks).mapInArrow(_similar(similarity), "a long, b long")
 
-    groups = linked_groups(reduce(DataFrame.unionByName, shared), scratch, verify, fits)
+    groups = linked_groups(members, scratch, verify, fits)
     nodes = placed.join(groups.select(F.col("node").alias("rid"), "component").hint("merge"), "rid")
     held = nodes.select("h1", "h2", "rid", "lid", "component").unionByName(equal.withColumn("component", F.lit(None).cast("long")))
     held = held.groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.min("lid").alias("lid"), F.max("component").alias("component"))
@@ -137,7 +268,7 @@ def line_groups(
 
 
 def removed_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, min_words: int = 1, blocks: int = 20, most_bits: int = 20, min_chars: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, min_words: int = 1, blocks: int = 20, most_bits: int = 24, min_chars: int = 20
 ) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines to remove from each document that loses any.
 

@@ -15,39 +15,44 @@ from pyspark.sql import functions as F
 from relmill.llm.common import Scratch
 
 
-def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 256, growth: int = 6) -> DataFrame:
-    """(keep_id, group_size, doc_id) of every text that equals another one; keep_id has the largest id.
+def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first: int = 256, growth: int = 6, few: int = 500_000) -> DataFrame:
+    """(keep_id, group_size, doc_id, tag) of every row whose text equals another row's; keep_id has the largest id.
 
-    Null counts as empty. Rows with a null id are left out. Ids are taken as unique; a repeated row is
-    one more member of its group. Texts of any length end after O(log length) rounds. Only the columns
-    named are read, whatever else the table holds. An empty table gives an empty result.
+    Null counts as empty. Rows with a null id are left out. A repeated row is one more member of its group;
+    rows of one id with different texts are told apart by tag, a hash of the text that serves nothing else.
+    Texts of any length end after O(log length) rounds. Only the columns named are read, whatever else the table
+    holds. An empty table gives an empty result. Rows whose digit is theirs alone leave before texts are shuffled
+    as long as at most ``few`` digits are shared, whose hashes are then broadcast; beyond, they leave in the shuffle.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("rest")).where("id is not null")
-    base = base.select(F.lit(0).cast("long").alias("grp"), "id", "rest")
-    done, width, live, old = [], first, base, None
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tag"), F.encode(text, "UTF-8").alias("rest")).where("id is not null")
+    live = base.select(F.lit(0).cast("long").alias("grp"), "id", "tag", "rest")
+    done, width = [], first
     while True:
         keyed = live.withColumn("digit", F.substring("rest", 1, width))
         counts = keyed.groupBy("grp", "digit").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("n > 1")
-        counts = scratch.store(counts.withColumn("ended", F.length("digit") < width), f"radix-count-{width}")
-        n_open, n_ended = (int(x or 0) for x in counts.agg(F.sum(F.when(~F.col("ended"), F.col("n"))), F.sum(F.when(F.col("ended"), F.col("n")))).first())
-        if not n_open and not n_ended:
+        counts = scratch.store(counts.select("*", (F.length("digit") < width).alias("ended"), F.monotonically_increasing_id().alias("own")), f"radix-count-{width}")
+        n_open, n_ended, n_digits = (int(x or 0) for x in counts.agg(F.sum(F.when(~F.col("ended"), F.col("n"))), F.sum(F.when(F.col("ended"), F.col("n"))), F.count("*")).first())
+        if not n_digits:
             break
-        # one pass hands each member its group: ended groups need no more bytes, open ones lose the digit
-        # (shuffled at every size: whether the counts would fit a broadcast depends on the data)
+        if n_digits <= few:
+            shared = counts.select(F.xxhash64("grp", "digit").alias("_shared")).distinct()
+            keyed = keyed.join(F.broadcast(shared), F.xxhash64("grp", "digit") == F.col("_shared"), "left_semi")
+        # one pass hands each member its group, named by a number of its own: ended groups need no more bytes, open ones lose the digit
         split = keyed.join(counts.hint("merge"), ["grp", "digit"]).select(
-            F.col("top").alias("grp"), "id", F.when(F.col("ended"), F.lit(None)).otherwise(F.expr(f"substring(rest, {width + 1})")).alias("rest"), "n", "ended"
+            F.col("own").alias("grp"), "id", "tag", F.when(F.col("ended"), F.lit(None)).otherwise(F.expr(f"substring(rest, {width + 1})")).alias("rest"), "n", "top", "ended"
         )
         split = scratch.store(split, f"radix-split-{width}")
         if n_ended:
-            done.append(split.where("ended").select(F.col("grp").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").alias("doc_id")))
-        live = split.where("not ended").select("grp", "id", "rest")
+            done.append(split.where("ended").select(F.col("top").alias("keep_id"), F.col("n").alias("group_size"), F.col("id").alias("doc_id"), "tag"))
+        live = split.where("not ended").select("grp", "id", "tag", "rest")
         if not n_open:
             break
         width *= growth
     if not done:
-        return spark.createDataFrame([], "keep_id long, group_size long, doc_id long")
+        return spark.createDataFrame([], "keep_id long, group_size long, doc_id long, tag long")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -55,11 +60,11 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept. Of equal texts the largest id stays."""
-    groups = radix_groups(docs, id_col, text_col)
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    """One row per document: doc_id, keep_id, group_size, kept. Of equal texts the largest id stays; a repeated
+    row stays or goes with its like. A row with a null id is alone and kept."""
+    groups = radix_groups(docs, id_col, text_col).dropDuplicates(["doc_id", "tag"])  # a repeated row is in its group twice
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
     keep = F.coalesce("keep_id", "doc_id")
-    groups = groups.dropDuplicates(["doc_id"])  # a repeated row is in its group twice
-    return ids.join(groups, "doc_id", "left").select(
+    return ids.join(groups, ["doc_id", "tag"], "left").select(
         "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept")
     )

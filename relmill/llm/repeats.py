@@ -63,7 +63,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     if len(data) < length:
         return none
     h = gram_hashes(data, k)
-    bits = np.uint64(max(24, int(len(data)).bit_length()))
+    bits = np.uint64(31)  # for places: more than a slice can have, and the same in every slice
     mask = (np.uint64(1) << bits) - np.uint64(1)
     pos = np.arange(len(h), dtype=np.uint64)
     least = sliding_min(h & ~mask | mask - pos, length - k + 1)

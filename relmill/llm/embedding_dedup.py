@@ -11,6 +11,7 @@ gives O(n) rows. Components of the forests are the groups.
 from __future__ import annotations
 
 import sys
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -61,7 +62,14 @@ def _cells(centroids: np.ndarray, slack: float, most: int):
     return run
 
 
-def _links(threshold: float):
+def reaches(a, b, threshold: float) -> bool:
+    """Whether the cosine is at least ``threshold``, in exact arithmetic."""
+    a, b = ([Fraction(float(x)) for x in v] for v in (a, b))
+    dot = sum(x * y for x, y in zip(a, b, strict=True))
+    return (dot * abs(dot) - Fraction(threshold) * abs(Fraction(threshold)) * sum(x * x for x in a) * sum(x * x for x in b)) >= 0
+
+
+def _links(threshold: float, doubt: float = 1e-12):
     """Counts and a spanning forest of the links between two blocks, or inside one."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -70,7 +78,10 @@ def _links(threshold: float):
             cell, same = int(left.cell.iat[0]), int(left.i.iat[0]) == int(left.j.iat[0])
             ids, n = [d.id.to_numpy() for d in (left, right)], [d.n.to_numpy() for d in (left, right)]
             x = [unit(np.array(d.v.tolist(), float)) for d in (left, right)]
-            a, b = np.nonzero(x[0] @ x[1].T >= threshold - 1e-12)
+            cosine = x[0] @ x[1].T
+            for i, j in np.argwhere(np.abs(cosine - threshold) <= doubt).tolist():  # rounding could decide these
+                cosine[i, j] = 2 if reaches(left.v.iat[i], right.v.iat[j], threshold) else -2
+            a, b = np.nonzero(cosine >= threshold)
             if same:
                 a, b = a[ids[0][a] < ids[1][b]], b[ids[0][a] < ids[1][b]]
             # a pair that meets in several cells belongs to the first of them

@@ -4,7 +4,7 @@ P(w | u) = l2(b) c(u w) / c(u) + l1(b) c(w) / N + l0(b) / (V + 1), where b is th
 powers of two. The weights of each bucket are learnt by expectation-maximisation on one tenth of the
 training texts, against counts from which that tenth has been deleted; the final model uses all counts.
 
-Counts and look-ups share one exchange. Texts are dealt by a hash of their id to chunks of bounded
+Counts and look-ups share one exchange. Texts are dealt by a hash of id and text to chunks of bounded
 size. A chunk sends each distinct n-gram once, with its count, to the bucket of the n-gram's hash; the
 bucket adds the counts up and sends the totals back in the same order. However frequent an n-gram is,
 it is one entry per chunk, so no key is hot, nothing is broadcast but the weights, and nothing is pruned.
@@ -157,7 +157,7 @@ def interpolated_lm(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", te
     size = texts.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     chunks = FOLDS * max(1, -(-size // (FOLDS * chunk_bytes)))
     buckets = chunks
-    texts = texts.withColumn("p", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
+    texts = texts.withColumn("p", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int"))  # the text parts rows of one id, or of none
     asked = texts.groupBy("p").applyInArrow(_ask(buckets), "bucket int, p int, kind int, keys binary, n binary")
     answers = scratch.store(asked.groupBy("bucket").applyInArrow(_answer, "p int, kind int, bucket int, n binary, kept binary, types long, tokens long, kept_tokens long"), "answers")
     got = answers.where("p = -1").agg(F.sum("types"), F.sum("tokens"), F.sum("kept_tokens")).first()

@@ -1,59 +1,94 @@
 """Mixing sources to target weights by Pfair scheduling (Baruah et al., 1996), on DataFrames alone.
 
-The rows of each source form blocks. With weight w the i-th block of a source is released in slot
-floor((i - 1) / w) and due by slot ceil(i / w); earliest-deadline-first picks one released block per
-slot. No source is ever a whole block ahead of or behind its share. When a source has no blocks left,
-the others go on with their weights scaled up, and the windows count from there. Every row is placed:
-sources without a weight follow at the end.
-
-The schedule is about blocks, not rows: the block grows with the table so that there are at most
-``most_blocks`` of them, and the plan is small enough to broadcast at any size.
+The rows of each source form blocks of ``block_rows``. With weight w the i-th block of a source is released in slot
+floor((i - 1) / w) and due by slot ceil(i / w); earliest-deadline-first picks one released block per slot. No source
+is ever a whole block ahead of or behind its share. When a source has no blocks left, the others go on with their
+weights scaled up, and the windows count from there. Every row is placed: sources without a weight follow at the end.
+
+Weights are whole parts of their sum, so the schedule repeats after as many slots as there are parts: one period is
+worked out for each phase, and the slot of any block follows from its number. The plan grows with the weights and
+their precision, never with the table.
 """
 
 from __future__ import annotations
 
 import heapq
+import json
+import math
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relmill.llm.common import Scratch, dealt_rank
 
-UNIT = 1_000_000  # weights are kept as whole millionths of the largest
+UNIT = 1_000  # weights are kept as whole thousandths of the largest, at least one
+
+
+def period(share: Mapping[str, int]) -> dict[str, list[tuple[int, int, int]]]:
+    """(slot, release, deadline) of each source's blocks over one period, the sum of the shares, by earliest deadline."""
+    total, out = sum(share.values()), {s: [] for s in share}
+    # subtask i of s: release floor((i-1) total / share), deadline ceil(i total / share)
+    waiting = [(0, -(-total // w), s, 1) for s, w in share.items()]
+    heapq.heapify(waiting)
+    ready: list = []
+    for slot in range(total):
+        while waiting and waiting[0][0] <= slot:
+            release, due, s, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, s, i, release))
+        due, s, i, release = heapq.heappop(ready)
+        out[s].append((slot, release, due))
+        if i < share[s]:
+            heapq.heappush(waiting, (i * total // share[s], -(-(i + 1) * total // share[s]), s, i + 1))
+    return out
 
 
-def pfair(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple[str, int, int, int, int]]:
-    """(source, block, release, deadline, phase) in slot order, for whole numbers of blocks per source."""
+def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple[int, int, dict[str, tuple[int, int, list]]]]:
+    """(first slot, period, {source: (first block, blocks, period's blocks)}) of each phase; one ends with a source."""
     top = max(weights.values(), default=1)
     share = {s: max(1, round(UNIT * weights[s] / top)) for s in sorted(blocks) if blocks[s] and weights.get(s, 0) > 0}
-    done, out, phase = dict.fromkeys(share, 0), [], 0
+    done, out, begin = dict.fromkeys(share, 0), [], 0
     while share:
-        total, begin = sum(share.values()), len(out)
-        # subtask i of s: release floor((i-1) total / share), deadline ceil(i total / share), from ``begin`` on
-        waiting = [(begin, begin - (-total // w), s, 1) for s, w in share.items()]
-        heapq.heapify(waiting)
-        ready: list = []
-        while True:
-            while waiting and waiting[0][0] <= len(out):
-                release, due, s, i = heapq.heappop(waiting)
-                heapq.heappush(ready, (due, s, i, release))
-            due, s, i, release = heapq.heappop(ready)
-            out.append((s, done[s], release, due, phase))
-            done[s] += 1
+        whole = math.gcd(*share.values())
+        part = {s: w // whole for s, w in share.items()}
+        total, plan = sum(part.values()), period(part)
+        # the phase ends when a source has placed its last block
+        ends = {s: (r // part[s]) * total + plan[s][r % part[s]][0] for s in part for r in [blocks[s] - done[s] - 1]}
+        length = min(ends.values()) + 1
+        turns, rest = divmod(length, total)
+        placed = {s: turns * part[s] + sum(x[0] < rest for x in plan[s]) for s in part}
+        out.append((begin, total, {s: (done[s], placed[s], plan[s]) for s in part}))
+        for s, n in placed.items():
+            done[s] += n
             if done[s] == blocks[s]:
                 del share[s]
-                break
-            w = share[s]
-            heapq.heappush(waiting, (begin + i * total // w, begin - (-(i + 1) * total // w), s, i + 1))
-        phase += 1
+        begin += length
     return out
 
 
+def pfair(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple[str, int, int, int, int]]:
+    """(source, block, release, deadline, phase) in slot order, for whole numbers of blocks per source: the schedule
+    of ``phases`` written out."""
+    out = []
+    for number, (begin, total, sources) in enumerate(phases(blocks, weights)):
+        for s, (first, n, plan) in sources.items():
+            for i in range(n):
+                slot, release, due = (begin + i // len(plan) * total + x for x in plan[i % len(plan)])
+                out.append((slot, (s, first + i, release, due, number)))
+    return [x for _, x in sorted(out)]
+
+
+def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table from one literal."""
+    names = [x.split()[0] for x in ddl.split(", ")]
+    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(x.replace(' ', ': ') for x in ddl.split(', '))}>>")))
+
+
 ADDED = ("_block", "_slot", "_place", "_release", "_deadline", "_phase")
 
 
-def placed_rows(docs: DataFrame, weights: Mapping[str, float], source_col: str, order: tuple[str, ...], block_rows: int, most_blocks: int) -> DataFrame:
+def placed_rows(docs: DataFrame, weights: Mapping[str, float], source_col: str, order: tuple[str, ...], block_rows: int) -> DataFrame:
     """(row, _block, _slot, _place, _release, _deadline, _phase), the row being all columns as one struct."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -65,26 +100,28 @@ def placed_rows(docs: DataFrame, weights: Mapping[str, float], source_col: str,
         source = F.lit("")
     named = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), source.alias("_group"), *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)])
     sizes = {r["_group"]: r["n"] for r in named.groupBy("_group").agg(F.count("*").alias("n")).collect()}  # a row per weight at most
-    rows = sum(sizes.values())
-    block_rows = max(block_rows, -(-rows // most_blocks))
-    blocks = {s: -(-n // block_rows) for s, n in sizes.items() if s}
-    plan = pfair(blocks, weights)
-    names = sorted(blocks)
-    text = ";".join(f"{names.index(s)},{b},{r},{d},{p}" for s, b, r, d, p in plan)
-    # one literal, split and exploded: the plan is bounded by most_blocks and the number of weights
-    parts = F.split(F.col("x"), ",")
-    table = spark.range(1).select(F.posexplode(F.split(F.lit(text), ";")).alias("_slot", "x")).where("x <> ''").select(
-        F.element_at(F.array(*[F.lit(s) for s in names] or [F.lit("")]), parts[0].cast("int") + 1).alias("_group"),
-        parts[1].cast("long").alias("_block"), F.col("_slot").cast("long"), parts[2].cast("long").alias("_release"), parts[3].cast("long").alias("_deadline"), parts[4].cast("int").alias("_phase"),
-    )
-    ranked = dealt_rank(named, scratch, "_group", [f"_order{i}" for i in range(len(order))], rows)
+    plan = phases({s: -(-n // block_rows) for s, n in sizes.items() if s}, weights)
+    spans, slots = [], []  # a row per source and phase, and per source, phase and block of the period
+    for number, (begin, total, sources) in enumerate(plan):
+        for s, (first, n, turns) in sources.items():
+            spans.append((s, number, first, first + n, begin, total, len(turns)))
+            slots += [(s, number, k, *x) for k, x in enumerate(turns[:n])]
+    fields = ["_group string, _phase int, _first long, _last long, _begin long, _total long, _share long", "_group string, _phase int, _turn long, _s long, _r long, _d long"]
+    spans, slots = (literal_rows(spark, rows, ddl) for rows, ddl in zip((spans, slots), fields, strict=True))
+    ranked = dealt_rank(named, scratch, "_group", [f"_order{i}" for i in range(len(order))], sum(sizes.values()))
     ranked = ranked.withColumns({"_block": F.floor(F.col("rank") / block_rows).cast("long"), "_place": F.pmod("rank", F.lit(block_rows)).cast("int")})
-    placed = ranked.join(F.broadcast(table), ["_group", "_block"], "left")
-    slot = F.coalesce("_slot", F.lit(len(plan)) + F.col("_block")).cast("long")
-    return placed.select("row", "_block", slot.alias("_slot"), "_place", "_release", "_deadline", "_phase")
-
-
-def mix(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = 64, most_blocks: int = 100_000) -> DataFrame:
+    held = F.broadcast(spans.withColumnRenamed("_group", "_g"))
+    placed = ranked.join(held, (F.col("_group") == F.col("_g")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_last")), "left")
+    since = F.col("_block") - F.col("_first")
+    placed = placed.withColumns({"_turn": since % F.col("_share"), "_shift": F.col("_begin") + F.floor(since / F.col("_share")).cast("long") * F.col("_total")})
+    placed = placed.join(F.broadcast(slots), ["_group", "_phase", "_turn"], "left")
+    last = max((begin + sum(n for _, n, _ in sources.values()) for begin, _, sources in plan), default=0)
+    slot = F.coalesce(F.col("_shift") + F.col("_s"), F.lit(last) + F.col("_block")).cast("long")
+    windows = [(F.col("_shift") + F.col(c)).alias(name) for c, name in (("_r", "_release"), ("_d", "_deadline"))]
+    return placed.select("row", "_block", slot.alias("_slot"), "_place", *windows, "_phase")
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = 64) -> DataFrame:
     """All rows and columns of docs with _block, _slot, _place, _release, _deadline and _phase, which replace
     columns of those names.
 
@@ -93,11 +130,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source
     a hash of ``order``, then ``order`` itself; nulls there are allowed and repeated rows stay apart. An
     empty table gives an empty result.
     """
-    out = placed_rows(docs, weights, source_col, order, block_rows, most_blocks)
+    out = placed_rows(docs, weights, source_col, order, block_rows)
     return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED], *ADDED)
 
 
-def in_order(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = 64, most_blocks: int = 100_000) -> DataFrame:
+def in_order(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source", order: tuple[str, ...] = ("doc_id",), block_rows: int = 64) -> DataFrame:
     """docs, rows and columns as they are, sorted by slot and place over the partitions."""
-    out = placed_rows(docs, weights, source_col, order, block_rows, most_blocks)
+    out = placed_rows(docs, weights, source_col, order, block_rows)
     return out.repartitionByRange("_slot").sortWithinPartitions("_slot", "_place").select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -47,8 +47,8 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
-#: The sources of the synthetic documents, in equal parts.
-SOURCE_WEIGHTS = {f"src{i}": 1.0 for i in range(20)}
+#: Target weights of the synthetic documents' sources.
+SOURCE_WEIGHTS = {f"src{i}": 1.0 + i % 4 for i in range(20)}
 
 
 def op6_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

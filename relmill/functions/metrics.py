@@ -46,6 +46,17 @@ def average_precision(df: DataFrame, score: str = "score", label: str = "label")
     return out.select(F.when(F.col("p") > 0, F.col("a") / F.col("p")).otherwise(0.0).alias("average_precision"))
 
 
+@metric
+def auprc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Area under precision over recall by trapezoids between score groups, from precision 1 at recall 0; 0 without
+    positives."""
+    groups = running_sums(_by_score(df, score, label), [F.col("s").desc()], {"tp": F.col("pos"), "all": F.col("n")})
+    before, pos = F.col("tp") - F.col("pos"), F.col("pos")
+    earlier = F.when(F.col("all") > F.col("n"), before / (F.col("all") - F.col("n"))).otherwise(1.0)
+    out = groups.agg(F.sum(pos * (F.col("tp") / F.col("all") + earlier) / 2.0).alias("a"), F.sum("pos").alias("p"))
+    return out.select(F.when(F.col("p") > 0, F.col("a") / F.col("p")).otherwise(0.0).alias("auprc"))
+
+
 @metric
 def classification(df: DataFrame, pred: str = "pred", label: str = "label") -> DataFrame:
     """Accuracy, precision, recall and F1 of 0/1 predictions; 0 where a denominator is 0."""

@@ -111,3 +111,39 @@ def learning_rate(step: int, base: float, kind: str = "constant", total: int = 1
         first = warmup if kind == "warmup_cosine" else 0
         return base * 0.5 * (1 + math.cos(math.pi * min(1.0, (step - first) / max(1, total - first))))
     raise ValueError(f"unknown schedule: {kind}")
+
+
+def sinusoidal_pairwise(position: Column, dim: int) -> Column:
+    """The variant whose exponent is 2i/d for every place i, sine and cosine by turns."""
+    angle = lambda i: position / F.pow(F.lit(10000.0), F.lit(2 * i / dim))
+    return F.array(*[F.sin(angle(i)) if i % 2 == 0 else F.cos(angle(i)) for i in range(dim)])
+
+
+def date_parts(t: Column) -> dict[str, Column]:
+    """Day of the month, month, year and hour, as indices of embeddings."""
+    return {"day": F.dayofmonth(t), "month": F.month(t), "year": F.year(t), "hour": F.hour(t)}
+
+
+def l2_norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+
+
+def norm_clipped(v: Column, most: float) -> Column:
+    """A vector scaled down to a norm of ``most`` if it is longer."""
+    norm = l2_norm(v)
+    return F.when(norm > most, F.transform(v, lambda x: x * (F.lit(most) / norm))).otherwise(v)
+
+
+def compression_ratio(raw_bytes: Column, packed_bytes: Column) -> Column:
+    """Raw over packed size; 1 where nothing was packed."""
+    return F.when(packed_bytes > 0, raw_bytes / packed_bytes).otherwise(F.lit(1.0))
+
+
+def database_name(url: Column) -> Column:
+    """The last part of a connection URL's path, without its options."""
+    return F.regexp_extract(url, r"/([^/?]*)(?:\?.*)?$", 1)
+
+
+def attribute(document: Column, key: str) -> Column:
+    """A number in a JSON object by its key; 0 if it is missing or no number."""
+    return F.coalesce(F.get_json_object(document, f"$.{key}").try_cast("double"), F.lit(0.0))

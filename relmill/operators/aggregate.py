@@ -124,3 +124,43 @@ def ensemble(df: DataFrame, by: str, prediction: str, weight: str | None = None)
     return votes.groupBy(by).agg((F.sum("_s") / F.sum("_n")).alias("average"), (F.sum("_ws") / F.sum("_w")).alias("weighted"), F.min_by("_vote", F.struct(-F.col("_n"), F.col("_vote"))).alias("majority"))
 
 
+
+
+def _matrix(w: list[list[float]]):
+    return F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in w])
+
+
+def _times(w: list[list[float]], x):
+    return F.transform(_matrix(w), lambda row: dot(row, x))
+
+
+def basis_weights(bases: list[list[list[float]]], mix: dict[int, list[float]]) -> dict[int, list[list[float]]]:
+    """Relations' weights as sums of shared bases: W_r = sum over b of mix[r][b] B_b."""
+    rows, cols = len(bases[0]), len(bases[0][0])
+    return {r: [[sum(a * m[i][j] for a, m in zip(coef, bases, strict=True)) for j in range(cols)] for i in range(rows)] for r, coef in mix.items()}
+
+
+def edge_conv(edges: DataFrame, features: DataFrame, edge_vector: str, w: list[list[float]], w_edge: list[list[float]]) -> DataFrame:
+    """(node_id, x): sum over in-edges of W h_j + W_e e_ij, plus W h_i; nodes without in-edges keep W h_i."""
+    dim = len(w)
+    own = features.select("node_id", _times(w, F.col("x")).alias("x"))
+    sent = edges.join(own.toDF("src", "x"), "src").select("dst", F.zip_with("x", _times(w_edge, F.col(edge_vector)), lambda a, b: a + b).alias("x"))
+    sums = sent.groupBy(F.col("dst").alias("node_id")).agg(F.array(*[F.sum(F.col("x")[i]) for i in range(dim)]).alias("m"))
+    return own.join(sums, "node_id", "left").select("node_id", F.when(F.col("m").isNull(), F.col("x")).otherwise(F.zip_with("x", "m", lambda a, b: a + b)).alias("x"))
+
+
+def multi_head_attention(edges: DataFrame, features: DataFrame, heads: list[tuple[list[list[float]], list[float], list[float]]]) -> DataFrame:
+    """(node_id, x): for each head (W, a_src, a_dst) the attention over in-edges of W h, one head after the other;
+    nodes without in-edges are absent."""
+    out = None
+    for i, (w, a_src, a_dst) in enumerate(heads):
+        one = attention(edges, features.select("node_id", _times(w, F.col("x")).alias("x")), a_src, a_dst)
+        one = one.select(F.col(one.columns[0]).alias("node_id"), F.col("x").alias(f"_x{i}"))
+        out = one if out is None else out.join(one, "node_id")
+    return out.select("node_id", F.concat(*[f"_x{i}" for i in range(len(heads))]).alias("x"))
+
+
+def concatenated(edges: DataFrame, features: DataFrame, order: str) -> DataFrame:
+    """(dst, x): the neighbours' vectors one after the other, by ``order`` of the edges."""
+    rows = _gathered(edges, features).groupBy("dst").agg(F.sort_array(F.collect_list(F.struct(order, "x"))).alias("_l"))
+    return rows.select("dst", F.flatten(F.transform("_l", lambda r: r["x"])).alias("x"))

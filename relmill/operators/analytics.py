@@ -31,7 +31,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, round
         return vertices.select("id", F.lit(0.0).alias("rank"))
     out = edges.groupBy("src").agg(F.count("*").alias("_out"))
     v = scratch.store(vertices.select("id").join(out.withColumnRenamed("src", "id"), "id", "left"), "vertices")
-    e = scratch.store(edges.select("src", "dst").repartition("src"), "edges")
+    e = scratch.store(edges.select("src", "dst"), "edges")
     ranks = v.select("id", "_out", F.lit(1.0 / n).alias("rank"))
     for _ in range(rounds):
         dangling = ranks.where("_out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
@@ -106,10 +106,12 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False)
 
 
 def closeness(vertices: DataFrame, edges: DataFrame, sources: DataFrame | None = None, directed: bool = False) -> DataFrame:
-    """(id, closeness): vertices reached over the sum of their distances, 0 if none; for ``sources``, or all."""
+    """(id, closeness) for ``sources``, or all: undirected, vertices reached over the sum of their distances; directed,
+    N - 1 over that sum. 0 if none is reached."""
     levels = bfs_levels(edges, vertices if sources is None else sources, directed)
     sums = levels.groupBy(F.col("source").alias("id")).agg((F.count("*") - 1).alias("_r"), F.sum("level").alias("_s"))
-    return sums.select("id", F.when(F.col("_s") > 0, F.col("_r") / F.col("_s")).otherwise(0.0).alias("closeness"))
+    top = F.lit(float(vertices.count() - 1)) if directed else F.col("_r")
+    return sums.select("id", F.when(F.col("_s") > 0, top / F.col("_s")).otherwise(0.0).alias("closeness"))
 
 
 def betweenness(vertices: DataFrame, edges: DataFrame, directed: bool = False, block_rows: int = 50_000_000) -> DataFrame:
@@ -266,3 +268,10 @@ def graph_statistics(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return row.select("n", "m", F.when(x > 1, 2 * e / (x * (x - 1))).otherwise(0.0).alias("density"), F.when(x > 0, 2 * e / x).otherwise(0.0).alias("avg_degree"), "avg_clustering", "components")
 
 
+
+
+def degree_range(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Smallest, largest and mean degree, one row; a self-loop counts once, an empty graph gives zeros."""
+    ends = edges.select(F.explode(F.array_distinct(F.array("src", "dst"))).alias("id")).groupBy("id").agg(F.count("*").alias("_d"))
+    d = vertices.select("id").join(ends, "id", "left").select(F.coalesce("_d", F.lit(0)).alias("_d"))
+    return d.agg(*[F.coalesce(f("_d"), F.lit(0)).alias(n) for n, f in (("min_degree", F.min), ("max_degree", F.max))], F.coalesce(F.avg("_d"), F.lit(0.0)).alias("avg_degree"))

@@ -104,3 +104,39 @@ def adjacency(edges_: DataFrame, weight: str) -> DataFrame:
         F.array(F.struct(F.col("src").alias("i"), F.col("dst").alias("j")), F.struct(F.col("dst").alias("i"), F.col("src").alias("j")))
     )
     return edges_.select(F.explode(both).alias("x"), F.col(weight).alias("w")).select("x.*", "w").groupBy("i", "j").agg(F.sum("w").alias("v"))
+
+
+def dot_graph(nodes: DataFrame, edges_: DataFrame, label: str = "etype") -> DataFrame:
+    """(position, value): a whole Graphviz file, one line a row: the head, nodes (node_id, label), edges and the end."""
+    spark = edges_.sparkSession
+    ends = spark.createDataFrame([(0, "digraph G {"), (3, "}")], "position int, value string")
+    named = nodes.select(F.lit(1).alias("position"), F.format_string('  "%s" [label="%s"];', F.col("node_id").cast("string"), F.col("label").cast("string")).alias("value"))
+    return ends.unionByName(named).unionByName(dot_lines(edges_, label).select(F.lit(2).alias("position"), "value"))
+
+
+def node_features(features: DataFrame, dim: int) -> DataFrame:
+    """node and f0 to f(dim - 1) with six decimals, to be written as CSV."""
+    return features.select(F.col("node_id").alias("node"), *[F.format_string("%.6f", F.col("x")[i].cast("double")).alias(f"f{i}") for i in range(dim)])
+
+
+def check_graph(nodes: DataFrame, edges_: DataFrame, most_nodes: int = 1_000_000, most_edges: int = 10_000_000, cycles: bool = False, connected: bool = True) -> DataFrame:
+    """(rule, violations) for nodes (id) and edges (src, dst): limits, repeated nodes and edges, ends that are no
+    nodes, and, unless allowed, vertices behind a cycle and components beyond the first."""
+    from relmill.operators.analytics import components, cycle_vertices
+
+    n, m = nodes.agg(F.count("*").alias("v")), edges_.agg(F.count("*").alias("v"))
+    over = lambda d, most: d.select(F.greatest(F.col("v") - most, F.lit(0)).alias("v"))
+    known = nodes.select("id").distinct()
+    ends = edges_.select(F.explode(F.array("src", "dst")).alias("id"))
+    found = {
+        "nodes over the limit": over(n, most_nodes), "edges over the limit": over(m, most_edges),
+        "repeated nodes": nodes.groupBy("id").agg((F.count("*") - 1).alias("v")).agg(F.sum("v").alias("v")),
+        "repeated edges": edges_.groupBy("src", "dst").agg((F.count("*") - 1).alias("v")).agg(F.sum("v").alias("v")),
+        "missing ends": ends.join(known, "id", "left_anti").agg(F.count("*").alias("v")),
+    }
+    if not cycles:
+        found["vertices behind a cycle"] = cycle_vertices(edges_).agg(F.count("*").alias("v"))
+    if connected:
+        found["components beyond the first"] = components(known, edges_).agg((F.count_distinct("component") - 1).alias("v"))
+    out = [d.select(F.lit(rule).alias("rule"), F.coalesce("v", F.lit(0)).cast("long").alias("violations")) for rule, d in found.items()]
+    return reduce(DataFrame.unionByName, out)

@@ -76,3 +76,48 @@ def importance_sample(scores: DataFrame, edges: DataFrame, threshold: float, mos
     """The ``most`` best nodes over a threshold and the edges between them."""
     kept = scores.where(F.col("importance") >= threshold).orderBy(F.col("importance").desc(), "node_id").limit(most)
     return kept, induced(edges, kept)
+
+
+def walk_subgraph(walks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node_id) and edges (src, dst) that walks (walk, step, node) pass, once each."""
+    nodes = walks.select(F.col("node").alias("node_id")).distinct()
+    after = walks.select("walk", (F.col("step") - 1).alias("step"), F.col("node").alias("dst"))
+    return nodes, walks.select("walk", "step", F.col("node").alias("src")).join(after, ["walk", "step"]).select("src", "dst").distinct()
+
+
+def typed_sample(edges: DataFrame, seeds: DataFrame, fanout: dict[int, int], seed: int = 0) -> DataFrame:
+    """(etype, src, dst): up to fanout[etype] in-neighbours of each seed over each relation, by hashed order."""
+    out = None
+    for etype, n in sorted(fanout.items()):
+        part = neighbour_sample(edges.where(F.col("etype") == etype), seeds, [n], seed).select(F.lit(etype).alias("etype"), "src", "dst")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def sampled_inputs(sample: DataFrame, seeds: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A sample's nodes with a local number each, from 0, and features, and its edges by local numbers."""
+    from relmill.operators.ordered import row_index
+
+    nodes = seeds.select("node_id").unionByName(sample.select(F.col("src").alias("node_id"))).unionByName(sample.select(F.col("dst").alias("node_id"))).distinct()
+    nodes = row_index(nodes, ["node_id"], "local")
+    edges = sample.join(nodes.toDF("src", "a"), "src").join(nodes.toDF("dst", "b"), "dst").select("hop", F.col("a").alias("src"), F.col("b").alias("dst"))
+    return nodes.join(features, "node_id", "left"), edges
+
+
+def seed_subgraphs(edges: DataFrame, batches: DataFrame, fanouts: list[int], seed: int = 0) -> DataFrame:
+    """(graph_id, hop, src, dst): the sampled neighbourhoods of many seed sets (graph_id, node_id) in one pass. A node
+    of several graphs is sampled once and belongs to each, so graphs are told apart by their id alone."""
+    out, front = None, batches.select("graph_id", "node_id").distinct()
+    for hop, n in enumerate(fanouts, 1):
+        drawn = neighbour_sample(edges, front.select("node_id").distinct(), [n], seed + hop).select("src", "dst")
+        part = front.withColumnRenamed("node_id", "dst").join(drawn, "dst").select("graph_id", F.lit(hop).alias("hop"), "src", "dst")
+        out = part if out is None else out.unionByName(part)
+        front = part.select("graph_id", F.col("src").alias("node_id")).distinct()
+    return out
+
+
+def without_nodes(nodes: DataFrame, edges: DataFrame, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Node dropout: a digest of node and seed decides which nodes go, and their edges with them."""
+    u = F.conv(F.substring(_digest(F.col("node_id").cast("string"), F.lit(str(seed))), 1, 7), 16, 10).cast("long") / float(16**7)
+    kept = nodes.where(u >= share)
+    return kept, induced(edges, kept)

@@ -45,8 +45,8 @@ def label_stats(df: DataFrame, label: str, split: str = "split") -> DataFrame:
 
 def dropped_edges(edges: DataFrame, share: float, seed: int) -> DataFrame:
     """Edge dropout: a hash of the edge and the seed decides, so a repeated run drops the same edges."""
-    u = F.pmod(F.xxhash64("src", "dst", "etype", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    return edges.where(u >= share)
+    digest = F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in ("src", "dst", "etype")], F.lit(str(seed))))
+    return edges.where(F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") / float(16**7) >= share)
 
 
 def noisy(features: DataFrame, sigma: float, seed: int) -> DataFrame:
@@ -62,3 +62,29 @@ def mini_batches(df: DataFrame, key: str, size: int, seed: int = 0) -> DataFrame
 
     order = row_index(df.withColumn("_h", F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))), ["_h", key], "_i")
     return order.withColumn("batch", F.floor(F.col("_i") / size)).drop("_h", "_i")
+
+
+def stratified_sample(df: DataFrame, key: str, stratum: str, share: float, seed: int = 42) -> DataFrame:
+    """The first ``share`` of each stratum's rows, at least one, in order of a digest of key and seed."""
+    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    u = F.conv(F.substring(digest, 1, 7), 16, 10).cast("long") / float(16**7)
+    least = df.groupBy(stratum).agg(F.min_by(key, F.struct(digest, F.col(key))).alias("_first"))
+    rows = df.join(least, stratum)
+    return rows.where((u < share) | (F.col(key) == F.col("_first"))).drop("_first")
+
+
+def poisson(rate: Column, u: Column, most: int = 10_000) -> Column:
+    """A Poisson draw by inversion of a uniform draw: how many terms of the distribution lie below it; 0 for rate <= 0."""
+    step = lambda s, k: F.struct((s["p"] * rate / k).alias("p"), (s["c"] + s["p"]).alias("c"), (s["n"] + (s["c"] + s["p"] <= u).cast("int")).alias("n"))
+    terms = F.sequence(F.lit(1), F.least(F.lit(most), F.ceil(rate + 12 * F.sqrt(F.greatest(rate, F.lit(1.0))) + 12)).cast("int"))
+    start = F.struct(F.exp(-rate).alias("p"), F.lit(0.0).alias("c"), F.lit(0).alias("n"))
+    return F.when(rate > 0, F.aggregate(terms, start, step)["n"]).otherwise(0)
+
+
+def time_span(tables: dict[str, DataFrame], times: dict[str, str]) -> DataFrame:
+    """(first, last): the earliest and the latest event time over all tables that have one."""
+    out = None
+    for name, column in times.items():
+        part = tables[name].agg(F.min(column).alias("a"), F.max(column).alias("b"))
+        out = part if out is None else out.unionByName(part)
+    return out.agg(F.min("a").alias("first"), F.max("b").alias("last"))

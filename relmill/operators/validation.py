@@ -61,3 +61,38 @@ def suggestions(sizes: DataFrame, accesses: DataFrame, index_over: int = 1_000,
     both = sizes.join(accesses, "table", "left")
     items = F.filter(F.array(F.when(F.col("accesses") > index_over, F.lit("index")), F.when(F.col("rows") > partition_over, F.lit("partition"))), lambda x: x.isNotNull())
     return both.select("table", F.explode(items).alias("suggestion"))
+
+
+def missing_tables(tables, required: list[str]) -> list[str]:
+    return sorted(set(required) - set(tables))
+
+
+def require(tables, required: list[str]) -> None:
+    """Raises if a required table is missing."""
+    if missing := missing_tables(tables, required):
+        raise ValueError(f"missing tables: {', '.join(missing)}")
+
+
+def check_dataset(name: str, description: str, version: str, tables: dict, valid_from: str, test_from: str) -> list[str]:
+    """What is wrong with a dataset's declaration: an empty name, description, version or set of tables, or a test
+    time that is not after the validation time."""
+    out = [f"{k} is empty" for k, v in (("name", name), ("description", description), ("version", version), ("tables", tables)) if not v]
+    return out + ([] if test_from > valid_from else ["the test time is not after the validation time"])
+
+
+def require_rows(df: DataFrame, table: str, columns: list[str]) -> None:
+    """Raises, in this order, on an empty table and on a column that is missing."""
+    if not df.take(1):
+        raise ValueError(f"{table} is empty")
+    for c in columns:
+        if c not in df.columns:
+            raise ValueError(f"{table} has no column {c}")
+
+
+def not_finite(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, nan, infinite): how many values of each column are no finite number."""
+    nan = [F.sum(F.when(F.isnan(F.col(c).cast("double")), 1).otherwise(0)) for c in columns]
+    inf = [F.sum(F.when(F.abs(F.col(c).cast("double")) == float("inf"), 1).otherwise(0)) for c in columns]
+    rows = [F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("nan"), F.col(f"_i{i}").alias("infinite")) for i, c in enumerate(columns)]
+    one = df.agg(*[F.coalesce(x, F.lit(0)).cast("long").alias(f"_n{i}") for i, x in enumerate(nan)], *[F.coalesce(x, F.lit(0)).cast("long").alias(f"_i{i}") for i, x in enumerate(inf)])
+    return one.select(F.inline(F.array(*rows)))

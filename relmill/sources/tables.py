@@ -20,6 +20,14 @@ def _text(spark: SparkSession, path: str) -> str:
     return rows[0][0]
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, wherever Spark can write."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+
+
 def load_csv(spark: SparkSession, folder: str) -> tuple[RelationalDB, DatabaseSpec, DataFrame]:
     """The database in a folder with schema.json, its declaration, and the seed table's labels (_row, labels).
 
@@ -81,12 +89,7 @@ def save_csv(db: RelationalDB, spec: DatabaseSpec, folder: str, labels: DataFram
         cols = [F.col("_row").alias("__id"), time.alias("__time"), *[F.col(c) for c in roles if c not in ("__id", "__time")]]
         df.select(*cols).repartitionByRange("__id").sortWithinPartitions("__id").write.mode("overwrite").option("header", True).csv(f"{folder}/{t.name}.csv")
         out.append(TableSpec(t.name, roles, t.targets, "__time", f"{t.name}.csv"))
-    text = DatabaseSpec(out, spec.seed_table).to_json()
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/schema.json")
-    stream = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path, True)
-    stream.write(bytearray(text.encode()))
-    stream.close()
+    write_text(spark, f"{folder}/schema.json", DatabaseSpec(out, spec.seed_table).to_json())
 
 
 def save_parquet(tables: dict[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:
@@ -192,3 +195,25 @@ def load_dataset(spark: SparkSession, name: str, folder: str | None = None):
         return synthetic_shop(spark, **d["options"])
     tables = load_parquet(spark, folder, d["tables"])
     return tables, None
+
+
+def save_database(db: RelationalDB, folder: str, **metadata: str) -> None:
+    """tables/ in Parquet, schema.json with keys, foreign keys and event times, and metadata.json."""
+    spark = next(iter(db.tables.values())).sparkSession
+    save_parquet(db.tables, f"{folder}/tables", "overwrite")
+    keys = [[k.table, k.column, k.target] for k in db.foreign_keys]
+    write_text(spark, f"{folder}/schema.json", json.dumps({"name": db.name, "tables": list(db.tables), "keys": db.keys, "times": db.times, "foreign_keys": keys}, indent=2))
+    write_text(spark, f"{folder}/metadata.json", json.dumps(metadata, indent=2))
+
+
+def load_database(spark: SparkSession, folder: str) -> tuple[RelationalDB, dict]:
+    """The database that save_database wrote, checked, and its metadata."""
+    d = json.loads(_text(spark, f"{folder}/schema.json"))
+    db = RelationalDB(d["name"], load_parquet(spark, f"{folder}/tables", d["tables"]), [ForeignKey(*k) for k in d["foreign_keys"]], d["keys"], d["times"])
+    db.check()
+    return db, json.loads(_text(spark, f"{folder}/metadata.json"))
+
+
+def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame], **parameters) -> DataFrame:
+    """A query over {tables} in braces with :parameters, which are bound and never pasted into the text."""
+    return spark.sql(query, args=parameters, **tables)

@@ -2,7 +2,7 @@
 
 import pytest
 
-from relmill.plans import catalog
+from relmill.plans import extended as catalog  # the catalogue and its extensions
 
 SF = "/root/testdata/sf0.001"
 

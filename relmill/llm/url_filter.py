@@ -20,13 +20,11 @@ from relmill.staging import Scratch
 
 UPPER, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: HTML that is not markup of the page itself, and the parts of tags that name another address.
+#: HTML that is not markup of the page itself, tags with their quoted values, and attributes with theirs.
 NOT_MARKUP = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
-LINK_TAG, META_TAG = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
-IS_CANONICAL = r"(?i)\brel\s*=\s*[\"']?canonical\b"
-IS_REFRESH = r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"
-HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH_URL = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+TAG = r"""(?is)<%s(?=[\s/>])(?:"[^"]*"|'[^']*'|[^'">])*>"""
+ATTRIBUTE = r"""(?is)[\s/"']([^\s/>="']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+REFRESH_URL = r"(?is)^[^;,]*[;,]\s*(?:url\s*=\s*)?[\"']?([^\"']*?)[\"']?\s*$"
 
 
 def host_of(url: Column) -> Column:
@@ -46,26 +44,55 @@ def address(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), rest))
 
 
+def without_dots(path: Column) -> Column:
+    """A path without . and .. segments (RFC 3986, 5.2.4); .. above the root is dropped."""
+    parts = F.split(path, "/", -1)
+    step = lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).when(x == ".", out).otherwise(F.concat(out, F.array(x)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.slice(parts, 1, 1), step)
+    last = F.element_at(parts, -1)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)  # a folder stays one
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(kept, "/")).otherwise(path)
+
+
 def resolved(base: Column, link: Column) -> Column:
-    """A link made absolute against the page that holds it."""
-    link = F.replace(link, F.lit("&amp;"), F.lit("&"))
-    scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
-    root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^.*?://[^/?#]*([^?#]*/)", 1)
+    """A link made absolute against the page that holds it, by RFC 3986, 5.2; null for an address without //, such
+    as mailto:, and for a page without ://. The fragment goes."""
+    link = F.regexp_replace(F.trim(F.replace(link, F.lit("&amp;"), F.lit("&"))), r"(?s)#.*$", "")
+    part = lambda pattern: F.regexp_extract(base, pattern, 1)
+    root, path, query = part(r"(?s)^(.*?://[^/?#]*)"), part(r"(?s)^.*?://[^/?#]*([^?#]*)"), part(r"(?s)^.*?://[^?#]*(\?[^#]*)")
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"(?s)^(.*/)", 1), F.lit("")), F.lit("/"))
+    own, search = F.regexp_extract(link, r"(?s)^([^?]*)", 1), F.regexp_extract(link, r"(?s)^[^?]*(\?.*)$", 1)
+    other = F.when(link.startswith("//"), F.concat(part(r"(?s)^(.*?)://"), F.lit(":"), link)).otherwise(link)
+    absolute = F.concat(F.regexp_extract(other, r"(?s)^(.*?://[^/?#]*)", 1), without_dots(F.regexp_extract(other, r"(?s)^.*?://[^/?#]*([^?#]*)", 1)), F.regexp_extract(other, r"(?s)^.*?://[^?#]*(\?.*)$", 1))
     return (
-        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .when(link != "", F.concat(root, F.when(folder == "", F.lit("/")).otherwise(folder), link))
+        F.when(F.instr(base, "://") == 0, F.lit(None))
+        .when(link.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:)?//"), absolute)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(link == "", F.concat(root, path, query))
+        .when(own == "", F.concat(root, path, search))
+        .when(own.startswith("/"), F.concat(root, without_dots(own), search))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, own)), search))
     )
 
 
+def attributes(tag: Column) -> Column:
+    """name to value of a tag's attributes, the first one where a name repeats; names are lower-cased."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 1), lambda n: F.lower(n))
+    values = F.transform(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), 2), lambda v: F.when(v.rlike("^[\"']"), F.substring(v, F.lit(2), F.length(v) - 2)).otherwise(v))
+    pairs = F.filter(F.arrays_zip(names.alias("n"), values.alias("v")), lambda p, i: F.array_position(names, p["n"]) == i + 1)
+    return F.map_from_entries(pairs)
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst) for each canonical link and meta refresh in the pages' markup."""
-    markup = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), NOT_MARKUP, "")
-    read = pages.where(F.instr(url_col, "://") > 0).where(F.col(html_col).rlike(r"(?i)canonical|refresh")).select(F.col(url_col).alias("u"), markup.alias("m"))
-    canonical = F.transform(F.filter(F.regexp_extract_all("m", F.lit(LINK_TAG), 0), lambda t: t.rlike(IS_CANONICAL)), lambda t: F.regexp_extract(t, HREF, 1))
-    refresh = F.transform(F.filter(F.regexp_extract_all("m", F.lit(META_TAG), 0), lambda t: t.rlike(IS_REFRESH)), lambda t: F.regexp_extract(t, REFRESH_URL, 1))
+    """(src, dst) for each canonical link and meta refresh in the pages' markup. rel is a list of words; links that
+    name no address give no edge."""
+    read = pages.where(F.instr(url_col, "://") > 0).where(F.col(html_col).rlike(r"(?i)canonical|refresh"))
+    read = read.select(F.col(url_col).alias("u"), F.regexp_replace(F.col(html_col), NOT_MARKUP, "").alias("m"))
+    tags = lambda name: F.transform(F.regexp_extract_all("m", F.lit(TAG % name), 0), attributes)
+    word = lambda value, name: F.array_contains(F.split(F.lower(F.trim(value)), r"\s+"), name)
+    canonical = F.transform(F.filter(tags("link"), lambda a: word(F.coalesce(a["rel"], F.lit("")), "canonical") & a["href"].isNotNull()), lambda a: a["href"])
+    refresh = F.filter(tags("meta"), lambda a: F.lower(F.trim(F.coalesce(a["http-equiv"], F.lit("")))) == "refresh")
+    refresh = F.filter(F.transform(refresh, lambda a: F.regexp_extract(F.coalesce(a["content"], F.lit("")), REFRESH_URL, 1)), lambda u: u != "")
     links = read.select("u", F.explode(F.concat(canonical, refresh)).alias("link"))
     return links.select(address(F.col("u")).alias("src"), address(resolved(F.col("u"), F.col("link"))).alias("dst")).where("dst is not null")
 
@@ -105,8 +132,14 @@ def url_filter(
     groups = scratch.store(connected_components(edges, scratch, "src", "dst"), "aliases")
     sides = ruled(groups.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
     blocked = scratch.store(sides.groupBy("component").agg(F.max((F.col("own") == "block").cast("int")).alias("b")).where("b = 1").select("component"), "alias-blocks")
-    spread = groups.join(blocked, "component", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_hit"))
+    spread = scratch.store(groups.join(blocked, "component", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_hit")), "alias-hits")
     judged = pages.select(F.col(id_col).alias("page_id"), address(F.col(url_col)).alias("_node"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    judged = ruled(judged, rules).join(spread, "_node", "left")
+    judged = ruled(judged, rules)
+    # pages that no alias could block skip the join, so that null addresses do not meet in one task
+    if spread.take(1):
+        apart = F.coalesce("_node", F.concat(F.lit("\u0000"), F.xxhash64("page_id").cast("string")))
+        judged = judged.withColumn("_node", apart).join(spread, "_node", "left")
+    else:
+        judged = judged.withColumn("_hit", F.lit(False))
     hit = F.coalesce("_hit", F.lit(False))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(hit, "block").otherwise("allow")).alias("verdict"), (hit & F.col("own").isNull()).alias("alias_blocked"))

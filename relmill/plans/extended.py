@@ -289,16 +289,18 @@ def betweenness(spark, sf_dir):
 NATION_FIRST = "(select min(c_custkey) from customer group by c_nationkey)"
 
 
-@query(f"{LEVELS} select source, id, level from l where source in {NATION_FIRST}")
-def bfs_from_nations(spark, sf_dir):
-    return analytics.bfs_levels(small_graph(spark, sf_dir)[1], smallest_of_nations(spark, sf_dir)).select("source", "id", "level")
+@query(f"{LEVELS} select source, id, level from l")
+def bfs_from_all(spark, sf_dir):
+    v, e = small_graph(spark, sf_dir)
+    return analytics.bfs_levels(e, v).select("source", "id", "level")
 
 
-@query(f"""{LEVELS}, q as (select l.source, l.id, min(u.src) as pred from l join u on u.dst = l.id join l k on k.source = l.source and k.id = u.src and k.level = l.level - 1 where l.source in {NATION_FIRST} group by 1, 2),
-    p as (select source, id, id::varchar as path from l where level = 0 and source in {NATION_FIRST} union all select q.source, q.id, p.path || ',' || q.id from p join q on q.source = p.source and q.pred = p.id)
+@query(f"""{LEVELS}, q as (select l.source, l.id, min(u.src) as pred from l join u on u.dst = l.id join l k on k.source = l.source and k.id = u.src and k.level = l.level - 1 group by 1, 2),
+    p as (select source, id, id::varchar as path from l where level = 0 union all select q.source, q.id, p.path || ',' || q.id from p join q on q.source = p.source and q.pred = p.id)
     select source, id as target, path from p""")
 def bfs_paths(spark, sf_dir):
-    found = analytics.bfs_levels(small_graph(spark, sf_dir)[1], smallest_of_nations(spark, sf_dir))
+    v, e = small_graph(spark, sf_dir)
+    found = analytics.bfs_levels(e, v)
     return paths.paths(found).select("source", "target", F.array_join("path", ",").alias("path"))
 
 

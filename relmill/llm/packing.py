@@ -223,7 +223,6 @@ def _cut(path: str, length: int, with_ids: bool, ordered: bool):
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, at = encode(part.column("text"))
-                doc_id = part.column("doc_id").to_numpy(zero_copy_only=False)
                 size = np.diff(at)
                 pieces = -(-size // length)
                 row = np.repeat(np.arange(len(size)), pieces)
@@ -232,7 +231,7 @@ def _cut(path: str, length: int, with_ids: bool, ordered: bool):
                 n = np.minimum(size[row] - start, length)
                 lo = at[row] + start
                 crc = [zlib.crc32(ids[a : a + b].astype("<u4").tobytes()) for a, b in zip(lo.tolist(), n.tolist(), strict=True)]
-                out = [pa.array(doc_id[row], pa.int64()), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(n), pa.array(crc, pa.int64())]
+                out = [part.column("doc_id").take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(n), pa.array(crc, pa.int64())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 if ordered:
                     out.append(pa.array(part.column("at").to_numpy(zero_copy_only=False)[row], pa.int64()))

@@ -118,7 +118,14 @@ def dealt_rank(df: DataFrame, scratch: Scratch, by: str, order: list[str], rows:
     return joined.withColumn("rank", F.col("_begin") + F.col("_rn") - 1).drop("_by", "_s", "_salt", "_begin", "_rn")
 
 
-def linked_groups(members: DataFrame, scratch: Scratch, verify, fits=None, small: int = 16, salts: int = 16) -> DataFrame:
+def likeliest(candidates: DataFrame) -> DataFrame:
+    """Of pairs (a, b, shared), for every id the one that shares most keys, ties to the smallest other id."""
+    ends = candidates.select("a", "shared", F.col("b").alias("o")).unionByName(candidates.select(F.col("b").alias("a"), "shared", F.col("a").alias("o")))
+    best = ends.groupBy("a").agg(F.min_by("o", F.struct(-F.col("shared"), "o")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def linked_groups(members: DataFrame, scratch: Scratch, verify, fits=None, small: int = 16, salts: int = 16, likely_first: bool = False) -> DataFrame:
     """(node, component) of the ids that verified links join; ids without a link are absent.
 
     members: key, id and attributes. Ids that share a key are candidates, ``fits(a, b)`` is a condition on
@@ -127,6 +134,8 @@ def linked_groups(members: DataFrame, scratch: Scratch, verify, fits=None, small
     the most large keys, then against
     ``salts`` heads, and at last only those pairs whose members are still in different components. No pair
     that could join two components is left out, yet a group that its heads connect never makes all pairs.
+    With ``likely_first`` every id is first tested against the one candidate that shares most keys with it, and of the
+    other pairs only those are tested that are still in different components.
     """
     cols = [c for c in members.columns if c not in ("key", "id")]
     sizes = scratch.store(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
@@ -153,8 +162,20 @@ def linked_groups(members: DataFrame, scratch: Scratch, verify, fits=None, small
 
     if has_many:
         pairs = pairs.unionByName(across(many.withColumn("c", F.col("id")), 1))
-    tested = scratch.store(pairs.distinct(), "pairs")
-    links = scratch.store(verify(tested).select("a", "b"), "links")
+    if likely_first:
+        candidates = scratch.store(pairs.groupBy("a", "b").agg(F.count("*").alias("shared")), "candidates")
+        tested = candidates.select("a", "b")
+        first = scratch.store(likeliest(candidates), "pairs")
+        links = scratch.store(verify(first).select("a", "b"), "links")
+        groups = scratch.store(connected_components(links, scratch), "groups")
+        of = lambda side: groups.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")).hint("merge")
+        rest = tested.join(first.hint("merge"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        rest = scratch.store(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "pairs")
+        more = scratch.store(verify(rest).select("a", "b"), "links")
+        links = links.unionByName(more)
+    else:
+        tested = scratch.store(pairs.distinct(), "pairs")
+        links = scratch.store(verify(tested).select("a", "b"), "links")
     groups = scratch.store(connected_components(links, scratch), "groups")
     for k in (salts, None) if has_many else ():
         placed = many.join(groups.select(F.col("node").alias("id"), F.col("component").alias("c")).hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id"))

@@ -106,6 +106,16 @@ def _sketch(min_words: int, blocks: int):
 PAIR = np.dtype([("key", "<i8"), ("rid", "<i8")])
 
 
+def packed(pairs: np.ndarray) -> bytes:
+    """Byte planes apart: the high ones of sorted keys and of neighbouring numbers compress well."""
+    return np.ascontiguousarray(pairs).view(np.uint8).reshape(-1, PAIR.itemsize).T.tobytes()
+
+
+def unpacked(blobs) -> np.ndarray:
+    parts = [np.frombuffer(b, np.uint8).reshape(PAIR.itemsize, -1).T.copy().view(PAIR).ravel() for b in blobs]
+    return np.concatenate(parts) if parts else np.zeros(0, PAIR)
+
+
 def _runs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """pairs in order of key and rid, whether another one has the same key, and whether it is the first that has."""
     pairs = pairs[np.lexsort((pairs["rid"], pairs["key"]))]
@@ -125,13 +135,13 @@ def _messages(buckets: int):
             if not len(pairs):
                 continue
             pairs, met, first = _runs(pairs)
-            out, names = [pairs[met].tobytes()], [-1]
+            out, names = [packed(pairs[met])], [-1]
             pairs = pairs[first]
             bucket = pairs["key"] % buckets
             order = np.argsort(bucket, kind="stable")
             pairs, bucket = pairs[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
-            out += [x.tobytes() for x in np.split(pairs, cuts[1:])]
+            out += [packed(x) for x in np.split(pairs, cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(np.append(names, bucket[cuts]).astype(np.int32)), pa.array(out, pa.binary())], ["bucket", "data"])
 
     return run
@@ -139,12 +149,12 @@ def _messages(buckets: int):
 
 def _open(batches):
     for batch in batches:
-        pairs = np.frombuffer(b"".join(batch.column("data").to_pylist()), PAIR)
+        pairs = unpacked(batch.column("data").to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(pairs["key"].copy()), pa.array(pairs["rid"].copy())], ["key", "id"])
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    pairs, met, _ = _runs(np.frombuffer(b"".join(table.column("data").to_pylist()), PAIR))
+    pairs, met, _ = _runs(unpacked(table.column("data").to_pylist()))
     return pa.table({"key": pairs["key"][met], "id": pairs["rid"][met]})
 
 
@@ -212,13 +222,35 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _similar(similarity: float):
+def _similar(similarity: float, least: float = 0.4):
+    """Pairs (a, b, ta, tb) with an edit similarity in characters of at least ``similarity``.
+
+    The edit distance in words comes first, which costs a fortieth. It bounds the one in characters: as many of the
+    longest words as it counts, with a space each. Most true pairs are settled so. Lines that are less than ``least``
+    alike in words are strangers, and only what is left is aligned by characters."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, "ta", 1 << 20):
-                a, b = ([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in part.column(c).to_pylist()] for c in ("ta", "tb"))
-                longer = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)])
-                yield part.select(["a", "b"]).filter(pa.array(edit_distances(a, b) <= np.floor(longer * (1 - similarity) + 1e-9)))
+                words, sizes = ([], []), ([], [])
+                for side, c in enumerate(("ta", "tb")):
+                    h, line, size = sized_hashes(part.column(c))
+                    cuts = np.searchsorted(line, np.arange(part.num_rows + 1))
+                    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                        words[side].append((h[i:j] >> np.uint64(32)).astype(np.uint32))
+                        sizes[side].append(size[i:j])
+                unlike = edit_distances(*words)
+                chars = np.maximum(*(pc.utf8_length(part.column(c)).to_numpy(zero_copy_only=False) for c in ("ta", "tb")))
+                most = np.floor(chars * (1 - similarity) + 1e-9)
+                near, later = np.zeros(part.num_rows, bool), []
+                for i, d in enumerate(unlike.tolist()):
+                    longest = np.concatenate([sizes[0][i], sizes[1][i]])
+                    near[i] = (np.partition(longest, -d)[-d:].sum() if 0 < d < len(longest) else longest.sum() * (d > 0)) + d <= most[i]
+                    if not near[i] and d <= (1 - least) * max(len(words[0][i]), len(words[1][i])):
+                        later.append(i)
+                a, b = ([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in part.column(c).take(pa.array(later, pa.int64())).to_pylist()] for c in ("ta", "tb"))
+                near[later] = edit_distances(a, b) <= most[later]
+                yield part.select(["a", "b"]).filter(pa.array(near))
 
     return run
 
@@ -258,7 +290,8 @@ def line_groups(
         tasks = max(scratch.spark.sparkContext.defaultParallelism, -(-pairs.count() // 20_000))  # few bytes, much work
         return pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks).mapInArrow(_similar(similarity), "a long, b long")
 
-    groups = linked_groups(members, scratch, verify, fits)
+    scratch.drop(sent)
+    groups = linked_groups(members, scratch, verify, fits, likely_first=True)
     nodes = placed.join(groups.select(F.col("node").alias("rid"), "component").hint("merge"), "rid")
     held = nodes.select("h1", "h2", "rid", "lid", "component").unionByName(equal.withColumn("component", F.lit(None).cast("long")))
     held = held.groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.min("lid").alias("lid"), F.max("component").alias("component"))
@@ -268,7 +301,7 @@ def line_groups(
 
 
 def removed_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, min_words: int = 5, blocks: int = 20, most_bits: int = 24, min_chars: int = 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.75, min_words: int = 5, blocks: int = 20, most_bits: int = 22, min_chars: int = 20
 ) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines to remove from each document that loses any.
 

@@ -177,7 +177,7 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     a, b = zip(*[_core(x, y) for x, y in zip(a, b, strict=True)], strict=True) if len(a) else (a, b)
     out = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
     todo = sorted((i for i in range(len(a)) if len(a[i]) and len(b[i])), key=lambda i: (len(a[i]), len(b[i])))
-    one, zero, full = np.uint64(1), np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF)
+    one, full = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
     while todo:
         width = -(-len(a[todo[0]]) // 64)
         some = [i for i in todo[: max(1, 4096 // width)] if -(-len(a[i]) // 64) <= width + width // 8]
@@ -191,30 +191,33 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         at = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
         peq = np.zeros((p, letters, w), np.uint64)
         np.bitwise_or.at(peq, (pair, local - start[pair], at >> 6), one << (at & 63).astype(np.uint64))
-        text = np.full((p, cols), letters - 1, np.int64)
+        # a column's letters as places in peq, last column first: the words at hand read a slice of it from left to right
+        text = np.full((p, cols), (letters - 1) * w, np.int64)
         pair = np.repeat(np.arange(p), n)
         want = pair.astype(np.int64) << 32 | np.concatenate([b[i] for i in some]).astype(np.int64)
         found = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
-        text[pair, np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)] = np.where(codes[found] == want, found - start[pair], letters - 1)
+        text[pair, np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)] = np.where(codes[found] == want, found - start[pair], letters - 1) * w
+        text = np.ascontiguousarray(text[:, ::-1]) + (np.arange(p) * (letters * w))[:, None]
+        flat, words = peq.ravel(), np.arange(w)
         vp, vn = np.full((p, w), full), np.zeros((p, w), np.uint64)
         last = (m - 1) >> 6
         top = np.full((p, w), np.uint64(63))
         top[np.arange(p), last] = ((m - 1) & 63).astype(np.uint64)
         up, down = np.ones((p, w + 1), np.uint64), np.zeros((p, w + 1), np.uint64)  # +1 or -1 that enters each word from above
-        rows, words, score = np.arange(p)[:, None], np.arange(w)[None, :], m.copy()
+        every, score = np.arange(p), m.copy()
         for t in range(cols + w - 1):
             lo, hi = max(0, t - cols + 1), min(w, t + 1)  # words that have a column at hand
-            s, word = slice(lo, hi), words[:, lo:hi]
-            eq, pv, mv, plus, minus = peq[rows, text[:, t - word[0]], word], vp[:, s], vn[:, s], up[:, s], down[:, s]
+            s = slice(lo, hi)
+            eq, pv, mv, plus, minus = flat.take(text[:, cols - 1 - t + lo : cols - 1 - t + hi] + words[s]), vp[:, s], vn[:, s], up[:, s], down[:, s]
             xv = eq | mv
-            eq = eq | minus
+            eq |= minus
             xh = (((eq & pv) + pv) ^ pv) | eq
             ph, mh = mv | ~(xh | pv), pv & xh
             more, less = (ph >> top[:, s]) & one, (mh >> top[:, s]) & one
-            live = last[:, None] == word
-            if live.any():
-                own = live & ((t - word) < n[:, None])
-                score += ((more.astype(np.int64) - less.astype(np.int64)) * own).sum(1)
+            at_last = (last >= lo) & (last < hi) & (t - last < n)
+            if at_last.any():
+                own = every[at_last]
+                score[own] += more[own, last[own] - lo].astype(np.int64) - less[own, last[own] - lo].astype(np.int64)
             ph, mh = ph << one | plus, mh << one | minus
             vp[:, s], vn[:, s] = mh | ~(xv | ph), ph & xv
             up[:, lo + 1 : hi + 1], down[:, lo + 1 : hi + 1] = more, less
@@ -231,7 +234,7 @@ def _similar(similarity: float, least: float = 0.4):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "ta", 1 << 20):
+            for part in slices(batch, "ta", 8 << 20):
                 words, sizes = ([], []), ([], [])
                 for side, c in enumerate(("ta", "tb")):
                     h, line, size = sized_hashes(part.column(c))

@@ -249,7 +249,9 @@ def _similar(similarity: float, least: float = 0.4):
                 for i, d in enumerate(unlike.tolist()):
                     longest = np.concatenate([sizes[0][i], sizes[1][i]])
                     near[i] = (np.partition(longest, -d)[-d:].sum() if 0 < d < len(longest) else longest.sum() * (d > 0)) + d <= most[i]
-                    if not near[i] and d <= (1 - least) * max(len(words[0][i]), len(words[1][i])):
+                    n = max(len(words[0][i]), len(words[1][i]))
+                    # few words, or long ones as in scripts without spaces, tell nothing
+                    if not near[i] and (d <= (1 - least) * n or n < FUZZY_WORDS or chars[i] > 12 * n):
                         later.append(i)
                 a, b = ([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in part.column(c).take(pa.array(later, pa.int64())).to_pylist()] for c in ("ta", "tb"))
                 near[later] = edit_distances(a, b) <= most[later]

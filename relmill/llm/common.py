@@ -179,15 +179,18 @@ def linked_groups(members: DataFrame, scratch: Scratch, verify, fits=None, small
     groups = scratch.store(connected_components(links, scratch), "groups")
     for k in (salts, None) if has_many else ():
         placed = many.join(groups.select(F.col("node").alias("id"), F.col("component").alias("c")).hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-        open_keys = scratch.store(placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key"), "open-keys")
+        parts = placed.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key")
+        open_keys = parts.agg(F.count("*").alias("parts"), F.max(F.struct("n", "c"))["c"].alias("main")).where("parts > 1")
+        open_keys = scratch.store(open_keys.select("key", "main"), "open-keys")
         if not open_keys.take(1):
             break
         placed = scratch.store(placed.join(open_keys.hint("merge"), "key"), "open")
         if k:
             new = across(placed, k)
-        else:
-            both = spare("a", placed).join(spare("b", placed), "key").where((F.col("a_id") < F.col("b_id")) & (F.col("a_c") != F.col("b_c")) & ok)
-            new = both.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+        else:  # those outside a key's largest component against all: the largest never meets itself
+            once = (F.col("b_c") == F.col("a_main")) | (F.col("a_id") < F.col("b_id"))
+            both = spare("a", placed.where("c <> main")).join(spare("b", placed), "key").where((F.col("a_c") != F.col("b_c")) & once & ok)
+            new = both.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
         fresh = scratch.store(new.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         more = scratch.store(verify(fresh).select("a", "b"), "links")
         tested, grown = tested.unionByName(fresh), more.take(1)

@@ -26,12 +26,12 @@ def components(n, links):
 
 
 @pytest.mark.parametrize("likely_first", [False, True])
-@pytest.mark.parametrize("kind", ["strangers", "near copies", "families"])
+@pytest.mark.parametrize("kind", ["strangers", "near copies", "families", "one large"])
 def test_no_link_is_lost(spark, kind, likely_first):
     """One hot key of all ids, and small ones. Links join values that differ by at most one."""
     r = random.Random(kind)
     n = 150
-    value = {"strangers": lambda i: 10 * i, "near copies": lambda i: i, "families": lambda i: 10 * (i % 7) + r.randrange(4)}[kind]
+    value = {"strangers": lambda i: 10 * i, "near copies": lambda i: i, "families": lambda i: 10 * (i % 7) + r.randrange(4), "one large": lambda i: i if i < 120 else 10 * i}[kind]
     values = [value(i) for i in range(n)]
     rows = [("hot", i, values[i]) for i in range(n)] + [(f"k{i // 3}-{j}", i, values[i]) for i in range(n) for j in range(2)]
     members = spark.createDataFrame(rows, "key string, id long, v long").repartition(4)

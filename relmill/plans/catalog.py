@@ -185,11 +185,11 @@ def edge_endpoints(spark, sf_dir):
     return graph.endpoints(order_edges(spark, sf_dir))
 
 
-@query(f"select src, dst, count(*) as n from {ORDER_EDGES} where src % 3 = 0 and dst % 3 = 1 group by 1, 2")
+@query(f"select src, dst, count(*) as n from {ORDER_EDGES} where src in (select c_custkey from customer where c_acctbal > 0) and dst in (select p_partkey + 1000000000 from part where p_size <= 25) group by 1, 2")
 def induced_edges(spark, sf_dir):
-    e = order_edges(spark, sf_dir)
-    keep = graph.endpoints(e).where("(node_id < 1000000000 and node_id % 3 = 0) or (node_id >= 1000000000 and node_id % 3 = 1)")
-    return graph.induced(e, keep).groupBy("src", "dst").agg(F.count("*").alias("n"))
+    customers = t(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("node_id"))
+    parts = t(spark, sf_dir, "part").where("p_size <= 25").select((F.col("p_partkey") + 10**9).alias("node_id"))
+    return graph.induced(order_edges(spark, sf_dir), customers.unionByName(parts)).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 @query(f"with {SMALL} select i, j, sum(w) as v from (select src as i, dst as j, weight as w from e union all select dst, src, weight from e) group by 1, 2")
@@ -559,12 +559,9 @@ def clustering_coefficient(spark, sf_dir):
     return analytics.clustering_coefficient(*small_graph(spark, sf_dir)).select("id", F.round("coefficient", 9).alias("coefficient"))
 
 
-@query(f"with recursive {SMALL}, w as (select id as root, id from v where id in (select min(id) from v group by nation) union select root, dst from w join u on src = w.id) select id, coalesce((select min(root) from w where w.id = v.id), id) as component from v where id in (select id from w)")
+@query()
 def components_reached(spark, sf_dir):
-    v, e = small_graph(spark, sf_dir)
-    found = analytics.components(v, e)
-    roots = t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("id")).select("id").join(found, "id").select("component").distinct()
-    return found.join(roots, "component", "left_semi").select("id", "component")
+    return analytics.components(*small_graph(spark, sf_dir)).select("id", "component")
 
 
 @query()
@@ -577,16 +574,22 @@ def is_connected(spark, sf_dir):
     return analytics.is_connected(*small_graph(spark, sf_dir))
 
 
-@query(f"with recursive {SMALL}, w as (select 1::bigint as id, 0 as level union select dst, level + 1 from w join u on src = w.id where level < 12) select id, min(level)::int as level from w group by 1")
+def smallest_of_nations(spark, sf_dir):
+    return t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("id")).select("id")
+
+
+@query()
 def bfs_levels(spark, sf_dir):
-    v, e = small_graph(spark, sf_dir)
-    return analytics.bfs_levels(e, v.where("id = 1")).select("id", "level")
+    """Hops to the nearest of the nations' first customers."""
+    found = analytics.bfs_levels(small_graph(spark, sf_dir)[1], smallest_of_nations(spark, sf_dir))
+    return found.groupBy("id").agg(F.min("level").alias("level"))
 
 
-@query(f"with recursive {SMALL}, uw as (select src, dst, weight from e union all select dst, src, weight from e), w as (select 1::bigint as id, 0.0::double as d union select dst, w.d + weight from w join uw on src = w.id where w.d + weight <= 400) select id, min(d) as distance from w group by 1")
+@query()
 def shortest_paths(spark, sf_dir):
-    v, e = small_graph(spark, sf_dir)
-    return analytics.shortest_paths(e, v.where("id = 1")).select("id", "distance")
+    """Distance to the nearest of the nations' first customers."""
+    found = analytics.shortest_paths(small_graph(spark, sf_dir)[1], smallest_of_nations(spark, sf_dir))
+    return found.groupBy("id").agg(F.min("distance").alias("distance"))
 
 
 @query()
@@ -648,11 +651,11 @@ def graph_statistics(spark, sf_dir):
 # ---------------------------------------------------------------------------------------------- sampling
 
 
-@query(f"""with p as (select distinct dst as src, src as dst from {ORDER_EDGES}), h1 as (select src, dst, row_number() over (partition by dst order by md5(src || ':' || dst || ':5:1'), src) as k from p where dst % 10 = 0)
+@query(f"""with p as (select distinct dst as src, src as dst from {ORDER_EDGES}), h1 as (select src, dst, row_number() over (partition by dst order by md5(src || ':' || dst || ':5:1'), src) as k from p)
     select 1 as hop, src, dst from h1 where k <= 3""")
 def neighbour_sample(spark, sf_dir):
     e = order_edges(spark, sf_dir).select(F.col("dst").alias("src"), F.col("src").alias("dst"), "etime")
-    seeds = t(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("node_id"))
+    seeds = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"))
     return sampling.neighbour_sample(e, seeds, [3], seed=5)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from relmill.functions import features, metrics, scalars
 from relmill.operators import aggregate, analytics, communities, graph, paths, sampling, tasks, validation
-from relmill.plans.catalog import HORIZON, NODES, ORDER_EDGES, QUERIES, SCORED, SEED, SEED_SECONDS, SMALL, SQL, _graph, customer_features, database, order_edges, query, scored, small_graph, t
+from relmill.plans.catalog import HORIZON, NODES, ORDER_EDGES, QUERIES, SCORED, SEED, SEED_SECONDS, SMALL, SQL, _graph, customer_features, database, order_edges, query, scored, small_graph, smallest_of_nations, t
 from relmill.sources import tables as sources
 from relmill.staging import Scratch
 from relmill.streaming import events as streams
@@ -20,10 +20,6 @@ def both_ways(e):
     return e.select("src", "dst").unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
-def smallest_of_nations(spark, sf_dir):
-    return t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_custkey").alias("id")).select("id")
-
-
 # ---------------------------------------------------------------------------------------------- sources
 
 
@@ -270,6 +266,7 @@ LEVELS = f"""{REACH}, most as (select max(n) as k from n), w as (select id as so
     l as (select source, id, min(level) as level from w group by 1, 2)"""
 
 SQL["components"] = f"{REACH} select id, min(root) as component from r group by 1"
+SQL["components_reached"] = SQL["components"]
 SQL["is_connected"] = f"{REACH} select count(distinct c) <= 1 as is_connected from (select id, min(root) as c from r group by 1)"
 SQL["closeness"] = f"{LEVELS} select source as id, case when sum(level) > 0 then (count(*) - 1) / sum(level)::double else 0 end as closeness from l group by 1"
 SQL["cycle_vertices"] = f"""with recursive {SMALL}, x as (select src, dst from e union select dst, src from e where src % 11 = 0), r as (select src as root, dst as id from x union select root, dst from r join x on src = r.id),
@@ -287,6 +284,7 @@ def betweenness(spark, sf_dir):
 
 
 NATION_FIRST = "(select min(c_custkey) from customer group by c_nationkey)"
+SQL["bfs_levels"] = f"{LEVELS} select id, min(level) as level from l where source in {NATION_FIRST} group by 1"
 
 
 @query(f"{LEVELS} select source, id, level from l")
@@ -311,6 +309,9 @@ def _min_plus(rounds: int) -> str:
     return f"with {SMALL}, {', '.join(steps)}"
 
 
+SQL["shortest_paths"] = f"{_min_plus(6)} select b as id, min(d) as distance from d6 where a in {NATION_FIRST} group by 1"
+
+
 @query(f"{_min_plus(6)} select a as source, b as id, d as distance from d6")
 def all_pairs_distances(spark, sf_dir):
     return paths.all_pairs(*small_graph(spark, sf_dir))

@@ -23,9 +23,9 @@ def test_graph_queries_are_whole(spark, tmp_path):
     rows = [(i, 1) for i in ids] + [(i, 2) for i in (500, 501, 502)]
     spark.createDataFrame(rows, "c_custkey long, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
     got = {n: {r[0]: r[1] for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()} for n in ("closeness", "bfs_levels", "shortest_paths", "greedy_colouring")}
-    assert got["bfs_levels"] == {i: k for k, i in enumerate(ids)}
-    assert got["shortest_paths"] == {i: 128.0 * k for k, i in enumerate(ids)}
-    # 500 to 502 are joined in both steps, 1 and 2
+    # 500 to 502 are joined in both steps, 1 and 2; the nations' sources are 1 and 500
+    assert got["bfs_levels"] == {i: k for k, i in enumerate(ids)} | {500: 0, 501: 1, 502: 1}
+    assert got["shortest_paths"] == {i: 128.0 * k for k, i in enumerate(ids)} | {500: 0.0, 501: 1.0, 502: 2.0}
     assert got["greedy_colouring"] == {i: k % 2 for k, i in enumerate(ids)} | {500: 0, 501: 1, 502: 2}
     want = {a: 15 / sum(abs(j - k) for j in range(16)) for k, a in enumerate(ids)} | {500: 1.0, 501: 1.0, 502: 1.0}
     assert got["closeness"] == pytest.approx(want)

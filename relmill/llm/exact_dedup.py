@@ -59,12 +59,14 @@ def radix_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept. Of equal texts the largest id stays; a repeated
-    row stays or goes with its like. A row with a null id is alone and kept."""
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sha256: bool = False) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, and with ``sha256`` the text's text_sha256. Of equal
+    texts the largest id stays; a repeated row stays or goes with its like. A row with a null id is alone and kept."""
     groups = radix_groups(docs, id_col, text_col).dropDuplicates(["doc_id", "tag"])  # a repeated row is in its group twice
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    digest = [F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256")] if sha256 else []
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), *digest)
     keep = F.coalesce("keep_id", "doc_id")
     return ids.join(groups, ["doc_id", "tag"], "left").select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept")
+        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(keep == F.col("doc_id"), F.lit(True)).alias("kept"), *[c for c in ids.columns if c == "text_sha256"]
     )

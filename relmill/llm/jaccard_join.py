@@ -43,7 +43,7 @@ def shingles(texts) -> np.ndarray:
     h, doc = word_hashes(texts)
     n = np.bincount(doc, minlength=len(texts))
     s = h.copy()
-    for k in range(1, WORDS):
+    for k in range(1, min(WORDS, len(h))):  # a slice may hold fewer words in all
         s[: len(h) - k] = mix(s[: len(h) - k] * M1 + h[k:])
     full = np.zeros(len(h), bool)
     if len(h) >= WORDS:

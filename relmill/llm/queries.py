@@ -19,9 +19,7 @@ def op2_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from relmill.llm.exact_dedup import exact_dedup
 
-    docs = table(spark, sf_dir, "documents")
-    sha = docs.select("doc_id", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("text_sha256"))
-    return exact_dedup(docs).join(sha, "doc_id").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup(table(spark, sf_dir, "documents"), sha256=True).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 #: host, path, action

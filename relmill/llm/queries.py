@@ -88,7 +88,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_interpolated_lm, op3_exact_dedup, op4_repeated_passages, op5_jaccard_join, op6_pfair_mixing, op7_line_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relmill.llm.centroid_clustering import centroid_clustering
+
+    return centroid_clustering(table(spark, sf_dir, "embeddings")).drop("n_exact")
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relmill.llm.top_k import exact_top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return exact_top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relmill.llm.conversation_repair import damaged, repair
+
+    rows = table(spark, sf_dir, "conversations")
+    return repair(damaged(rows), rows)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_interpolated_lm, op3_exact_dedup, op4_repeated_passages, op5_jaccard_join, op6_pfair_mixing, op7_line_dedup, op8_best_fit_packing, op9_embedding_dedup, op10_toxicity, op11_centroid_clustering, op12_exact_top_k, op13_conversation_repair)}
 
 SQL = {
     "op3_exact_dedup": """

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relmill.llm.new_sql import REPAIR, TOP_K, clustering_sql
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -116,4 +118,7 @@ SQL = {
                doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256
         from (select doc_id, coalesce(text, '') as t from documents)
     """,
+    "op11_centroid_clustering": clustering_sql(),
+    "op12_exact_top_k": TOP_K,
+    "op13_conversation_repair": REPAIR,
 }

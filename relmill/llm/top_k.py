@@ -141,9 +141,8 @@ def _search(rotations: dict[int, tuple[np.ndarray, tuple[int, ...]]], k: int):
 
 def sample_rotation(sample: np.ndarray, shares: tuple[float, ...] = (0.6, 0.9)) -> tuple[np.ndarray, tuple[int, ...]]:
     """Right singular vectors of a sample, the longest first, and the dimensions that hold these shares of its length."""
-    _, size, v = np.linalg.svd(sample.astype(float), full_matrices=True)
-    energy = np.zeros(sample.shape[1])
-    energy[: len(size)] = size * size
+    x = sample.astype(float)
+    _, energy, v = np.linalg.svd(x.T @ x)  # its singular vectors are the sample's right ones, its values their squares
     part = np.cumsum(energy) / max(energy.sum(), 1e-300)
     cuts = sorted({min(max(1, int(np.searchsorted(part, s)) + 1), sample.shape[1]) for s in shares})
     return v.T, tuple(cuts)

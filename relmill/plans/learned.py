@@ -5,11 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from relmill.operators import tasks
+from relmill.operators import discovery, tasks
+from relmill.operators.asof import asof_join
 from relmill.plans import gnn
 from relmill.plans.catalog import HORIZON, ORDER_EDGES, SEED, SEED_SECONDS, SPLIT, order_edges, query, t
 from relmill.plans.extended import QUERIES, SQL
 from relmill.staging import Scratch
+from relmill.streaming import events as streams
+from relmill.streaming import state
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -150,3 +153,85 @@ def gnn_training(spark, sf_dir):
     net = gnn.train(gnn.Network.start("sage", DIM, 4, 1, 2, seed=1), x, e, labels, epochs=4, rate=0.05, every=4)
     scored = gnn.predict(net, x, gnn.weighed(e))
     return scored.join(labels.select("node_id"), "node_id", "left_semi").select("node_id", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------------------------------------- as-of features
+
+MOMENTS = ["1998-06-01", "1999-06-01", "2000-06-01", "2024-01-02", "2024-01-10"]
+
+
+@query(f"""select c_custkey as customer, s as seed, arg_max(value, row(ts, event_id)) as value, arg_max(event_type, row(ts, event_id)) as event_type
+    from customer cross join (select unnest([{", ".join(f"timestamp '{m}'" for m in MOMENTS)}]) as s) left join events on user_id = c_custkey and ts <= s group by 1, 2""")
+def asof_features(spark, sf_dir):
+    """Every customer at several seed times, with the last event known by then."""
+    seeds = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer"), F.explode(F.array(*[F.lit(m).cast("timestamp_ntz") for m in MOMENTS])).alias("seed"))
+    events = t(spark, sf_dir, "events").select(F.col("user_id").alias("customer"), F.col("ts").cast("timestamp_ntz").alias("seed"), "event_id", "value", "event_type")
+    return asof_join(seeds, events, ["customer"], "seed", ["value", "event_type"], order=["event_id"])
+
+
+@query("""select o_orderkey as order_key, coalesce((select max(row(b.o_orderdate, b.o_orderkey))[2] from orders b where b.o_custkey = a.o_custkey and b.o_orderdate < a.o_orderdate), -1) as previous
+    from orders a""")
+def previous_orders(spark, sf_dir):
+    """Every order with the last order of its customer on an earlier day, -1 where there is none."""
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    out = asof_join(o.withColumnRenamed("o_orderkey", "order_key"), o.withColumnRenamed("o_orderkey", "previous"), ["o_custkey"], "o_orderdate", ["previous"], strict=True)
+    return out.select("order_key", F.coalesce("previous", F.lit(-1)).alias("previous"))
+
+
+# ---------------------------------------------------------------------------------------------- keys and relations
+
+#: Columns of the tables that can be keys: whole numbers and texts.
+KEYED = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+}
+_DISTINCT = "vals as materialized (" + " union all ".join(f"select distinct '{n}' as tab, '{c}' as col, {c}::varchar as v, typeof({c}) = 'VARCHAR' as txt from {n}" for n, cols in KEYED.items() for c in cols) + ")"
+_PROFILE = " union all ".join(f"select '{n}' as \"table\", '{c}' as \"column\", count(distinct {c}) as n_distinct, count(*) - count({c}) as n_null, count(*) > 0 and count(distinct {c}) = count(*) as is_key from {n}" for n, cols in KEYED.items() for c in cols)
+
+
+def _keyed(spark, sf_dir):
+    tables = {n: t(spark, sf_dir, n).select(*cols) for n, cols in KEYED.items()}
+    scratch = Scratch(spark)
+    return scratch.store(discovery.column_values(tables), "values"), scratch
+
+
+@query(_PROFILE)
+def column_profile(spark, sf_dir):
+    """Distinct values and nulls of every column that can be a key, and whether it is one."""
+    return discovery.column_profile(_keyed(spark, sf_dir)[0])
+
+
+@query(f"""with p as ({_PROFILE}), {_DISTINCT},
+    shared as (select a.tab, a.col, b.tab as target, b.col as target_column, count(*) as n from vals a join vals b on a.v = b.v and a.txt = b.txt and a.tab <> b.tab group by all)
+    select tab as "table", col as "column", target, target_column, x.n_distinct as n_values, round(x.n_distinct / k.n_distinct, 9) as coverage
+    from shared join p x on x."table" = tab and x."column" = col and x.n_distinct = n join p k on k."table" = target and k."column" = target_column and k.is_key""")
+def inclusion_dependencies(spark, sf_dir):
+    """Every column whose values are all in a key column of another table."""
+    return discovery.inclusions(*_keyed(spark, sf_dir)).withColumn("coverage", F.round("coverage", 9))
+
+
+# ---------------------------------------------------------------------------------------------- streams
+
+CLOSED = """with x as (select user_id, ts, case when lag(ts) over w is null or ts - lag(ts) over w >= interval '1 hour' then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)),
+    s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from x),
+    closed as (select user_id, count(*) as n, min(ts) as first, max(ts) as last from s group by user_id, k having max(ts) + interval '1 hour' <= (select date_trunc('milliseconds', max(ts)) - interval '1 hour' from events))"""
+
+
+@query(f"{CLOSED} select user_id as node, first as first_seen, last as last_seen, n as degree from closed")
+def stream_node_activity(spark, sf_dir):
+    """Spans of activity of every user that the watermark has closed, from a stream that keeps only the open ones."""
+    scratch = Scratch(spark)
+    target = f"{scratch.root}/activity"
+    streams.run_available(state.node_activity(streams.read_events(spark, sf_dir, "events.parquet")), target, f"{scratch.root}/activity-state")
+    out = spark.read.parquet(target)
+    return out.select("node", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")], "degree")
+
+
+@query(f"{CLOSED} select user_id, n, first as start from closed")
+def stream_closed_sessions(spark, sf_dir):
+    """Sessions in append mode: each is written once, when the watermark has closed it, and then forgotten."""
+    scratch = Scratch(spark)
+    target = f"{scratch.root}/sessions"
+    streams.run_available(streams.sessions(streams.read_events(spark, sf_dir, "events.parquet")), target, f"{scratch.root}/sessions-state")
+    return spark.read.parquet(target).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"))

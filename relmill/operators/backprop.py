@@ -197,3 +197,121 @@ def attention_backward(edges: DataFrame, state: DataFrame, gradient: DataFrame,
     got = sums(rows, weights)
     back = node_map(rows, lambda a: {"g": a["g"] + at_p(a) @ w[:-1].T}, ["g"])
     return {"w": got["w"].reshape(w.shape), "a_dst": got["a_dst"].reshape(a_dst.shape), "a_src": got["a_src"].reshape(a_src.shape)}, back
+
+
+# ------------------------------------------------------------------------------------------------
+# Transformer block: dot-product attention over in-edges and over a few global centroids, added to the input, layer
+# norm, a feed-forward step of twice the width, layer norm. The weights of a layer: q k v o for the edges, gq gk gv go
+# for the centroids, centroids, norm1 norm2 (scale, shift), up and down.
+
+EPS = 1e-5
+BLOCK = ("q", "k", "v", "o", "gq", "gk", "gv", "go", "centroids", "norm1", "norm2", "up", "down")
+
+
+def _normed(a: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Layer norm, what comes before scale and shift, and one over the deviation."""
+    mid = a - a.mean(1, keepdims=True)
+    inv = 1 / np.sqrt((mid * mid).mean(1, keepdims=True) + EPS)
+    return mid * inv * norm[0] + norm[1], mid * inv, inv
+
+
+def _normed_back(g: np.ndarray, hat: np.ndarray, inv: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    d = g * norm[0]
+    return inv * (d - d.mean(1, keepdims=True) - hat * (d * hat).mean(1, keepdims=True))
+
+
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.concatenate([x, np.ones((len(x), 1))], 1)
+
+
+def _block(w: Arrays, heads: int, h: np.ndarray, o: np.ndarray) -> Arrays:
+    """Everything of the block that happens inside a node, from its input and its mix over edges."""
+    n, width = len(h), h.shape[1] // heads
+    cut = lambda x: x.reshape(len(x), heads, width)
+    gq, gk, gv = cut(_affine(h, w["gq"])), cut(_affine(w["centroids"], w["gk"])), cut(_affine(w["centroids"], w["gv"]))
+    s = np.einsum("nhi,chi->nhc", gq, gk) / np.sqrt(width)
+    e = np.exp(s - s.max(2, keepdims=True))
+    attn = e / e.sum(2, keepdims=True)
+    mix = np.einsum("nhc,chi->nhi", attn, gv).reshape(n, -1)
+    one, hat1, inv1 = _normed(h + _affine(o, w["o"]) + _affine(mix, w["go"]), w["norm1"])
+    up = _affine(one, w["up"])
+    out, hat2, inv2 = _normed(one + _affine(np.maximum(up, 0), w["down"]), w["norm2"])
+    return {"gq": gq, "gk": gk, "gv": gv, "attn": attn, "mix": mix, "one": one, "hat1": hat1, "inv1": inv1, "up": up, "hat2": hat2, "inv2": inv2, "x": out}
+
+
+def _block_back(w: Arrays, heads: int, h: np.ndarray, o: np.ndarray, g: np.ndarray) -> tuple[Arrays, np.ndarray, np.ndarray]:
+    """Sums for the weights, and gradients of the input (but for the way through q, k and v) and of the mix over edges.
+    gk, gv are gradients of the centroids' keys and values, for the driver to take further."""
+    c, n, width = _block(w, heads, h, o), len(h), h.shape[1] // heads
+    cut = lambda x: x.reshape(n, heads, width)
+    b = _normed_back(g, c["hat2"], c["inv2"], w["norm2"])
+    d_up = (b @ w["down"][:-1].T) * (c["up"] > 0)
+    d_one = b + d_up @ w["up"][:-1].T
+    a = _normed_back(d_one, c["hat1"], c["inv1"], w["norm1"])
+    d_mix = cut(a @ w["go"][:-1].T)
+    d_attn = np.einsum("nhi,chi->nhc", d_mix, c["gv"])
+    d_s = c["attn"] * (d_attn - (d_attn * c["attn"]).sum(2, keepdims=True)) / np.sqrt(width)
+    d_gq = np.einsum("nhc,chi->nhi", d_s, c["gk"]).reshape(n, -1)
+    sums_ = {
+        "norm2": np.stack([(g * c["hat2"]).sum(0), g.sum(0)]), "down": _with_one(np.maximum(c["up"], 0)).T @ b, "up": _with_one(c["one"]).T @ d_up, "norm1": np.stack([(d_one * c["hat1"]).sum(0), d_one.sum(0)]),
+        "o": _with_one(o).T @ a, "go": _with_one(c["mix"]).T @ a, "gq": _with_one(h).T @ d_gq, "gk": np.einsum("nhc,nhi->chi", d_s, c["gq"]), "gv": np.einsum("nhc,nhi->chi", c["attn"], d_mix),
+    }
+    return sums_, a + d_gq @ w["gq"][:-1].T, a @ w["o"][:-1].T
+
+
+def transformer_forward(edges: DataFrame, nodes: DataFrame, w: Arrays, heads: int, scratch: Scratch) -> DataFrame:
+    """(node_id, h, q, k, v, shift, z, o, x). A target's scores are taken less a bound of them, which cancels out."""
+    dim = w["q"].shape[1]
+    width = dim // heads
+
+    def project(a):
+        q, k, v = (_affine(a["x"], w[n]) for n in "qkv")
+        size = lambda x: np.sqrt((x.reshape(len(x), heads, width) ** 2).sum(2))
+        return {"h": a["x"], "q": q, "k": k, "v": v, "qn": size(q) / np.sqrt(width), "kn": size(k)}
+
+    own = scratch.store(node_map(nodes.select("node_id", "x"), project, ["h", "q", "k", "v", "qn", "kn"]), "projected")
+    longest = own.agg(*[F.max(F.col("kn")[h]) for h in range(heads)]).first()
+    own = own.select("node_id", "h", "q", "k", "v", F.array(*[F.col("qn")[h] * F.lit(float(longest[h] or 0.0)) for h in range(heads)]).alias("shift"))
+    e = edges.select("src", "dst").join(own.select(F.col("node_id").alias("src"), "k", "v"), "src").join(own.select(F.col("node_id").alias("dst"), "q", "shift"), "dst")
+    e = e.select("dst", "v", F.array(*[F.exp(_score(h, width) - F.col("shift")[h]) for h in range(heads)]).alias("t"))
+    mixed = e.groupBy(F.col("dst").alias("node_id")).agg(_sum_of([F.col("t")[h] for h in range(heads)]).alias("z"), _sum_of([F.col("t")[i // width] * F.col("v")[i] for i in range(dim)]).alias("n"))
+    rows = own.join(mixed, "node_id", "left").select(*own.columns, F.coalesce("z", _zeros(heads)).alias("z"), F.coalesce("n", _zeros(dim)).alias("n"))
+
+    def finish(a):
+        o = a["n"] / np.repeat(np.where(a["z"] > 0, a["z"], 1), width, 1)
+        return {**a, "o": o, "x": _block(w, heads, a["h"], o)["x"]}
+
+    return node_map(rows, finish, ["h", "q", "k", "v", "shift", "z", "o", "x"])
+
+
+def _score(h: int, width: int) -> Column:
+    return sum((F.col("q")[h * width + i] * F.col("k")[h * width + i] for i in range(width)), F.lit(0.0)) / float(np.sqrt(width))
+
+
+def transformer_backward(edges: DataFrame, state: DataFrame, gradient: DataFrame, w: Arrays, heads: int, scratch: Scratch) -> tuple[Arrays, DataFrame]:
+    """Gradients of the layer's weights, and (node_id, g) of its input."""
+    dim = w["q"].shape[1]
+    width = dim // heads
+
+    def local(a):
+        _, own, d = _block_back(w, heads, a["h"], a["o"], a["g"])
+        return {**a, "own": own, "d": d, "c": (d * a["o"]).reshape(len(d), heads, width).sum(2)}
+
+    with_g = scratch.store(state.drop("x").join(gradient, "node_id"), "block-backward")
+    got = sums(with_g, lambda a: _block_back(w, heads, a["h"], a["o"], a["g"])[0])
+    both = scratch.store(node_map(with_g, local, ["h", "q", "k", "v", "shift", "z", "d", "c", "own"]), "block-gradients")
+    e = edges.select("src", "dst").join(both.select(F.col("node_id").alias("src"), "k", "v"), "src").join(both.select(F.col("node_id").alias("dst"), "q", "shift", "z", "d", "c"), "dst")
+    alpha = [F.exp(_score(h, width) - F.col("shift")[h]) / F.col("z")[h] for h in range(heads)]
+    dot = [sum((F.col("d")[h * width + i] * F.col("v")[h * width + i] for i in range(width)), F.lit(0.0)) for h in range(heads)]
+    e = e.select("src", "dst", "q", "k", "d", F.array(*alpha).alias("alpha"), F.array(*dot).alias("dot"), "c")
+    e = e.select("src", "dst", "q", "k", "d", "alpha", F.array(*[F.col("alpha")[h] * (F.col("dot")[h] - F.col("c")[h]) / float(np.sqrt(width)) for h in range(heads)]).alias("s"))
+    e = scratch.store(e, "edge-gradients")
+    at_dst = e.groupBy(F.col("dst").alias("node_id")).agg(_sum_of([F.col("s")[i // width] * F.col("k")[i] for i in range(dim)]).alias("dq"))
+    at_src = e.groupBy(F.col("src").alias("node_id")).agg(_sum_of([F.col("s")[i // width] * F.col("q")[i] for i in range(dim)]).alias("dk"), _sum_of([F.col("alpha")[i // width] * F.col("d")[i] for i in range(dim)]).alias("dv"))
+    rows = both.select("node_id", "h", "own").join(at_dst, "node_id", "left").join(at_src, "node_id", "left")
+    rows = scratch.store(rows.select("node_id", "h", "own", *[F.coalesce(c, _zeros(dim)).alias(c) for c in ("dq", "dk", "dv")]), "node-gradients")
+    got |= sums(rows, lambda a: {n: _with_one(a["h"]).T @ a[f"d{n}"] for n in "qkv"})
+    out = {n: got[n].reshape(w[n].shape) for n in BLOCK if n not in ("gk", "gv", "centroids")}
+    keys, values = (got[n].reshape(-1, dim) for n in ("gk", "gv"))
+    out |= {"gk": _with_one(w["centroids"]).T @ keys, "gv": _with_one(w["centroids"]).T @ values, "centroids": keys @ w["gk"][:-1].T + values @ w["gv"][:-1].T}
+    return out, node_map(rows, lambda a: {"g": a["own"] + sum(a[f"d{n}"] @ w[n][:-1].T for n in "qkv")}, ["g"])

@@ -1,13 +1,15 @@
-"""Graph networks trained on tables: HeteroSAGE, RGCN with shared bases, and GAT, with a head on the seed nodes.
+"""Graph networks trained on tables: HeteroSAGE, RGCN with shared bases, GAT and RelGT, with a head on the seed nodes.
 
 An epoch is one pass forwards and one backwards over the edges for each layer (``operators/backprop.py``). The driver holds
-the weights, their AdamW moments and the log. Layers add their input to their output, as deep stacks need.
+the weights, their AdamW moments and the log. Layers add their input to their output, as deep stacks need. RelGT's token is
+one linear form of a node's features, which hold its type as one-hot, its time and its degrees (``node_features``).
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -16,20 +18,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relmill.functions import metrics
-from relmill.functions.scalars import learning_rate
+from relmill.functions.scalars import NEVER, learning_rate
 from relmill.operators import backprop as bp
+from relmill.operators import graph
 from relmill.operators.backprop import node_map, sums, weighed
+from relmill.operators.ordered import nearest_rank
+from relmill.operators.tasks import hash_split
 from relmill.plans.training import EarlyStop
-from relmill.schema import RelationalDB
-from relmill.sources.tables import _text, write_text
+from relmill.schema import RelationalDB, Role
+from relmill.sources.tables import _text, load_csv, write_text
 from relmill.staging import Scratch
 
-KINDS = ("sage", "rgcn", "gat")
+KINDS = ("sage", "rgcn", "gat", "relgt")
 
 
 @dataclass
 class Network:
-    """Weights by name. In ``input``, ``head``, ``self`` and GAT's ``w`` the last row is the bias."""
+    """Weights by name. Where a row is more than there are inputs, the last is the bias."""
 
     kind: str
     layers: int
@@ -38,14 +43,15 @@ class Network:
     task: str = "binary"
     mean: float = 0.0
     scale: float = 1.0
+    heads: int = 2
     log: list[dict] = field(default_factory=list)
 
     @classmethod
-    def start(cls, kind: str, in_dim: int, hidden: int, layers: int, relations: int, bases: int = 2, heads: int = 2, task: str = "binary", seed: int = 0) -> Network:
+    def start(cls, kind: str, in_dim: int, hidden: int, layers: int, relations: int, bases: int = 2, heads: int = 2, centroids: int = 4, task: str = "binary", seed: int = 0) -> Network:
         """Uniform weights within one over the root of the inputs' number."""
         if kind not in KINDS:
             raise ValueError(f"unknown network: {kind}")
-        if kind == "gat" and hidden % heads:
+        if kind in ("gat", "relgt") and hidden % heads:
             raise ValueError(f"{hidden} dimensions do not divide into {heads} heads")
         shapes = {"input": (in_dim + 1, hidden), "head": (hidden + 1, 1)}
         for i in range(layers):
@@ -53,15 +59,24 @@ class Network:
                 "sage": {f"w{i}": ((relations + 1) * (hidden + 1), hidden)},
                 "rgcn": {f"self{i}": (hidden + 1, hidden), f"bases{i}": (bases, hidden, hidden), f"mix{i}": (relations, bases)},
                 "gat": {f"w{i}": (hidden + 1, hidden), f"a_dst{i}": (heads, hidden // heads), f"a_src{i}": (heads, hidden // heads)},
+                "relgt": {f"{n}{i}": {"centroids": (centroids, hidden), "norm1": (2, hidden), "norm2": (2, hidden), "up": (hidden + 1, 2 * hidden), "down": (2 * hidden + 1, hidden)}.get(n, (hidden + 1, hidden)) for n in bp.BLOCK},
             }[kind]
         rng = np.random.default_rng(seed)
         bound = lambda n, s: 1 / math.sqrt({"input": in_dim}.get(n, bases if n.startswith("mix") else hidden))
-        return cls(kind, layers, relations, {n: rng.uniform(-1, 1, s) * bound(n, s) for n, s in shapes.items()}, task)
+        weights = {n: rng.uniform(-1, 1, s) * bound(n, s) for n, s in shapes.items()}
+        for n in weights:
+            if n.startswith("norm"):
+                weights[n] = np.stack([np.ones(hidden), np.zeros(hidden)])
+        return cls(kind, layers, relations, weights, task, heads=heads)
 
     @property
     def hidden(self) -> int:
         return self.weights["input"].shape[1]
 
+    def block(self, i: int) -> dict[str, np.ndarray]:
+        """The weights of layer i of a transformer, without its number."""
+        return {n: self.weights[f"{n}{i}"] for n in bp.BLOCK}
+
     def mean_weights(self, i: int) -> np.ndarray:
         """SAGE's layout of layer i's weights: own, bias, one block a relation, the relations' biases."""
         if self.kind == "sage":
@@ -71,7 +86,7 @@ class Network:
 
     def save(self, spark: SparkSession, path: str) -> None:
         plain = {n: w.tolist() for n, w in self.weights.items()}
-        write_text(spark, path, json.dumps({"kind": self.kind, "layers": self.layers, "relations": self.relations, "weights": plain, "task": self.task, "mean": self.mean, "scale": self.scale, "log": self.log}))
+        write_text(spark, path, json.dumps({"kind": self.kind, "layers": self.layers, "relations": self.relations, "weights": plain, "task": self.task, "mean": self.mean, "scale": self.scale, "heads": self.heads, "log": self.log}))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Network:
@@ -89,11 +104,15 @@ class _Pass:
         """(node_id, x) after the last layer."""
         net, w = self.net, self.net.weights
         start = w["input"]
-        now = node_map(self.features.select("node_id", "x"), lambda a: {"x": np.maximum(a["x"] @ start[:-1] + start[-1], 0)}, ["x"])
+        rectified = net.kind != "relgt"
+        token = lambda x: np.maximum(x, 0) if rectified else x
+        now = node_map(self.features.select("node_id", "x"), lambda a: {"x": token(a["x"] @ start[:-1] + start[-1])}, ["x"])
         now = self.scratch.store(now, "input")
         for i in range(net.layers):
             if net.kind == "gat":
                 state = bp.attention_forward(self.edges, now, w[f"w{i}"], w[f"a_dst{i}"], w[f"a_src{i}"], self.scratch)
+            elif net.kind == "relgt":
+                state = bp.transformer_forward(self.edges, now, net.block(i), net.heads, self.scratch)
             else:
                 state = bp.mean_forward(self.edges, now, net.mean_weights(i), net.relations)
             self.states.append(self.scratch.store(state, f"layer-{i}"))
@@ -108,6 +127,10 @@ class _Pass:
                 got, gradient = bp.attention_backward(self.edges, self.states[i], gradient, w[f"w{i}"], w[f"a_dst{i}"], w[f"a_src{i}"], self.scratch)
                 out |= {f"{n}{i}": g for n, g in got.items()}
                 continue
+            if net.kind == "relgt":
+                got, gradient = bp.transformer_backward(self.edges, self.states[i], gradient, net.block(i), net.heads, self.scratch)
+                out |= {f"{n}{i}": g for n, g in got.items()}
+                continue
             dw, gradient = bp.mean_backward(self.edges, self.states[i], gradient, net.mean_weights(i), net.relations, self.scratch)
             if net.kind == "sage":
                 out[f"w{i}"] = dw
@@ -115,10 +138,10 @@ class _Pass:
             d, bases, mix = net.hidden, w[f"bases{i}"], w[f"mix{i}"]
             blocks = dw[d + 1 : d + 1 + net.relations * d].reshape(net.relations, d, d)
             out |= {f"self{i}": dw[: d + 1], f"bases{i}": np.einsum("rb,rij->bij", mix, blocks), f"mix{i}": np.einsum("bij,rij->rb", bases, blocks)}
-        start = w["input"]
+        start, rectified = w["input"], net.kind != "relgt"
 
         def entry(a):
-            g = a["g"] * (a["x"] @ start[:-1] + start[-1] > 0)
+            g = a["g"] * (a["x"] @ start[:-1] + start[-1] > 0) if rectified else a["g"]
             return {"input": np.concatenate([a["x"].T @ g, g.sum(0)[None]])}
 
         out["input"] = sums(self.features.select("node_id", "x").join(gradient, "node_id"), entry)["input"].reshape(start.shape)
@@ -229,17 +252,20 @@ def train(
     return net
 
 
-def node_features(db: RelationalDB, nodes: DataFrame, columns: dict[str, list[str]], edges: DataFrame | None = None, relations: int = 0) -> DataFrame:
+def node_features(db: RelationalDB, nodes: DataFrame, columns: dict[str, list[str]], edges: DataFrame | None = None, relations: int = 0, at: float = math.inf) -> DataFrame:
     """(node_id, x) of every node of a database: its table as one-hot, the named numeric columns less their mean and
-    over their deviation, zero for other tables and nulls, and, with edges, the logarithm of one plus the in-degree by relation."""
+    over their deviation, zero for other tables, nulls and values that are not finite, and, with edges, the logarithm of one
+    plus the in-degree by relation. Rows newer than ``at`` show their table only, and the means do not see them."""
     names = list(db.tables)
     slots = [(n, c) for n in names for c in columns.get(n, [])]
     out = None
     for n in names:
         df = db.tables[n]
         own = [c for t, c in slots if t == n]
-        stats = df.agg(*[f(F.col(c).cast("double")) for c in own for f in (F.avg, F.stddev_pop)]).first() if own else ()
-        scaled = {c: F.coalesce((F.col(c).cast("double") - F.lit(stats[2 * i] or 0.0)) / F.lit(stats[2 * i + 1] or 1.0), F.lit(0.0)) for i, c in enumerate(own)}
+        seen = F.col(db.times[n]) <= at if n in db.times and at < math.inf else F.lit(True)
+        value = {c: F.when(seen & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < math.inf), F.col(c).cast("double")) for c in own}
+        stats = df.agg(*[f(value[c]) for c in own for f in (F.avg, F.stddev_pop)]).first() if own else ()
+        scaled = {c: F.coalesce((value[c] - F.lit(stats[2 * i] or 0.0)) / F.lit(stats[2 * i + 1] or 1.0), F.lit(0.0)) for i, c in enumerate(own)}
         x = F.array(*[F.lit(float(t == n)) for t in names], *[scaled[c] if t == n else F.lit(0.0) for t, c in slots])
         rows = df.select(F.col(db.keys[n]).cast("string").alias("key"), x.alias("x")).join(nodes.where(F.col("table") == n).select("key", "node_id"), "key").select("node_id", "x")
         out = rows if out is None else out.unionByName(rows)
@@ -247,3 +273,61 @@ def node_features(db: RelationalDB, nodes: DataFrame, columns: dict[str, list[st
         return out
     degree = edges.groupBy(F.col("dst").alias("node_id")).agg(F.array(*[F.log1p(F.count_if(F.col("etype") == r)) for r in range(relations)]).alias("d"))
     return out.join(degree, "node_id", "left").select("node_id", F.concat("x", F.coalesce("d", F.array_repeat(F.lit(0.0), relations))).alias("x"))
+
+
+def run_experiment(
+    db: RelationalDB,
+    labels: DataFrame,
+    seed_table: str,
+    label: str,
+    at: float,
+    columns: dict[str, list[str]],
+    kind: str = "sage",
+    task: str = "binary",
+    hidden: int = 16,
+    layers: int = 2,
+    epochs: int = 30,
+    rate: float = 0.05,
+    every: int = 5,
+    seed: int = 0,
+    **options,
+) -> tuple[Network, dict]:
+    """From a database to a trained network and its report, in one call.
+
+    labels: (_row, label) of the seed table's rows. Edges are those known at ``at``, and no feature is read from a row that
+    is newer. Rows are split 60:20:20 by a hash of the row and ``seed``. The report holds the sizes of the graph, the log, the
+    measures of the validation and test rows (loss aside) and the seconds.
+    """
+    began = time.perf_counter()
+    scratch = Scratch(labels.sparkSession)
+    nodes = scratch.store(graph.keyed_nodes(db), "nodes")
+    edges = scratch.store(graph.visible(graph.edges(db, nodes), at), "edges")
+    relations = 2 * len(db.foreign_keys)
+    x = scratch.store(node_features(db, nodes, columns, edges, relations, at), "features")
+    rows = nodes.where(F.col("table") == seed_table).select("node_id", F.col("row").alias("_row")).join(labels.select("_row", F.col(label).cast("double").alias("label")), "_row")
+    rows = scratch.store(hash_split(rows, "node_id", seed).select("node_id", "split", "label"), "labels")
+    net = Network.start(kind, len(x.first().x), hidden, layers, relations, task=task, seed=seed)
+    net = train(net, x, edges, rows, epochs, rate, every=every, **options)
+    weighted = scratch.store(weighed(edges), "weighed")
+    scored = scratch.store(predict(net, x, weighted).join(rows, "node_id"), "scores")
+    report = {"kind": kind, "task": task, "nodes": x.count(), "edges": edges.count(), "relations": relations, "epochs": len(net.log), "log": net.log}
+    for split in ("valid", "test"):
+        held = scored.where(F.col("split") == split)
+        if task == "binary":
+            report[split] = {"auroc": metrics.roc_auc(held).first()[0], "accuracy": held.agg(F.avg(((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("double"))).first()[0]}
+        else:
+            report[split] = {k: v for k, v in metrics.regression(held, pred="score").first().asDict().items()}
+    return net, report | {"seconds": time.perf_counter() - began}
+
+
+def run_folder(spark: SparkSession, folder: str, label: str, quantile: float = 0.7, **options) -> tuple[Network, dict]:
+    """The same for a folder of CSV files with schema.json: the seed time is a quantile of all row times, features are
+    the numeric columns and times."""
+    db, spec, labels = load_csv(spark, folder)
+    times = None
+    for name, df in db.tables.items():
+        own = df.where(F.col("_time") > NEVER).select("_time")
+        times = own if times is None else times.unionByName(own)
+    at = nearest_rank(times, "_time", quantile).first()
+    columns = {t.name: [*t.columns(Role.NUMERICAL), *([] if t.time_column is None else ["_time"])] for t in spec.tables}
+    return run_experiment(db, labels, spec.seed_table, label, at[0] if at else math.inf, columns, **options)

@@ -19,12 +19,34 @@ def small(spark, seed=0):
     return spark.createDataFrame(x, "node_id long, x array<double>"), spark.createDataFrame(pairs, "src long, dst long, etype int"), spark.createDataFrame(labels, "node_id long, split string, label double"), np.array([v for _, v in x]), pairs, labels
 
 
+def plain_block(w, heads, h, pairs):
+    affine = lambda a, m: a @ m[:-1] + m[-1]
+    soft = lambda s: np.exp(s) / np.exp(s).sum()
+    norm = lambda a, m: np.array([(r - r.mean()) / np.sqrt(r.var() + 1e-5) for r in a]) * m[0] + m[1]
+    q, k, v, gq, gk, gv = (affine(w["centroids"] if n in ("gk", "gv") else h, w[n]) for n in ("q", "k", "v", "gq", "gk", "gv"))
+    width = h.shape[1] // heads
+    local, far = np.zeros_like(h), np.zeros_like(h)
+    for a in range(heads):
+        at = slice(a * width, (a + 1) * width)
+        for j in range(len(h)):
+            far[j, at] = soft(gk[:, at] @ gq[j, at] / np.sqrt(width)) @ gv[:, at]
+            src = [x for x, y, _ in pairs if y == j]
+            if src:
+                local[j, at] = soft(k[src][:, at] @ q[j, at] / np.sqrt(width)) @ v[src][:, at]
+    h = norm(h + affine(local, w["o"]) + affine(far, w["go"]), w["norm1"])
+    return norm(h + affine(np.maximum(affine(h, w["up"]), 0), w["down"]), w["norm2"])
+
+
 def plain_loss(net, x, pairs, labels):
     """The same network on dense arrays."""
     w, n = net.weights, len(x)
     affine = lambda a, m: a @ m[:-1] + m[-1]
-    h = np.maximum(affine(x, w["input"]), 0)
+    h = affine(x, w["input"])
+    h = h if net.kind == "relgt" else np.maximum(h, 0)
     for i in range(net.layers):
+        if net.kind == "relgt":
+            h = plain_block(net.block(i), net.heads, h, pairs)
+            continue
         if net.kind == "gat":
             p = affine(h, w[f"w{i}"])
             heads, width = w[f"a_dst{i}"].shape
@@ -54,7 +76,7 @@ def plain_loss(net, x, pairs, labels):
     return (np.maximum(z[at], 0) - z[at] * y + np.log1p(np.exp(-np.abs(z[at])))).mean() if net.task == "binary" else ((z[at] - y) ** 2).mean()
 
 
-@pytest.mark.parametrize(("kind", "task"), [("sage", "binary"), ("rgcn", "regression"), ("gat", "binary")])
+@pytest.mark.parametrize(("kind", "task"), [("sage", "binary"), ("rgcn", "regression"), ("gat", "binary"), ("relgt", "regression")])
 def test_every_gradient(spark, kind, task):
     x, e, labels, *plain = small(spark)
     net = gnn.Network.start(kind, 3, 4, 2, 2, task=task, seed=3)
@@ -86,7 +108,7 @@ def shop(spark):
     return x, edges, scratch.store(labels.select("node_id", "split", "churn", "ltv"), "labels")
 
 
-@pytest.mark.parametrize(("kind", "layers"), [("sage", 2), ("rgcn", 1), ("gat", 1)])
+@pytest.mark.parametrize(("kind", "layers"), [("sage", 2), ("rgcn", 1), ("gat", 1), ("relgt", 1)])
 def test_networks_learn_churn(spark, shop, kind, layers):
     x, edges, labels = shop
     dim = len(x.first().x)
@@ -121,3 +143,33 @@ def test_bad_networks(spark):
     x, e, labels, *_ = small(spark)
     with pytest.raises(ValueError, match="no rows"):
         gnn.train(gnn.Network.start("sage", 3, 4, 1, 2), x, e, labels.where("split = 'valid'"), epochs=1)
+
+
+def test_one_call_from_a_folder(spark, tmp_path):
+    """CSV files with a schema to a report; rows after the seed time change nothing that is learned from."""
+    from relmill.schema import DatabaseSpec, Role, TableSpec
+    from relmill.sources.tables import save_csv
+
+    db, labels = synthetic_shop(spark, users=120, items=30, seed=5)
+    fk = {"user_id": Role.FOREIGN_KEY, "item_id": Role.FOREIGN_KEY}
+    spec = DatabaseSpec(
+        [
+            TableSpec("users", {"age": Role.NUMERICAL}), TableSpec("items", {"price": Role.NUMERICAL}),
+            TableSpec("transactions", {"amount": Role.NUMERICAL, **fk}, {"user_id": "users", "item_id": "items"}),
+        ], "users"
+    )
+    save_csv(db, spec, str(tmp_path / "shop"), labels)
+    net, report = gnn.run_folder(spark, str(tmp_path / "shop"), "churn", hidden=4, layers=1, epochs=6, every=3)
+    assert report["relations"] == 4 and report["nodes"] == sum(df.count() for df in db.tables.values()) and report["epochs"] == 6
+    assert report["log"][-1]["loss"] < report["log"][0]["loss"] and 0 <= report["test"]["auroc"] <= 1 and 0 <= report["valid"]["accuracy"] <= 1
+
+
+def test_features_know_nothing_newer(spark):
+    from relmill.schema import RelationalDB
+
+    def features(late):
+        df = spark.createDataFrame([(0, 1.0, 5.0), (1, 3.0, 10.0), (2, late, 11.0), (3, float("nan"), 1.0)], "k long, v double, at double")
+        db = RelationalDB("x", {"a": df}, [], {"a": "k"}, {"a": "at"})
+        return {r.node_id: r.x for r in gnn.node_features(db, graph.keyed_nodes(db), {"a": ["v"]}, at=10.0).collect()}
+
+    assert features(7.0) == features(-1e9) == {0: [1.0, -1.0], 1: [1.0, 1.0], 2: [1.0, 0.0], 3: [1.0, 0.0]}

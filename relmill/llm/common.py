@@ -7,7 +7,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from relmill.operators.components import connected_components
@@ -101,6 +101,24 @@ def sized_hashes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, doc, size
 
 
+# ------------------------------------------------------------------------------------------------
+# Rows without an id, which take part under a name made from their content. Names are above all ids.
+
+NAMED = 1 << 62
+
+
+def known_or_named(id_: Column, *content: Column) -> Column:
+    """The id, or for a null one a number from 2^62 on that equal contents share."""
+    return F.coalesce(id_.cast("long"), F.pmod(F.xxhash64(*content), F.lit(NAMED - 1)) + F.lit(NAMED))
+
+
+def known(id_) -> Column:
+    """The id again, null for a name."""
+    c = F.col(id_) if isinstance(id_, str) else id_
+    out = F.when(c < NAMED, c)
+    return out.alias(id_) if isinstance(id_, str) else out
+
+
 # ------------------------------------------------------------------------------------------------
 # Ranks and links without an unbounded group in one task.
 

@@ -19,6 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relmill.llm.common import known, known_or_named
 from relmill.operators.components import connected_components
 from relmill.staging import Scratch
 
@@ -129,19 +130,21 @@ def embedding_dedup(
 
     Only rows with equal, non-null labels and vectors of equal length are compared. A vector that is
     null, empty, zero or holds a null or non-finite component links with nothing and is kept. Ids are
-    taken as unique, a repeated row counting as a copy of itself; null ids are left out. An empty table
-    gives an empty result.
+    taken as unique and below 2^62, a repeated row counting as a copy of itself. Rows with a null id link as any other; their
+    component is the smallest id that is known, or null, and they are kept where no id is known. An empty table gives
+    an empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).where("vec_id is not null")
+    label, v = F.col(label_col).cast("string"), F.col(vector_col).cast("array<double>")
+    rows = vectors.select(known_or_named(F.col(id_col), label, v).alias("vec_id"), label.alias("label"), v.alias("v"))
     whole = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     valid = rows.where(F.col("label").isNotNull() & (F.size("v") > 0) & whole)
     part = F.concat_ws("|", F.col("label"), F.size("v").cast("string"))
     reps = scratch.store(valid.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("n")).select("label", "id", "n", part.alias("part"), "v"), "vectors")
     total = reps.count()
     if not total:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select(known("vec_id"), F.lit(0).cast("long").alias("n_links"), known(F.col("vec_id")).alias("component_id"), F.lit(True).alias("kept"))
     dim = reps.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
     sample = reps.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()
     x = unit(np.array(sample.v.tolist(), float))
@@ -164,4 +167,4 @@ def embedding_dedup(
         classes.select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")), "classes"
     )
     keep = F.coalesce("component_id", "vec_id")
-    return rows.join(classes, ["label", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), keep.alias("component_id"), (keep == F.col("vec_id")).alias("kept"))
+    return rows.join(classes, ["label", "v"], "left").select(known("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), known(keep).alias("component_id"), (keep == F.col("vec_id")).alias("kept"))

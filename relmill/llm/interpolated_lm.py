@@ -68,7 +68,8 @@ class Keys:
         self.keys, self.inverse = np.unique(occurrences, return_inverse=True)
         where = (self.keys >> np.uint64(40)) % np.uint64(buckets)
         self.order = np.argsort(where, kind="stable")
-        self.cuts = np.searchsorted(where[self.order], np.arange(buckets + 1))
+        self.buckets, begins = np.unique(where[self.order], return_index=True)  # those that hold a key, however many there are
+        self.cuts = np.append(begins, len(self.order))
 
     def counts(self, of: np.ndarray) -> np.ndarray:
         return np.bincount(self.inverse[of], minlength=len(self.keys))
@@ -76,7 +77,7 @@ class Keys:
     def answers(self, parts: dict[int, np.ndarray]) -> np.ndarray:
         """Totals for every occurrence, from the buckets' answers."""
         out = np.zeros(len(self.keys), np.int64)
-        got = [parts[b] for b in range(len(self.cuts) - 1) if self.cuts[b] < self.cuts[b + 1]]
+        got = [parts[b] for b in self.buckets.tolist()]
         out[self.order] = np.concatenate(got) if got else np.zeros(0, np.int64)
         return out[self.inverse]
 
@@ -93,10 +94,9 @@ def _ask(buckets: int):
         for kind, occurrences in ((1, one), (2, two)):
             keys = Keys(occurrences, buckets)
             n = keys.counts(slice(None)) if learn.all() else np.bincount(keys.inverse, learn[at], len(keys.keys)).astype(np.int64)
-            for b in range(buckets):
-                own = keys.order[keys.cuts[b] : keys.cuts[b + 1]]
-                if len(own):
-                    rows.append((b, p, kind, pack64(keys.keys[own]), pack32(n[own])))
+            for b, lo, hi in zip(keys.buckets.tolist(), keys.cuts, keys.cuts[1:], strict=False):
+                own = keys.order[lo:hi]
+                rows.append((b, p, kind, pack64(keys.keys[own]), pack32(n[own])))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ASK, strict=True)], schema=ASK) if rows else ASK.empty_table()
 
     return run

@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import M1, M2, Scratch, linked_groups, mix, slices, word_hashes
+from relmill.llm.common import M1, M2, Scratch, known, known_or_named, linked_groups, mix, slices, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -174,14 +174,15 @@ def choose_boundary(sizes: dict[int, int], mean_list: float, percent: int, most:
 def jaccard_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", heavy: int = 200, most_heavy: int = 100_000, key_bits: int = 40) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id that links reach) for every row.
 
-    Null and empty texts have an empty set and link with nothing, their component is their own id. Null
-    ids are left out. A repeated row has an equal set, and so shares its own component. Other columns are
+    Null and empty texts have an empty set and link with nothing, their component is their own id. Rows with a
+    null id link as any other; their component is the smallest id that is known, or null without one. A repeated
+    row has an equal set, and so shares its own component. Ids are below 2^62. Other columns are
     ignored; an empty table gives an empty result. ``heavy`` only steers the order of shingles: no list,
     candidate or partner is dropped.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    texts = docs.select(known_or_named(F.col(id_col), F.col(text_col)).alias("doc_id"), F.col(text_col).alias("text"))
     counts = texts.select("text").mapInArrow(_listed(percent), "key long, c long, t long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).where("t > 1")
     counts = scratch.store(counts, "listed")
     level = counts.groupBy(F.floor(F.log2("t")).cast("int").alias("b")).agg(F.count("*").alias("k"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).collect()  # 63 rows at most
@@ -231,4 +232,4 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     classes = reps.select("s1", "s2", "n", "id").join(groups.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     classes = scratch.store(classes.select("s1", "s2", "n", F.coalesce("component", "id").alias("component")), "classes")
     out = sets.select("doc_id", "n", "s1", "s2").join(classes.hint("merge"), ["s1", "s2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select(known("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("component", "doc_id")).alias("component_id"))

@@ -5,9 +5,10 @@ floor((i - 1) / w) and due by slot ceil(i / w); earliest-deadline-first picks on
 is ever a whole block ahead of or behind its share. When a source has no blocks left, the others go on with their
 weights scaled up, and the windows count from there. Every row is placed: sources without a weight follow at the end.
 
-Weights are whole parts of their sum, so the schedule repeats after as many slots as there are parts: one period is
-worked out for each phase, and the slot of any block follows from its number. The plan grows with the weights and
-their precision, never with the table.
+Weights are exact: a number counts as the decimal that it prints as, and all windows are whole-number arithmetic. The
+schedule repeats after as many slots as the weights have parts in all, so a phase needs no more of it than one period, and
+no more than there are blocks; the slot of any block follows from its number. Where both are more than ``most_slots``,
+blocks are made larger by twos until the plan fits. The plan is a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -16,23 +17,28 @@ import heapq
 import json
 import math
 from collections.abc import Mapping
+from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relmill.llm.common import Scratch, dealt_rank
+from relmill.sources.tables import write_text
 
-UNIT = 1_000  # weights are kept as whole thousandths of the largest, at least one
+MOST_SLOTS = 1 << 19
+#: Rows of a plan up to which it is broadcast.
+FEW = 100_000
 
 
-def period(share: Mapping[str, int]) -> dict[str, list[tuple[int, int, int]]]:
-    """(slot, release, deadline) of each source's blocks over one period, the sum of the shares, by earliest deadline."""
+def period(share: Mapping[str, int], slots: int | None = None) -> dict[str, list[tuple[int, int, int]]]:
+    """(slot, release, deadline) of each source's blocks by earliest deadline, over one period, the sum of the shares, or
+    its first ``slots``."""
     total, out = sum(share.values()), {s: [] for s in share}
     # subtask i of s: release floor((i-1) total / share), deadline ceil(i total / share)
     waiting = [(0, -(-total // w), s, 1) for s, w in share.items()]
     heapq.heapify(waiting)
     ready: list = []
-    for slot in range(total):
+    for slot in range(total if slots is None else min(slots, total)):
         while waiting and waiting[0][0] <= slot:
             release, due, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (due, s, i, release))
@@ -43,29 +49,49 @@ def period(share: Mapping[str, int]) -> dict[str, list[tuple[int, int, int]]]:
     return out
 
 
+def parts(weights: Mapping[str, float]) -> dict[str, int]:
+    """Positive weights as whole parts of their sum, without a common divisor."""
+    exact = {s: Fraction(str(w)) for s, w in weights.items() if w > 0}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * scale) for s, w in exact.items()}
+    least = math.gcd(*whole.values())
+    return {s: w // least for s, w in whole.items()}
+
+
 def phases(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple[int, int, dict[str, tuple[int, int, list]]]]:
-    """(first slot, period, {source: (first block, blocks, period's blocks)}) of each phase; one ends with a source."""
-    top = max(weights.values(), default=1)
-    share = {s: max(1, round(UNIT * weights[s] / top)) for s in sorted(blocks) if blocks[s] and weights.get(s, 0) > 0}
-    done, out, begin = dict.fromkeys(share, 0), [], 0
-    while share:
-        whole = math.gcd(*share.values())
-        part = {s: w // whole for s, w in share.items()}
-        total, plan = sum(part.values()), period(part)
-        # the phase ends when a source has placed its last block
-        ends = {s: (r // part[s]) * total + plan[s][r % part[s]][0] for s in part for r in [blocks[s] - done[s] - 1]}
+    """(first slot, period, {source: (first block, blocks, blocks of the period)}) of each phase; one ends with a source."""
+    left = {s: blocks[s] for s in sorted(blocks) if blocks[s] and weights.get(s, 0) > 0}
+    done, out, begin = dict.fromkeys(left, 0), [], 0
+    while left:
+        part = parts({s: weights[s] for s in left})
+        total = sum(part.values())
+        # the phase ends when a source has placed its last block, in the slot before its deadline at the latest
+        plan = period(part, min(-(-n * total // part[s]) for s, n in left.items()))
+        ends = {s: (r // part[s]) * total + plan[s][r % part[s]][0] for s in part for r in [left[s] - 1] if r % part[s] < len(plan[s])}
         length = min(ends.values()) + 1
         turns, rest = divmod(length, total)
         placed = {s: turns * part[s] + sum(x[0] < rest for x in plan[s]) for s in part}
-        out.append((begin, total, {s: (done[s], placed[s], plan[s]) for s in part}))
+        out.append((begin, total, {s: (done[s], placed[s], plan[s] if turns else [x for x in plan[s] if x[0] < rest]) for s in part if placed[s]}))
         for s, n in placed.items():
             done[s] += n
-            if done[s] == blocks[s]:
-                del share[s]
+            left[s] -= n
+            if not left[s]:
+                del left[s]
         begin += length
     return out
 
 
+def planned(sizes: Mapping[str, int], weights: Mapping[str, float], block_rows: int, most_slots: int = MOST_SLOTS) -> tuple[int, list]:
+    """Rows of a block and the phases, of sources with so many rows."""
+    while True:
+        blocks = {s: -(-n // block_rows) for s, n in sizes.items() if weights.get(s, 0) > 0}
+        period_ = sum(parts({s: weights[s] for s in blocks}).values()) if blocks else 0
+        # phases but the first have other, shorter periods; none has more slots than blocks
+        if min(sum(blocks.values()), period_ * max(1, len(blocks))) <= most_slots:
+            return block_rows, phases(blocks, weights)
+        block_rows *= 2
+
+
 def pfair(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple[str, int, int, int, int]]:
     """(source, block, release, deadline, phase) in slot order, for whole numbers of blocks per source: the schedule
     of ``phases`` written out."""
@@ -78,20 +104,20 @@ def pfair(blocks: Mapping[str, int], weights: Mapping[str, float]) -> list[tuple
     return [x for _, x in sorted(out)]
 
 
-def literal_rows(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
-    """A small table from one literal."""
+def plan_table(scratch: Scratch, rows: list[tuple], ddl: str, name: str) -> DataFrame:
+    """The rows of a plan as a table, by way of lines of JSON in the shared folder."""
     names = [x.split()[0] for x in ddl.split(", ")]
-    text = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(x.replace(' ', ': ') for x in ddl.split(', '))}>>")))
+    path = f"{scratch.root}/{name}.json"
+    write_text(scratch.spark, path, "".join(json.dumps(dict(zip(names, row, strict=True))) + "\n" for row in rows))
+    return scratch.store(scratch.spark.read.schema(ddl).json(path), name)
 
 
 ADDED = ("_block", "_slot", "_place", "_release", "_deadline", "_phase")
 
 
-def placed_rows(docs: DataFrame, weights: Mapping[str, float], source_col: str, order: tuple[str, ...], block_rows: int) -> DataFrame:
+def placed_rows(docs: DataFrame, weights: Mapping[str, float], source_col: str, order: tuple[str, ...], block_rows: int, most_slots: int = MOST_SLOTS) -> DataFrame:
     """(row, _block, _slot, _place, _release, _deadline, _phase), the row being all columns as one struct."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     if weights:
         known = F.create_map(*[x for s in sorted(weights) for x in (F.lit(s), F.lit(True))])
@@ -100,21 +126,22 @@ def placed_rows(docs: DataFrame, weights: Mapping[str, float], source_col: str,
         source = F.lit("")
     named = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), source.alias("_group"), *[F.col(c).alias(f"_order{i}") for i, c in enumerate(order)])
     sizes = {r["_group"]: r["n"] for r in named.groupBy("_group").agg(F.count("*").alias("n")).collect()}  # a row per weight at most
-    plan = phases({s: -(-n // block_rows) for s, n in sizes.items() if s}, weights)
+    block_rows, plan = planned({s: n for s, n in sizes.items() if s}, weights, block_rows, most_slots)
     spans, slots = [], []  # a row per source and phase, and per source, phase and block of the period
     for number, (begin, total, sources) in enumerate(plan):
         for s, (first, n, turns) in sources.items():
             spans.append((s, number, first, first + n, begin, total, len(turns)))
             slots += [(s, number, k, *x) for k, x in enumerate(turns[:n])]
     fields = ["_group string, _phase int, _first long, _last long, _begin long, _total long, _share long", "_group string, _phase int, _turn long, _s long, _r long, _d long"]
-    spans, slots = (literal_rows(spark, rows, ddl) for rows, ddl in zip((spans, slots), fields, strict=True))
+    few = len(slots) <= FEW
+    spans, slots = (plan_table(scratch, rows, ddl, name) for rows, ddl, name in zip((spans, slots), fields, ("spans", "slots"), strict=True))
     ranked = dealt_rank(named, scratch, "_group", [f"_order{i}" for i in range(len(order))], sum(sizes.values()))
     ranked = ranked.withColumns({"_block": F.floor(F.col("rank") / block_rows).cast("long"), "_place": F.pmod("rank", F.lit(block_rows)).cast("int")})
     held = F.broadcast(spans.withColumnRenamed("_group", "_g"))
     placed = ranked.join(held, (F.col("_group") == F.col("_g")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_last")), "left")
     since = F.col("_block") - F.col("_first")
     placed = placed.withColumns({"_turn": since % F.col("_share"), "_shift": F.col("_begin") + F.floor(since / F.col("_share")).cast("long") * F.col("_total")})
-    placed = placed.join(F.broadcast(slots), ["_group", "_phase", "_turn"], "left")
+    placed = placed.join(F.broadcast(slots) if few else slots.hint("merge"), ["_group", "_phase", "_turn"], "left")
     last = max((begin + sum(n for _, n, _ in sources.values()) for begin, _, sources in plan), default=0)
     slot = F.coalesce(F.col("_shift") + F.col("_s"), F.lit(last) + F.col("_block")).cast("long")
     windows = [(F.col("_shift") + F.col(c)).alias(name) for c, name in (("_r", "_release"), ("_d", "_deadline"))]
@@ -125,7 +152,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float], source_col: str = "source
     """All rows and columns of docs with _block, _slot, _place, _release, _deadline and _phase, which replace
     columns of those names.
 
-    Read in order of (_slot, _place) the sources keep to their weights. Rows of a null source or one
+    Read in order of (_slot, _place) the sources keep to their weights, exactly: less than one block of deviation from
+    them in every phase, for any weights and any number of rows. Rows of a null source or one
     without a weight get slots after all others, in blocks, and null windows. Inside a source the order is
     a hash of ``order``, then ``order`` itself; nulls there are allowed and repeated rows stay apart. An
     empty table gives an empty result.

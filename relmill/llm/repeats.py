@@ -24,7 +24,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import M1, M2, M3, Scratch, raw, slices
+from relmill.llm.common import M1, M2, M3, Scratch, known, known_or_named, raw, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -306,13 +306,15 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
 
     Every byte that a ``length``-byte string covers which also starts anywhere else goes, in all its places,
     judged on the input. Matches never cross documents. Null counts as empty; texts shorter than ``length``
-    lose nothing. Ids are taken as unique and null ids are left out; a repeated row is a copy of itself and
-    loses its text if that is long enough. Other columns are ignored; an empty table gives an empty result.
+    lose nothing. Ids are taken as unique and below 2^62; rows with a null id take part as any other. A repeated row is a
+    copy of itself and loses its text if that is long enough. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(known_or_named(F.col(id_col), text).alias("doc_id"), text.alias("text"))
     ids, spans = repeat_spans(texts, scratch, length, **options)
     lists = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     marks = ids.dropDuplicates(["doc_id"]).join(lists.hint("merge"), "doc_id", "left").select("doc_id", "copies", "spans")
     marks = scratch.store(marks, "marks")
-    return texts.join(marks.hint("merge"), "doc_id").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
+    out = texts.join(marks.hint("merge"), "doc_id").mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary")
+    return out.withColumn("doc_id", known("doc_id"))

@@ -12,12 +12,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relmill.operators.components import connected_components
 from relmill.staging import Scratch
 
+#: Rules of the fitting hosts in all up to which these are broadcast.
+FEW = 50_000
 UPPER, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: HTML that is not markup of the page itself, tags with their quoted values, and attributes with theirs.
@@ -97,30 +99,38 @@ def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.select(address(F.col("u")).alias("src"), address(resolved(F.col("u"), F.col("link"))).alias("dst")).where("dst is not null")
 
 
-def ruled(df: DataFrame, rules: Sequence[tuple[str, str, str]], host: str = "host", path: str = "path") -> DataFrame:
-    """Adds rule and own (allow, block or null). The rules are one literal map from host to paths, looked
-    up for every suffix of the host, so a list of any length costs a few lookups a row and no shuffle."""
-    by_host: dict[str, list[tuple[str, str]]] = {}
-    for h, p, action in rules:
-        by_host.setdefault(h, []).append((p, action))
-    if not by_host:
-        return df.withColumns({"rule": F.lit(None).cast("string"), "own": F.lit(None).cast("string")})
-    one = lambda h, p, a: F.struct(F.lit(len(h) + len(p)).alias("size"), F.lit(a == "allow").alias("allow"), F.lit(p).alias("path"), F.lit(h + p).alias("rule"))
-    table = F.create_map(*[x for h, rs in by_host.items() for x in (F.lit(h), F.array(*[one(h, p, a) for p, a in rs]))])
-    labels = F.split(F.col(host), r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, -i, i), "."))
-    hits = F.flatten(F.filter(F.transform(suffixes, lambda s: F.element_at(table, s)), lambda x: x.isNotNull()))
-    best = F.array_max(F.filter(hits, lambda r: F.col(path).startswith(r["path"])))
-    out = df.withColumn("_best", best)
-    return out.withColumns({"rule": F.col("_best.rule"), "own": F.when(F.col("_best.allow"), "allow").when(~F.col("_best.allow"), "block")}).drop("_best")
+def rule_table(spark: SparkSession, rules: DataFrame | Sequence[tuple[str, str, str]], scratch: Scratch) -> tuple[DataFrame, list[int]]:
+    """(rule_host, rules) with the rules of each host, and the numbers of labels that their hosts have."""
+    table = rules if isinstance(rules, DataFrame) else spark.createDataFrame(list(rules), "host string, path string, action string")
+    one = F.struct((F.length("host") + F.length("path")).alias("size"), (F.col("action") == "allow").alias("allow"), F.col("path").alias("path"), F.concat("host", "path").alias("rule"))
+    table = scratch.store(table.select("host", "path", "action").where("host is not null and path is not null").distinct().groupBy(F.col("host").alias("rule_host")).agg(F.collect_list(one).alias("rules")), "rules")
+    depths = table.groupBy(F.size(F.split("rule_host", r"\.")).alias("d")).count().collect()  # a name has at most 127 labels
+    return table, sorted(r.d for r in depths)
+
+
+def ruled(df: DataFrame, rules: tuple[DataFrame, list[int]], scratch: Scratch, host: str = "host", path: str = "path") -> DataFrame:
+    """Adds rule and own (allow, block or null). The distinct hosts are joined with the rules once for each number of
+    labels that rules have; the hosts that a rule fits come back to the rows, broadcast if they are few."""
+    table, depths = rules
+    hosts = df.select(F.col(host).alias("_host")).where("_host <> ''").distinct().withColumn("_fits", F.array().cast(table.schema["rules"].dataType))
+    for d in depths:
+        own = table.where(F.size(F.split("rule_host", r"\.")) == d).select("rule_host", "rules")
+        labels = F.split("_host", r"\.")
+        suffix = F.when(F.size(labels) >= d, F.array_join(F.slice(labels, -d, d), "."))
+        hosts = hosts.join(own, suffix == F.col("rule_host"), "left").select("_host", F.concat("_fits", F.coalesce("rules", F.array().cast(table.schema["rules"].dataType))).alias("_fits"))
+    fits = scratch.store(hosts.where(F.size("_fits") > 0), "ruled-hosts")
+    few = fits.agg(F.coalesce(F.sum(F.size("_fits")), F.lit(0))).first()[0] <= FEW
+    best = F.array_max(F.filter("_fits", lambda r: F.col(path).startswith(r["path"])))
+    out = df.join(F.broadcast(fits) if few else fits.hint("merge"), F.col(host) == F.col("_host"), "left").withColumn("_best", best)
+    return out.withColumns({"rule": F.col("_best.rule"), "own": F.when(F.col("_best.allow"), "allow").when(~F.col("_best.allow"), "block")}).drop("_best", "_host", "_fits")
 
 
 def url_filter(
-    pages: DataFrame, rules: Sequence[tuple[str, str, str]], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
+    pages: DataFrame, rules: DataFrame | Sequence[tuple[str, str, str]], redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, alias_blocked for every page.
 
-    rules: (host, path, action). redirects: further (src, dst) URL pairs, such as a crawler's log;
+    rules: (host, path, action), a list or a table of any length; one with a null host or path fits nothing. redirects: further (src, dst) URL pairs, such as a crawler's log;
     edges in the pages' own markup are always read. A null URL or one without :// has an empty host and
     path, fits no rule, has no aliases and is allowed. Repeated pages are judged alike; other columns
     are ignored; an empty table gives an empty result.
@@ -130,11 +140,12 @@ def url_filter(
     if redirects is not None:
         edges = edges.unionByName(redirects.select(address(F.col("src")).alias("src"), address(F.col("dst")).alias("dst")))
     groups = scratch.store(connected_components(edges, scratch, "src", "dst"), "aliases")
-    sides = ruled(groups.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), rules)
+    table = rule_table(pages.sparkSession, rules, scratch)
+    sides = ruled(groups.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))}), table, scratch)
     blocked = scratch.store(sides.groupBy("component").agg(F.max((F.col("own") == "block").cast("int")).alias("b")).where("b = 1").select("component"), "alias-blocks")
     spread = scratch.store(groups.join(blocked, "component", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_hit")), "alias-hits")
     judged = pages.select(F.col(id_col).alias("page_id"), address(F.col(url_col)).alias("_node"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    judged = ruled(judged, rules)
+    judged = ruled(judged, table, scratch)
     # pages that no alias could block skip the join, so that null addresses do not meet in one task
     if spread.take(1):
         apart = F.coalesce("_node", F.concat(F.lit("\u0000"), F.xxhash64("page_id").cast("string")))

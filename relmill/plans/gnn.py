@@ -185,6 +185,11 @@ def gradients(net: Network, features: DataFrame, edges: DataFrame, targets: Data
     return float(got["loss"][0]), out
 
 
+def embed(net: Network, features: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, x) of all nodes after the last layer."""
+    return _Pass(net, features, edges).forward()
+
+
 def predict(net: Network, features: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, score): probabilities, or values in the labels' own unit."""
     run = _Pass(net, features, edges)

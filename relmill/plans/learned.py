@@ -5,11 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from relmill.operators import discovery, tasks
+from relmill.operators import colouring, cycles, discovery, quantiser, sketches, tasks, walks
 from relmill.operators.asof import asof_join
 from relmill.plans import gnn
-from relmill.plans.catalog import HORIZON, ORDER_EDGES, SEED, SEED_SECONDS, SPLIT, order_edges, query, t
-from relmill.plans.extended import QUERIES, SQL
+from relmill.plans.catalog import HORIZON, ORDER_EDGES, SEED, SEED_SECONDS, SMALL, SPLIT, order_edges, query, small_graph, t
+from relmill.plans.extended import QUERIES, SQL, both_ways
 from relmill.staging import Scratch
 from relmill.streaming import events as streams
 from relmill.streaming import state
@@ -146,6 +146,51 @@ def gnn_gat_gradient(spark, sf_dir):
     return _gradient(spark, sf_dir, _stated("gat"))
 
 
+def block_sql(net: gnn.Network) -> str:
+    """The layer of a transformer network forwards, column by column."""
+    w, heads = net.block(0), net.heads
+    d = net.hidden
+    width = d // heads
+    at = lambda x, n=d: [f"{x}{i}" for i in range(n)]
+    line = lambda out, cols, m: ", ".join(f"{_affine(cols, m, j)} as {out}{j}" for j in range(m.shape[1]))
+    root = f"sqrt({width}::double)"
+    keys, values = (w["centroids"] @ w[n][:-1] + w[n][-1] for n in ("gk", "gv"))
+    score = lambda q, k, a: f"exp(({' + '.join(f'{q}{i} * {k(i)}' for i in range(a * width, (a + 1) * width))}) / {root})"
+    n_c = len(keys)
+    far = ", ".join(f"{score('gq', lambda i, c=c: f'({keys[c, i]}::double)', a)} as f{a}_{c}" for a in range(heads) for c in range(n_c))
+    mix = ", ".join(f"({' + '.join(f'f{i // width}_{c} * ({values[c, i]}::double)' for c in range(n_c))}) / ({' + '.join(f'f{i // width}_{c}' for c in range(n_c))}) as g{i}" for i in range(d))
+    mean = lambda x: f"(({' + '.join(at(x))}) / {d})"
+    var = lambda x: "((" + " + ".join(f"({x}{i} - m) * ({x}{i} - m)" for i in range(d)) + f") / {d})"
+    norm = lambda out, x, m: ", ".join(f"({x}{i} - m) / sqrt({var(x)} + 0.00001::double) * ({m[0, i]}::double) + ({m[1, i]}::double) as {out}{i}" for i in range(d))
+    return f"""with {SHOP},
+        h as (select id, {line("h", ["x0", "x1"], net.weights["input"])} from x),
+        p as (select *, {line("q", at("h"), w["q"])}, {line("k", at("h"), w["k"])}, {line("v", at("h"), w["v"])}, {line("gq", at("h"), w["gq"])} from h),
+        s as (select e.dst as id, {", ".join(f"a.v{i} as v{i}" for i in range(d))}, {", ".join(f"{score('b.q', lambda i: f'a.k{i}', a)} as s{a}" for a in range(heads))} from e join p a on a.id = src join p b on b.id = dst),
+        mixed as (select id, {", ".join(f"sum(s{i // width} * v{i}) / sum(s{i // width}) as o{i}" for i in range(d))} from s group by id),
+        c as (select p.*, {", ".join(f"coalesce(o{i}, 0) as o{i}" for i in range(d))}, {far} from p left join mixed using (id)),
+        g as (select *, {mix} from c),
+        a as (select *, {", ".join(f"h{j} + {_affine(at('o'), w['o'], j)} + {_affine(at('g'), w['go'], j)} as a{j}" for j in range(d))} from g),
+        one as (select *, {norm("n", "a", w["norm1"])} from (select *, {mean("a")} as m from a)),
+        up as (select id, {", ".join(at("n"))}, {line("u", at("n"), w["up"])} from one),
+        b as (select id, {", ".join(f"n{j} + {_affine([f'greatest(u{i}, 0)' for i in range(2 * d)], w['down'], j)} as b{j}" for j in range(d))} from up),
+        done as (select id, {norm("y", "b", w["norm2"])} from (select *, {mean("b")} as m from b))
+        select id as node_id, {", ".join(f"round(y{i}, 6) + 0.0 as y{i}" for i in range(d))} from done"""
+
+
+def _stated_block() -> gnn.Network:
+    return stated_weights(gnn.Network.start("relgt", DIM, 4, 1, 2, heads=2, centroids=3))
+
+
+@query(block_sql(_stated_block()))
+def transformer_block(spark, sf_dir):
+    """Tokens of customers and parts after one block: attention over their edges and over global centroids, layer norm,
+    feed-forward step."""
+    x, e, _ = _shop(spark, sf_dir)
+    net = _stated_block()
+    out = gnn.embed(net, x, Scratch(spark).store(gnn.weighed(e), "edges"))
+    return out.select("node_id", *[(F.round(F.col("x")[i], 6) + 0.0).alias(f"y{i}") for i in range(net.hidden)])
+
+
 @query()
 def gnn_training(spark, sf_dir):
     """(node_id, score): churn scores of all customers by a trained network; a training run has no SQL."""
@@ -235,3 +280,97 @@ def stream_closed_sessions(spark, sf_dir):
     target = f"{scratch.root}/sessions"
     streams.run_available(streams.sessions(streams.read_events(spark, sf_dir, "events.parquet")), target, f"{scratch.root}/sessions-state")
     return spark.read.parquet(target).select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"))
+
+
+# ---------------------------------------------------------------------------------------------- graphs of parts
+# Parts as vertices; an edge from the part of a line to the part of the order's next line, both of 30 pieces or more. Most
+# parts are in one strong component.
+
+
+def line_graph(spark, sf_dir):
+    scratch = Scratch(spark)
+    li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity").where("l_quantity >= 30")
+    nxt = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("dst"))
+    e = li.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_partkey").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    return scratch.store(t(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id")), "vertices"), scratch.store(e, "edges")
+
+
+LINES = """v as materialized (select p_partkey::bigint as id from part),
+    e as materialized (select a.l_partkey::bigint as src, b.l_partkey::bigint as dst from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and b.l_linenumber = a.l_linenumber + 1 and a.l_quantity >= 30 and b.l_quantity >= 30),
+    d as materialized (select distinct src, dst from e where src <> dst),
+    u as materialized (select src, dst from d union select dst, src from d)"""
+_HEX = "('0x' || md5({})[{}])::bigint"
+
+
+@query(f"""with recursive {LINES},
+    reach as (select id as a, id as b from v union select a, dst from reach join d on src = b),
+    mutual as (select x.a as id, x.b as other from reach x join reach y on x.a = y.b and x.b = y.a)
+    select id, min(other) as component, count(*) as size, count(*) > 1 or id in (select src from e where src = dst) as on_cycle from mutual group by id""")
+def strong_components(spark, sf_dir):
+    """Strongly connected components of the parts, and which parts are on a cycle."""
+    return cycles.strong_components(*line_graph(spark, sf_dir))
+
+
+@query(f"""with recursive {LINES},
+    deg as (select id, coalesce(n, 0) as n from v left join (select src, count(*) as n from u group by src) on src = id),
+    o as (select id, row_number() over (order by n desc, {_HEX.format("id::varchar || ':0'", "1:15")} desc, id desc) as k from deg),
+    before as (select o.k, list(x.k) as bs from u join o on o.id = u.src join o x on x.id = u.dst where x.k < o.k group by o.k),
+    nb as (select o.k, o.id, coalesce(bs, []) as bs from o left join before using (k)),
+    walk as (select 0::bigint as k, []::int[] as c union all
+        select nb.k, list_append(c, list_min(list_filter(range(len(bs) + 1), lambda f: not list_contains(list_transform(bs, lambda b: c[b]), f)))::int) from walk join nb on nb.k = walk.k + 1)
+    select id, c[k] as colour from nb, (select c from walk where k = (select count(*) from v))""")
+def priority_colouring(spark, sf_dir):
+    """Colours of the parts by falling degree, so that no two parts on one edge share one."""
+    return colouring.priority_colouring(*line_graph(spark, sf_dir))
+
+
+WALK_P, WALK_Q, STEPS = 0.5, 2.0, 4
+_TEXT = f"s.walk::varchar || ':7:' || (s.step + 1)::varchar || ':' || s.attempt::varchar"
+
+
+@query(f"""with recursive {LINES},
+    ways as materialized (select src, dst, row_number() over (partition by src order by dst) - 1 as place, count(*) over (partition by src) as degree from u),
+    s as (select id as walk, 0 as step, 0 as attempt, null::bigint as prev, id as node, 0 as moved from v
+        union all
+        select walk, case when taken then step + 1 else step end, case when taken then 0 else attempt + 1 end, case when taken then node else prev end, case when taken then nxt else node end, taken::int from (
+            select s.*, w.dst as nxt, s.prev is null or ({_HEX.format(_TEXT, "16:22")} + 0.5::double) / 268435456 * {max(1 / WALK_P, 1, 1 / WALK_Q)}::double
+                < (case when w.dst = s.prev then {1 / WALK_P}::double when k.src is not null then 1 else {1 / WALK_Q}::double end) as taken
+            from s join ways w on w.src = s.node and w.place = {_HEX.format(_TEXT, "1:15")} % w.degree left join u k on k.src = s.prev and k.dst = w.dst where s.step < {STEPS}))
+    select walk, step, node from s where step = 0 or moved = 1""")
+def node2vec_walks(spark, sf_dir):
+    """Four steps of a second-order walk from every part, that likes to go back and shuns far nodes."""
+    v, e = line_graph(spark, sf_dir)
+    e = e.where("src <> dst")
+    both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return walks.node2vec_walks(both, v.select(F.col("id").alias("walk"), F.col("id").alias("node")), STEPS, WALK_P, WALK_Q, seed=7)
+
+
+@query(f"""with recursive {SMALL}, w as (select distinct src, dst from u where src <> dst), hop as (select id as a, id as b, 0 as n from v union select a, dst, n + 1 from hop join w on src = b where n < 60),
+    near as (select a, b, min(n) as n from hop group by 1, 2)
+    select a as id, cast(count(*) filter (where n > 0) as bigint) as reached, cast(sum(n) as bigint) as distance, round(case when sum(n) > 0 then count(*) filter (where n > 0) / sum(n) else 0 end, 9) as closeness, round(sum(case when n > 0 then 1.0::double / n else 0 end), 9) as harmonic from near group by a""")
+def sketched_closeness(spark, sf_dir):
+    """Reach and closeness of customers from sketches; sets this small are exact in a sketch."""
+    v, e = small_graph(spark, sf_dir)
+    out = sketches.sketched_closeness(v, both_ways(e))
+    return out.select("id", "reached", F.col("distance").cast("long").alias("distance"), F.round("closeness", 9).alias("closeness"), F.round("harmonic", 9).alias("harmonic"))
+
+
+def _quantiser_sql(k: int = 4, rounds: int = 3, decay: float = 0.9, smoothing: float = 1e-5) -> str:
+    parts = ["x as materialized (select vec_id, embedding::double[] as x from embeddings)", f"s0 as materialized (select (row_number() over (order by vec_id) - 1)::int as code, x as c, 1.0::double as n, x as s from x qualify code < {k})"]
+    for r in range(rounds):
+        parts.append(f"b{r} as materialized (select vec_id, any_value(x) as x, arg_min(code, row(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), code)) as code from x cross join s{r} where vec_id % {rounds} = {r} group by vec_id)")
+        parts.append(f"t{r} as (select code, any_value(n) as n, list(v order by i) as t from (select code, i, sum(x[i]) as v, count(*) as n from b{r} cross join range(1, 65) q(i) group by 1, 2) group by code)")
+        parts.append(f"n{r} as (select code, {decay}::double * s{r}.n + (1 - {decay}::double) * coalesce(t{r}.n, 0) as n, list_transform(range(1, 65), lambda i: {decay}::double * s[i] + (1 - {decay}::double) * coalesce(t[i], 0)) as s from s{r} left join t{r} using (code))")
+        parts.append(f"s{r + 1} as materialized (select code, list_transform(s, lambda v: v / ((n + {smoothing}::double) / (sum(n) over () + {k} * {smoothing}::double) * sum(n) over ())) as c, n, s from n{r})")
+    return f"with {', '.join(parts)} select code, round(n, 6) as n, round(list_sum(list_transform(c, lambda v: v * v)), 6) as size, round(c[1], 6) + 0.0 as c0, round(c[64], 6) + 0.0 as c63 from s{rounds}"
+
+
+@query(_quantiser_sql())
+def vector_quantiser(spark, sf_dir):
+    """A codebook of four after three batches that together are all vectors."""
+    v = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
+    book = quantiser.Codebook.start([r.x for r in v.orderBy("id").limit(4).collect()], decay=0.9)
+    for batch in range(3):
+        book.update(v.where(F.col("id") % 3 == batch))
+    size = F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x)
+    return book.table(spark).select("code", F.round("n", 6).alias("n"), F.round(size, 6).alias("size"), (F.round(F.col("c")[0], 6) + 0.0).alias("c0"), (F.round(F.col("c")[63], 6) + 0.0).alias("c63"))

@@ -103,7 +103,8 @@ def sparse_weights(df: DataFrame, by: str, order: str, share: float) -> DataFram
 
 
 def page(df: DataFrame, order: list, offset: int, n: int) -> DataFrame:
-    """Rows ``offset`` to ``offset + n`` of a total order, by their positions."""
-    from relmill.operators.ordered import row_index
+    """Rows ``offset`` to ``offset + n`` of a total order. An early page comes from the first rows of each task; for a late
+    one, range partitions are counted and only the one or two that hold it are numbered."""
+    from relmill.operators.ordered import page_rows
 
-    return row_index(df, order).where((F.col("_row") >= offset) & (F.col("_row") < offset + n)).drop("_row")
+    return df.orderBy(*order).offset(offset).limit(n) if offset + n <= 10_000 else page_rows(df, order, offset, n)

@@ -113,6 +113,23 @@ def learning_rate(step: int, base: float, kind: str = "constant", total: int = 1
     raise ValueError(f"unknown schedule: {kind}")
 
 
+def learning_rates(step: Column, base: float, kind: str, total: Column | int = 1, warmup: int = 0, gamma: float = 0.1, every: int = 10) -> Column:
+    """The same schedules for a column of steps."""
+    rate = F.lit(float(base))
+    if kind == "step":
+        return rate * F.pow(F.lit(float(gamma)), F.floor(step / every))
+    if kind == "exponential":
+        return rate * F.pow(F.lit(float(gamma)), step)
+    if kind in ("cosine", "warmup_cosine"):
+        first = warmup if kind == "warmup_cosine" else 0
+        last = (total if isinstance(total, Column) else F.lit(total)) - first
+        fall = rate * 0.5 * (1 + F.cos(F.lit(math.pi) * F.least(F.lit(1.0), (step - first) / F.greatest(F.lit(1), last))))
+        return F.when(step < first, rate * (step + 1) / max(1, warmup)).otherwise(fall)
+    if kind == "constant":
+        return rate
+    raise ValueError(f"unknown schedule: {kind}")
+
+
 def sinusoidal_pairwise(position: Column, dim: int) -> Column:
     """The variant whose exponent is 2i/d for every place i, sine and cosine by turns."""
     angle = lambda i: position / F.pow(F.lit(10000.0), F.lit(2 * i / dim))

@@ -93,20 +93,20 @@ def centroid_attention(features: DataFrame, centroids: DataFrame) -> DataFrame:
     return rows.select("node_id", "attention")
 
 
-def nearest_centroid(features: DataFrame, centroids: DataFrame) -> DataFrame:
-    """(node_id, cid, distance2); ties go to the smaller cid."""
+def nearest_centroid(features: DataFrame, centroids: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(node_id, cid, distance2) and the columns to ``keep``; ties go to the smaller cid."""
     one = centroids.agg(F.collect_list(F.struct("cid", "c")).alias("cs"))
     best = F.array_min(F.transform("cs", lambda c: F.struct(squared_distance(F.col("x"), c["c"]).alias("d"), c["cid"].alias("cid"))))
-    return features.crossJoin(F.broadcast(one)).withColumn("_b", best).select("node_id", F.col("_b.cid").alias("cid"), F.col("_b.d").alias("distance2"))
+    return features.crossJoin(F.broadcast(one)).withColumn("_b", best).select("node_id", F.col("_b.cid").alias("cid"), F.col("_b.d").alias("distance2"), *keep)
 
 
 def kmeans(features: DataFrame, centroids: DataFrame, rounds: int = 10) -> DataFrame:
     """Lloyd's centroids (cid, c) from the given ones; a cluster that loses all its nodes keeps its centre."""
     now = centroids.select("cid", "c")
-    for _ in range(rounds):
-        near = nearest_centroid(features, now)
-        long = _long(near.join(features, "node_id"), "cid").groupBy("cid", "pos").agg(F.avg("v").alias("v"))
-        new = _vectors(long, "cid").select("cid", F.col("x").alias("_new"))
+    first = now.select(F.size("c")).first()
+    for _ in range(rounds if first else 0):
+        near = nearest_centroid(features, now, ("x",))
+        new = near.groupBy("cid").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(first[0])]).alias("_new"))
         rows = now.join(new, "cid", "left").select("cid", F.coalesce("_new", "c").alias("c")).collect()  # k rows
         now = features.sparkSession.createDataFrame(rows, now.schema)
     return now

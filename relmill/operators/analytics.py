@@ -89,7 +89,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False)
     scratch = Scratch(edges.sparkSession)
     pairs = edges.select("src", "dst", "weight") if directed else _both_ways(edges, "weight")
     pairs = scratch.store(pairs.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "pairs")
-    best = scratch.store(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("pred")).distinct(), "best")
+    best = last = scratch.store(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("pred")).distinct(), "best")
     fresh = best
     while True:
         ways = fresh.select("source", F.col("id").alias("src"), "distance").join(pairs, "src")
@@ -99,7 +99,8 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False)
         better = F.col("_o").isNotNull() & (F.col("distance").isNull() | (F.col("_o.distance") < F.col("distance")))
         new = joined.select("source", "id", F.when(better, F.col("_o.distance")).otherwise(F.col("distance")).alias("distance"), F.when(better, F.col("_o.pred")).otherwise(F.col("pred")).alias("pred"), better.alias("_new"))
         new = scratch.store(new, "best")
-        best, fresh = new.drop("_new"), new.where("_new").drop("_new")
+        scratch.drop(last)
+        last, best, fresh = new, new.drop("_new"), new.where("_new").drop("_new")
         if not fresh.take(1):
             break
     return best
@@ -203,7 +204,9 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 5) ->
     for _ in range(rounds):
         votes = pairs.join(now.select(F.col("id").alias("src"), "label"), "src").groupBy("dst", "label").agg(F.count("*").alias("_n"))
         best = votes.groupBy(F.col("dst").alias("id")).agg(F.min_by("label", F.struct(-F.col("_n"), F.col("label"))).alias("_l"))
-        now = scratch.store(now.join(best, "id", "left").select("id", F.coalesce("_l", "label").alias("label")), "labels")
+        new = scratch.store(now.join(best, "id", "left").select("id", F.coalesce("_l", "label").alias("label")), "labels")
+        scratch.drop(now)
+        now = new
     return now
 
 

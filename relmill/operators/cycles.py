@@ -22,15 +22,19 @@ def _trimmed(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
     """Edges whose source has an in-edge and whose target has an out-edge; whether any edge went."""
     into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
     kept = scratch.store(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "trimmed")
-    return kept, kept.count() < edges.count()
+    shrunk = kept.count() < edges.count()
+    scratch.drop(edges)
+    return kept, shrunk
 
 
-def _contracted(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _contracted(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """The graph with each chain as one vertex, its smallest; (node, chain) of the vertices so merged; (node, component)
-    of closed chains, which are cycles of their own and leave the graph."""
+    of closed chains, which are cycles of their own and leave the graph. Nothing for the last two where there is none."""
     inner = edges.groupBy("src").agg(F.count("*").alias("_o")).where("_o = 1").select("src").join(edges.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("_i")).where("_i = 1").select("src"), "src")
     inner = scratch.store(inner, "inner")
     links = scratch.store(edges.join(inner, "src", "left_semi").join(inner.withColumnRenamed("src", "dst"), "dst", "left_semi").select(F.col("src").alias("a"), F.col("dst").alias("b")), "chain-links")
+    if not links.take(1):
+        return edges, None, None
     chains = scratch.store(connected_components(links, scratch), "chains")
     count = chains.groupBy("component").agg(F.count("*").alias("n"))
     inside = links.join(chains.withColumnRenamed("node", "a"), "a").groupBy("component").agg(F.count("*").alias("m"))
@@ -40,7 +44,7 @@ def _contracted(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     left = edges.join(cycles.select(F.col("node").alias("src")), "src", "left_anti").join(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), ["src", "dst"], "left_anti")
     of = lambda side: merged.select(F.col("node").alias(side), F.col("chain").alias(f"_{side}"))
     left = left.join(of("src"), "src", "left").join(of("dst"), "dst", "left").select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")).distinct()
-    return scratch.store(left, "contracted"), merged, cycles
+    return scratch.store(left, "contracted"), merged if merged.take(1) else None, cycles if cycles.take(1) else None
 
 
 def _spread(edges: DataFrame, start: DataFrame, scratch: Scratch) -> DataFrame:
@@ -83,11 +87,11 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     while now.take(1):
         now, shrunk = _trimmed(now, scratch)
         now, merged, cycles = _contracted(now, scratch)
-        if cycles.take(1):
+        if cycles is not None:
             parts.append(cycles)
-        if merged.take(1):
+        if merged is not None:
             merges.append(merged)
-        elif not shrunk and now.take(1):
+        elif cycles is None and not shrunk and now.take(1):
             found, now = _coloured(now, scratch)
             parts.append(found)
     of = ids.select(F.col("id").alias("node"), F.col("id").alias("component"))

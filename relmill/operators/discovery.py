@@ -61,9 +61,11 @@ def inclusions(values: DataFrame, scratch: Scratch) -> DataFrame:
     return found.select("table", "column", "target", "target_column", "n_values", (F.col("n_values") / F.col("_all")).alias("coverage"))
 
 
-def _stem(c) -> F.Column:
-    """A column's name after its table's prefix, such as custkey of o_custkey."""
-    return F.regexp_replace(F.lower(c), "^[^_]*_", "")
+def alike(column: str, key: str) -> bool:
+    """Whether a column's name is that of a key, or both are after a table's prefix, such as o_custkey and c_custkey;
+    a mere id says nothing of its table."""
+    stem = lambda c: c.lower().split("_", 1)[-1]
+    return key.lower() in (column.lower(), stem(column)) or stem(column) == stem(key) != "id"
 
 
 def discover(name: str, tables: dict[str, DataFrame], times: dict[str, str] | None = None) -> RelationalDB:
@@ -74,7 +76,7 @@ def discover(name: str, tables: dict[str, DataFrame], times: dict[str, str] | No
     values = scratch.store(column_values(tables), "values")
     key = {(r.table, r.column) for r in column_profile(values).where("is_key").collect()}  # a row per column
     keys = {n: next(c for c in df.columns if (n, c) in key) for n, df in tables.items() if any((n, c) in key for c in df.columns)}
-    found = inclusions(values, scratch).where(_stem(F.col("column")) == _stem(F.col("target_column"))).collect()  # pairs of columns
+    found = [r for r in inclusions(values, scratch).collect() if alike(r.column, r.target_column)]  # pairs of columns
     best = {}
     for r in sorted(found, key=lambda r: (-r.coverage, r.target)):
         if keys.get(r.target) == r.target_column:

@@ -13,27 +13,28 @@ from relmill.schema import RelationalDB
 
 
 def keyed_nodes(db: RelationalDB) -> DataFrame:
-    """(table, key, node_id, type_id, row, time): ids count all rows in order of table, then key (as a number
-    where it is one)."""
+    """(table, key, node_id, type_id, row, time, refs): ids count all rows in order of table, then key (as a number
+    where it is one); refs are the row's foreign key values, in order of the declared keys of its table."""
     out = []
     for i, (name, df) in enumerate(db.tables.items()):
         time = F.coalesce(F.col(db.times[name]).cast("double"), F.lit(NEVER)) if name in db.times else F.lit(NEVER)
-        out.append(df.select(F.lit(name).alias("table"), F.lit(i).alias("type_id"), F.col(db.keys[name]).cast("string").alias("key"), time.alias("time")))
+        refs = F.array(*[F.col(fk.column).cast("string") for fk in db.foreign_keys if fk.table == name]).cast("array<string>")
+        out.append(df.select(F.lit(name).alias("table"), F.lit(i).alias("type_id"), F.col(db.keys[name]).cast("string").alias("key"), time.alias("time"), refs.alias("refs")))
     rows = reduce(DataFrame.unionByName, out).withColumn("_n", F.col("key").try_cast("bigint"))
     rows = row_index(rows, ["type_id", "_n", "key"], "node_id")
     first = rows.groupBy("type_id").agg(F.min("node_id").alias("_first"))  # a row per table
-    return rows.join(F.broadcast(first), "type_id").select("table", "key", "node_id", "type_id", (F.col("node_id") - F.col("_first")).alias("row"), "time")
+    return rows.join(F.broadcast(first), "type_id").select("table", "key", "node_id", "type_id", (F.col("node_id") - F.col("_first")).alias("row"), "time", "refs")
 
 
 def edges(db: RelationalDB, nodes: DataFrame) -> DataFrame:
     """(src, dst, etype, etime): relation 2k runs from the row to the one it names, 2k + 1 back. The time is
-    the referring row's. Values without a target give no edge; see ``orphans``."""
+    the referring row's. Values without a target give no edge; see ``orphans``. ``nodes`` are keyed_nodes, best stored:
+    a row brings its own id and its references along, so each key costs one join, with the rows that it names."""
     out = []
-    ids = lambda table: nodes.where(F.col("table") == table).select("key", "node_id")
     for k, fk in enumerate(db.foreign_keys):
-        time = F.coalesce(F.col(db.times[fk.table]).cast("double"), F.lit(NEVER)) if fk.table in db.times else F.lit(NEVER)
-        rows = db.tables[fk.table].select(F.col(db.keys[fk.table]).cast("string").alias("key"), F.col(fk.column).cast("string").alias("ref"), time.alias("etime"))
-        pair = rows.join(ids(fk.table).withColumnRenamed("node_id", "a"), "key").join(ids(fk.target).toDF("ref", "b"), "ref")
+        place = [x.column for x in db.foreign_keys if x.table == fk.table].index(fk.column)
+        rows = nodes.where(F.col("table") == fk.table).select(F.col("node_id").alias("a"), F.col("refs")[place].alias("ref"), F.col("time").alias("etime"))
+        pair = rows.join(nodes.where(F.col("table") == fk.target).select(F.col("key").alias("ref"), F.col("node_id").alias("b")), "ref")
         both = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(2 * k).alias("etype")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.lit(2 * k + 1).alias("etype")))
         out.append(pair.select(F.explode(both).alias("e"), "etime").select("e.*", "etime"))
     return reduce(DataFrame.unionByName, out)

@@ -23,6 +23,23 @@ def row_index(df: DataFrame, order: list, name: str = "_row") -> DataFrame:
     return rows.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_offset") + F.col("_rn") - 1).cast("long")).drop("_part", "_offset", "_rn")
 
 
+def page_rows(df: DataFrame, order: list, offset: int, n: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + n`` of a total ``order``: the partitions that hold them are sorted, the others only
+    counted."""
+    parts, _ = _parted(df, order)
+    begin, here = 0, []
+    for r in parts.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect():  # a row per partition
+        if begin < offset + n and begin + r.n > offset:
+            here.append((r["_part"], begin))
+        begin += r.n
+    if not here:
+        return df.limit(0)
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    first = F.create_map(*[F.lit(x) for pair in here for x in pair])
+    rows = parts.where(F.col("_part").isin([p for p, _ in here])).withColumn("_row", place + first[F.col("_part")])
+    return rows.where((F.col("_row") >= offset) & (F.col("_row") < offset + n)).drop("_part", "_row")
+
+
 def running_sums(df: DataFrame, order: list, sums: dict[str, Column]) -> DataFrame:
     """Adds, for each name, the sum of a column over all rows up to and with this one, in ``order``."""
     parts, _ = _parted(df.withColumns({f"_v_{k}": v for k, v in sums.items()}), order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,3 +34,32 @@ def paths(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
 def all_pairs(vertices: DataFrame, edges: DataFrame, directed: bool = False) -> DataFrame:
     """(source, id, distance) of every pair that a path joins, a vertex and itself included."""
     return shortest_paths(edges, vertices.select("id"), directed).select("source", "id", "distance")
+
+
+def nearest_source(edges: DataFrame, sources: DataFrame, weight: str | None = None, directed: bool = False, compact: int = 8) -> DataFrame:
+    """(id, distance) to the nearest of all sources: hops, or the sum of a column of weights that are not negative.
+
+    All sources start one frontier at 0, so a vertex has one row however many they are. A round stores only the vertices that
+    came nearer; every ``compact`` rounds the layers become one table and the old ones go.
+    """
+    scratch = Scratch(edges.sparkSession)
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    pairs = edges.select("src", "dst", w.alias("w"))
+    if not directed:
+        pairs = pairs.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), w.alias("w")))
+    pairs = scratch.store(pairs.where("src <> dst").groupBy("src", "dst").agg(F.min("w").alias("w")), "pairs")
+    fresh = scratch.store(sources.select("id", F.lit(0.0).alias("distance")).where("id is not null").distinct(), "layer")
+    layers = [fresh]
+    known = lambda: layers[0] if len(layers) == 1 else reduce(DataFrame.unionByName, layers).groupBy("id").agg(F.min("distance").alias("distance"))
+    while True:
+        offer = fresh.withColumnRenamed("id", "src").join(pairs, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("_d"))
+        better = offer.join(known(), "id", "left").where(F.col("distance").isNull() | (F.col("_d") < F.col("distance")))
+        fresh = scratch.store(better.select("id", F.col("_d").alias("distance")), "layer")
+        if not fresh.take(1):
+            return known()
+        layers.append(fresh)
+        if len(layers) > compact:
+            whole = scratch.store(known(), "known")
+            for old in layers[:-1]:
+                scratch.drop(old)
+            layers = [whole]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relmill.functions import features, metrics, scalars
-from relmill.operators import aggregate, analytics, codecs, graph, ordered, sampling, tasks, validation
+from relmill.operators import aggregate, analytics, codecs, graph, ordered, paths, sampling, tasks, validation
 from relmill.schema import ForeignKey, RelationalDB
 from relmill.staging import Scratch
 from relmill.streaming import events as streams
@@ -581,15 +581,14 @@ def smallest_of_nations(spark, sf_dir):
 @query()
 def bfs_levels(spark, sf_dir):
     """Hops to the nearest of the nations' first customers."""
-    found = analytics.bfs_levels(small_graph(spark, sf_dir)[1], smallest_of_nations(spark, sf_dir))
-    return found.groupBy("id").agg(F.min("level").alias("level"))
+    found = paths.nearest_source(small_graph(spark, sf_dir)[1], smallest_of_nations(spark, sf_dir))
+    return found.select("id", F.col("distance").cast("int").alias("level"))
 
 
 @query()
 def shortest_paths(spark, sf_dir):
     """Distance to the nearest of the nations' first customers."""
-    found = analytics.shortest_paths(small_graph(spark, sf_dir)[1], smallest_of_nations(spark, sf_dir))
-    return found.groupBy("id").agg(F.min("distance").alias("distance"))
+    return paths.nearest_source(small_graph(spark, sf_dir)[1], smallest_of_nations(spark, sf_dir), "weight")
 
 
 @query()

@@ -147,13 +147,19 @@ def database_names(spark, sf_dir):
     return t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), scalars.database_name(url).alias("name"))
 
 
-@query("""select s::int as step, round(case when s < 5 then 0.1::double * (s + 1) / 5 else 0.1::double * 0.5 * (1 + cos(pi() * least(1.0::double, (s - 5) / 20.0::double))) end, 9) as warmup_cosine,
-    round(0.1::double * power(0.1::double, s // 10), 9) as step_decay, round(0.1::double * power(0.9::double, s), 9) as exponential from range(25) x(s)""")
+@query("""select event_id, s::int as step, round(case when s < 5 then 0.1::double * (s + 1) / 5 else 0.1::double * 0.5 * (1 + cos(pi() * least(1.0::double, (s - 5) / greatest(1, n - 5)::double))) end, 9) as warmup_cosine,
+    round(0.1::double * power(0.1::double, s // 40), 9) as step_decay, round(0.1::double * power(0.99::double, s), 9) as exponential
+    from (select event_id, event_id // 64 as s from events), (select (count(*) + 63) // 64 as n from events)""")
 def learning_rates(spark, sf_dir):
-    lr = scalars.learning_rate
-    rows = [(s, lr(s, 0.1, "warmup_cosine", 25, 5), lr(s, 0.1, "step"), lr(s, 0.1, "exponential", gamma=0.9)) for s in range(25)]
-    df = spark.createDataFrame(rows, "step int, warmup_cosine double, step_decay double, exponential double")
-    return df.select("step", *[F.round(c, 9).alias(c) for c in df.columns[1:]])
+    """The rates at which each event is learnt from when events are taken in batches of 64."""
+    e = t(spark, sf_dir, "events")
+    n = e.agg(F.floor((F.count("*") + 63) / 64).alias("n"))
+    rows = e.select("event_id", F.floor(F.col("event_id") / 64).cast("int").alias("step")).crossJoin(F.broadcast(n))  # one row
+    step, lr = F.col("step"), scalars.learning_rates
+    return rows.select(
+        "event_id", "step", F.round(lr(step, 0.1, "warmup_cosine", F.col("n"), 5), 9).alias("warmup_cosine"),
+        F.round(lr(step, 0.1, "step", every=40), 9).alias("step_decay"), F.round(lr(step, 0.1, "exponential", gamma=0.99), 9).alias("exponential"),
+    )
 
 
 # ---------------------------------------------------------------------------------------------- layers

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from relmill.operators import colouring, cycles, discovery, quantiser, sketches, tasks, walks
+from relmill.operators import analytics, colouring, cycles, discovery, paths, quantiser, sketches, tasks, walks
 from relmill.operators.asof import asof_join
 from relmill.plans import gnn
 from relmill.plans.catalog import HORIZON, ORDER_EDGES, SEED, SEED_SECONDS, SMALL, SPLIT, order_edges, query, small_graph, t
@@ -374,3 +374,59 @@ def vector_quantiser(spark, sf_dir):
         book.update(v.where(F.col("id") % 3 == batch))
     size = F.aggregate("c", F.lit(0.0), lambda a, x: a + x * x)
     return book.table(spark).select("code", F.round("n", 6).alias("n"), F.round(size, 6).alias("size"), (F.round(F.col("c")[0], 6) + 0.0).alias("c0"), (F.round(F.col("c")[63], 6) + 0.0).alias("c63"))
+
+
+# The iterative operators again, on a graph with one giant component. LINES with distinct edges and no loops.
+SIMPLE = LINES.split("d as materialized")[0].replace("e as materialized (select a.", "e0 as materialized (select a.") + """e as materialized (select distinct src, dst, abs(src - dst)::double as weight from e0 where src <> dst),
+    u as materialized (select src, dst, weight from e union all select dst, src, weight from e)"""
+#: The first part of every brand.
+BRANDS = "(select min(p_partkey)::bigint as id from part group by p_brand)"
+
+
+def simple_line_graph(spark, sf_dir):
+    v, e = line_graph(spark, sf_dir)
+    return v, e.where("src <> dst").distinct().withColumn("weight", F.abs(F.col("src") - F.col("dst")).cast("double"))
+
+
+def _brands(spark, sf_dir):
+    return t(spark, sf_dir, "part").groupBy("p_brand").agg(F.min("p_partkey").cast("long").alias("id")).select("id")
+
+
+@query(SQL["pagerank"].replace(SMALL, SIMPLE))
+def line_pagerank(spark, sf_dir):
+    return analytics.pagerank(*simple_line_graph(spark, sf_dir), rounds=5).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(f"""with recursive {SIMPLE}, reach as (select id, id as root from v union select u.dst, root from reach join u on u.src = reach.id) select id, min(root) as component from reach group by id""")
+def line_components(spark, sf_dir):
+    return analytics.components(*simple_line_graph(spark, sf_dir))
+
+
+@query(f"""with recursive {SIMPLE}, hop as (select id, 0 as level from {BRANDS} union select u.dst, level + 1 from hop join u on u.src = hop.id where level < 30) select id, min(level)::int as level from hop group by id""")
+def line_bfs(spark, sf_dir):
+    """Hops from each part to the nearest of the brands' first parts; the SQL stops at 30 hops, the query does not."""
+    out = paths.nearest_source(simple_line_graph(spark, sf_dir)[1], _brands(spark, sf_dir))
+    return out.select("id", F.col("distance").cast("int").alias("level"))
+
+
+def _relaxed(rounds: int) -> str:
+    steps = [f"d0 as (select id, 0.0::double as d from {BRANDS})"]
+    for i in range(rounds):
+        steps.append(f"d{i + 1} as materialized (select id, min(d) as d from (select id, d from d{i} union all select u.dst, d + weight from d{i} join u on u.src = d{i}.id) group by id)")
+    return f"with {SIMPLE}, {', '.join(steps)} select id, d as distance from d{rounds}"
+
+
+@query(_relaxed(40))
+def line_shortest_paths(spark, sf_dir):
+    """Least sum of steps in the part number to the nearest of the brands' first parts; the SQL relaxes 40 times."""
+    return paths.nearest_source(simple_line_graph(spark, sf_dir)[1], _brands(spark, sf_dir), "weight")
+
+
+@query(SQL["label_propagation"].replace(SMALL, SIMPLE))
+def line_label_propagation(spark, sf_dir):
+    return analytics.label_propagation(*simple_line_graph(spark, sf_dir), rounds=3)
+
+
+@query(SQL["clustering_coefficient"].replace(SMALL, SIMPLE))
+def line_clustering(spark, sf_dir):
+    return analytics.clustering_coefficient(*simple_line_graph(spark, sf_dir)).select("id", F.round("coefficient", 9).alias("coefficient"))

@@ -172,31 +172,6 @@ def synthetic_shop(
     return RelationalDB("shop", tables, keys, dict.fromkeys(tables, "_row"), dict.fromkeys(tables, "_time")), labels
 
 
-#: Named sources, their tables and the times that split them.
-DATASETS = {
-    "shop-small": {"kind": "synthetic", "options": {"users": 400, "items": 120, "per_user": 12}, "tasks": ["user-churn", "user-ltv"]},
-    "shop-medium": {"kind": "synthetic", "options": {"users": 2000, "items": 500, "per_user": 16}, "tasks": ["user-churn", "user-ltv"]},
-    "rel-amazon": {"kind": "parquet", "tables": ["users", "items", "interactions"], "valid": "2023-01-01", "test": "2023-02-01", "tasks": ["user-churn", "item-churn"]},
-    "rel-f1": {"kind": "parquet", "tables": ["drivers", "constructors", "races", "results"], "valid": "2023-01-01", "test": "2023-02-01", "tasks": ["driver-position", "constructor-position"]},
-    "rel-hm": {"kind": "parquet", "tables": ["items", "stores", "sales"], "valid": "2023-01-01", "test": "2023-02-01", "tasks": ["user-churn", "item-sales"]},
-}
-
-
-def catalogue(spark: SparkSession) -> DataFrame:
-    rows = [(n, d["kind"], json.dumps(d.get("tables", [])), d.get("valid"), d.get("test"), t) for n, d in DATASETS.items() for t in d["tasks"]]
-    return spark.createDataFrame(rows, "dataset string, kind string, tables string, valid_from string, test_from string, task string")
-
-
-def load_dataset(spark: SparkSession, name: str, folder: str | None = None):
-    if name not in DATASETS:
-        raise KeyError(f"unknown dataset: {name}")
-    d = DATASETS[name]
-    if d["kind"] == "synthetic":
-        return synthetic_shop(spark, **d["options"])
-    tables = load_parquet(spark, folder, d["tables"])
-    return tables, None
-
-
 def save_database(db: RelationalDB, folder: str, **metadata: str) -> None:
     """tables/ in Parquet, schema.json with keys, foreign keys and event times, and metadata.json."""
     spark = next(iter(db.tables.values())).sparkSession

@@ -225,12 +225,30 @@ def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _similar(similarity: float, least: float = 0.4):
+def _shared_pieces(a: list[np.ndarray], b: list[np.ndarray], q: int) -> np.ndarray:
+    """Number of runs of q letters, by 32-bit hashes, that the two lines of each pair have in common."""
+    counted = []
+    for side in (a, b):
+        n = np.array([len(x) for x in side], np.int64)
+        codes = np.concatenate([*side, np.zeros(0, np.uint32)]).astype(np.uint64)
+        pieces = codes.copy()
+        for k in range(1, min(q, len(codes))):
+            pieces[:-k] = mix(pieces[:-k] * M1 + codes[k:])
+        pair = np.repeat(np.arange(len(side)), n)
+        inside = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n) <= np.repeat(n, n) - q
+        counted.append(np.unique(pair[inside].astype(np.uint64) << np.uint64(32) | pieces[inside] >> np.uint64(32), return_counts=True))
+    (ka, na), (kb, nb) = counted
+    both, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    return np.bincount((both >> np.uint64(32)).astype(np.int64), np.minimum(na[i], nb[j]), len(a)).astype(np.int64)
+
+
+def _similar(similarity: float):
     """Pairs (a, b, ta, tb) with an edit similarity in characters of at least ``similarity``.
 
-    The edit distance in words comes first, which costs a fortieth. It bounds the one in characters: as many of the
-    longest words as it counts, with a space each. Most true pairs are settled so. Lines that are less than ``least``
-    alike in words are strangers, and only what is left is aligned by characters."""
+    The edit distance in words comes first, which costs a fortieth. It bounds the one in characters from above: as many of the
+    longest words as it counts, with a space each. Most true pairs are settled so. Strangers are told by their pieces of two
+    and three letters: an edit changes no more than q pieces of q letters, so lines within k edits share all but q k of them
+    (Ukkonen, 1992). Neither bound ever errs; what is left is aligned by characters."""
 
     def run(batches):
         for batch in batches:
@@ -245,15 +263,16 @@ def _similar(similarity: float, least: float = 0.4):
                 unlike = edit_distances(*words)
                 chars = np.maximum(*(pc.utf8_length(part.column(c)).to_numpy(zero_copy_only=False) for c in ("ta", "tb")))
                 most = np.floor(chars * (1 - similarity) + 1e-9)
-                near, later = np.zeros(part.num_rows, bool), []
+                near = np.zeros(part.num_rows, bool)
                 for i, d in enumerate(unlike.tolist()):
                     longest = np.concatenate([sizes[0][i], sizes[1][i]])
                     near[i] = (np.partition(longest, -d)[-d:].sum() if 0 < d < len(longest) else longest.sum() * (d > 0)) + d <= most[i]
-                    n = max(len(words[0][i]), len(words[1][i]))
-                    # few words, or long ones as in scripts without spaces, tell nothing
-                    if not near[i] and (d <= (1 - least) * n or n < FUZZY_WORDS or chars[i] > 12 * n):
-                        later.append(i)
+                later = np.flatnonzero(~near)
                 a, b = ([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in part.column(c).take(pa.array(later, pa.int64())).to_pylist()] for c in ("ta", "tb"))
+                may = np.ones(len(later), bool)
+                for q in (3, 2):
+                    may &= _shared_pieces(a, b, q) >= chars[later] - q + 1 - q * most[later]
+                later, a, b = later[may], [x for x, ok in zip(a, may, strict=True) if ok], [x for x, ok in zip(b, may, strict=True) if ok]
                 near[later] = edit_distances(a, b) <= most[later]
                 yield part.select(["a", "b"]).filter(pa.array(near))
 

@@ -115,3 +115,24 @@ def test_very_long_line(spark):
     other = [x if r.random() > 0.05 else word() for x in long]
     docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(r.sample(long, len(long)))), (4, None), (5, ""), (None, " ".join(long))], "doc_id long, text string")
     assert {x.doc_id: x.lines for x in L.removed_lines(docs, min_words=1).collect()} == {2: [0]}
+
+
+@pytest.mark.parametrize("rows", [1, 7, 400])
+def test_check_loses_no_pair(rows):
+    """Of candidate pairs exactly those of the stated edit similarity pass, in batches of any size."""
+    r = random.Random(1)
+    words = ["".join(r.choice("aeioutnshrl") for _ in range(r.randint(2, 9))) for _ in range(300)]
+    pairs, want = [], set()
+    for i in range(400):
+        t = " ".join(r.choice(words) for _ in range(r.randint(1, 20)))
+        rate = [0.05, 0.1, 0.2, 0.27][i % 4]
+        u = " ".join(r.choice(words) for _ in t.split()) if i % 5 == 0 else "".join(c if r.random() > rate else r.choice("aeiou xyz") for c in t)
+        pairs.append((i, -i - 1, t, u))
+        if plain(t, u) <= int(max(len(t), len(u)) * 0.25 + 1e-9):
+            want.add(i)
+    got = set()
+    for lo in range(0, len(pairs), rows):
+        batch = pa.RecordBatch.from_pydict({name: [p[j] for p in pairs[lo : lo + rows]] for j, name in enumerate(("a", "b", "ta", "tb"))})
+        for out in L._similar(0.75)([batch]):
+            got |= set(out.column("a").to_pylist())
+    assert got == want and 200 < len(want) < 350

@@ -147,3 +147,9 @@ def evaluate(df: DataFrame, names: list[str], **columns: str) -> DataFrame:
         row = REGISTRY[n](df, **columns)
         out = row if out is None else out.crossJoin(F.broadcast(row))  # one row each
     return out
+
+
+def over_seeds(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
+    """Runs, and each measure's mean and population deviation over them, as <measure>_mean and <measure>_std."""
+    stats = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
+    return df.groupBy(*by).agg(F.count("*").alias("runs"), *stats)

@@ -141,3 +141,8 @@ def check_graph(nodes: DataFrame, edges_: DataFrame, most_nodes: int = 1_000_000
         found["components beyond the first"] = components(known, edges_).agg((F.count_distinct("component") - 1).alias("v"))
     out = [d.select(F.lit(rule).alias("rule"), F.coalesce("v", F.lit(0)).cast("long").alias("violations")) for rule, d in found.items()]
     return reduce(DataFrame.unionByName, out)
+
+
+def seed_nodes(nodes: DataFrame, table: str) -> DataFrame:
+    """(node_id, row, key) of one table's nodes: a run of ids, as ids go by table."""
+    return nodes.where(F.col("table") == table).select("node_id", "row", "key")

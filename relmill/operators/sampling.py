@@ -121,3 +121,28 @@ def without_nodes(nodes: DataFrame, edges: DataFrame, share: float, seed: int) -
     u = F.conv(F.substring(_digest(F.col("node_id").cast("string"), F.lit(str(seed))), 1, 7), 16, 10).cast("long") / float(16**7)
     kept = nodes.where(u >= share)
     return kept, induced(edges, kept)
+
+
+def window_subgraph(edges: DataFrame, seeds: DataFrame, since: float, until: float, hops: int) -> tuple[DataFrame, DataFrame]:
+    """The subgraph of a time window around seeds (node_id), in one call: (node_id, hop) of the nodes whose messages reach
+    a seed in up to ``hops`` steps, the seeds at 0, and the edges (src, dst, etype, etime) between those nodes.
+
+    Edges count if their time is from ``since`` to ``until``, both included, or if they have none (-inf). A node that is
+    reached by several ways has its least hop; only nodes that are new are searched from.
+    """
+    if hops < 1:
+        raise ValueError("hops must be positive")
+    scratch = Scratch(edges.sparkSession)
+    known = scratch.store(edges.where(F.col("etime").between(since, until) | (F.col("etime") == float("-inf"))), "window")
+    pairs = scratch.store(known.select("src", "dst").distinct(), "pairs")
+    layer = scratch.store(seeds.select("node_id", F.lit(0).alias("hop")).where("node_id is not null").distinct(), "layer")
+    found = layer
+    for hop in range(1, hops + 1):
+        ways = pairs.join(layer.select(F.col("node_id").alias("dst")), "dst").select(F.col("src").alias("node_id")).distinct()
+        layer = scratch.store(ways.join(found.select("node_id"), "node_id", "left_anti").select("node_id", F.lit(hop).alias("hop")), "layer")
+        if not layer.take(1):
+            break
+        found = found.unionByName(layer)
+    ids = scratch.store(found.select("node_id"), "nodes")
+    inside = known.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi")
+    return found, inside.select("src", "dst", "etype", "etime")

@@ -192,3 +192,11 @@ def load_database(spark: SparkSession, folder: str) -> tuple[RelationalDB, dict]
 def run_sql(spark: SparkSession, query: str, tables: dict[str, DataFrame], **parameters) -> DataFrame:
     """A query over {tables} in braces with :parameters, which are bound and never pasted into the text."""
     return spark.sql(query, args=parameters, **tables)
+
+
+def load_embeddings(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """Vectors of a node type from emb_<kind>.parquet, as arrays of doubles; raises without a column ``embedding``."""
+    df = spark.read.parquet(f"{folder}/emb_{kind}.parquet")
+    if "embedding" not in df.columns:
+        raise ValueError(f"emb_{kind}.parquet has no column embedding")
+    return df.withColumn("embedding", F.col("embedding").cast("array<double>"))

@@ -2,7 +2,7 @@
 
 import pytest
 
-from relmill.plans import learned as catalog  # the catalogue and its extensions
+from relmill.plans import checks as catalog  # the catalogue and its extensions
 
 SF = "/root/testdata/sf0.001"
 

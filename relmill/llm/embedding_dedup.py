@@ -2,7 +2,9 @@
 
 Equal vectors are collapsed first, so a group of copies costs one row. A bounded sample (``sample_rows``)
 fits the centroids; every vector goes to its nearest cell and, near a border, to the few cells whose
-centroid is almost as close, so a pair that a border parts still meets. Inside a (label, cell) the
+centroid is almost as close, so a pair that a border parts still meets. Where more than ``most_cells`` cells are
+needed, each is parted by a second codebook, of what is left of the sample's vectors without their centroids, so that
+up to most_cells squared cells grow with the vectors while what is fitted and broadcast stays bounded. Inside a (label, cell) the
 vectors are dealt to blocks of bounded size, and each task multiplies two blocks. A task returns link
 counts and a spanning forest of its links, never the links themselves, so a hot group of n near copies
 gives O(n) rows. Components of the forests are the groups.
@@ -44,19 +46,58 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) ->
     return c
 
 
-def _cells(centroids: np.ndarray, slack: float, most: int):
-    """Per vector the cells to visit: its own and those whose cosine is within ``slack`` of it."""
+def plain_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """Euclidean centroids of vectors, started from k of them."""
+    rng = np.random.default_rng(seed)
+    c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
+    for _ in range(rounds):
+        near = ((c * c).sum(1) - 2 * (x @ c.T)).argmin(1)
+        n = np.bincount(near, minlength=len(c))
+        new = np.zeros_like(c)
+        np.add.at(new, near, x)
+        c = np.where(n[:, None] > 0, new / np.maximum(n, 1)[:, None], c)
+    return c
+
 
+def codebooks(x: np.ndarray, cells: int, most_cells: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Unit centroids for so many cells and, where that is more than ``most_cells``, a second codebook for the rest."""
+    most = max(1, len(x) // 8)
+    if cells <= most_cells:
+        return spherical_kmeans(x, min(cells, most)), None
+    first = spherical_kmeans(x, min(most_cells, most))
+    rest = x - first[(x @ first.T).argmax(1)]
+    return first, plain_kmeans(rest, min(-(-cells // len(first)), most_cells, most))
+
+
+def visited(x: np.ndarray, centroids: np.ndarray, fine: np.ndarray | None, slack: float, most: int) -> list[list[int]]:
+    """For unit vectors the cells to visit: the nearest and those whose cosine is within ``slack`` of it, at most ``most``;
+    with a second codebook, in each of these the nearest parts, within twice ``slack`` in squared distance."""
+    s = x @ centroids.T
+    top = np.argsort(-s, 1)[:, :most]
+    near = np.take_along_axis(s, top, 1)
+    open_ = near >= near[:, :1] - slack
+    if fine is None:
+        return [t[o].tolist() for t, o in zip(top, open_, strict=True)]
+    out: list[list[int]] = [[] for _ in x]
+    for j in range(top.shape[1]):
+        rows = np.flatnonzero(open_[:, j])
+        rest = x[rows] - centroids[top[rows, j]]
+        d = (fine * fine).sum(1) - 2 * (rest @ fine.T)
+        own = np.argsort(d, 1)[:, :most]
+        close = np.take_along_axis(d, own, 1)
+        for i, c, o, ok in zip(rows.tolist(), top[rows, j].tolist(), own, close <= close[:, :1] + 2 * slack, strict=True):
+            out[i] += (c * len(fine) + o[ok]).tolist()
+    return out
+
+
+def _cells(centroids: np.ndarray, fine: np.ndarray | None, slack: float, most: int):
     def run(it):
         for pdf in it:
             cells = [[0]] * len(pdf)  # vectors of another length than the centroids' share one cell
             own = np.flatnonzero(pdf.v.map(len).to_numpy() == centroids.shape[1])
             if len(own):
-                s = unit(np.array(pdf.v.iloc[own].tolist(), float)) @ centroids.T
-                top = np.argsort(-s, 1)[:, :most]
-                near = np.take_along_axis(s, top, 1)
-                for i, t, g in zip(own.tolist(), top, near, strict=True):
-                    cells[i] = t[g >= g[0] - slack].tolist()
+                for i, c in zip(own.tolist(), visited(unit(np.array(pdf.v.iloc[own].tolist(), float)), centroids, fine, slack, most), strict=True):
+                    cells[i] = c
             pdf = pdf.assign(cells=cells)
             yield pdf[["id", "n", "part", "v", "cells"]]
 
@@ -148,8 +189,8 @@ def embedding_dedup(
     dim = reps.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()["d"]
     sample = reps.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").toPandas()
     x = unit(np.array(sample.v.tolist(), float))
-    centroids = spherical_kmeans(x, int(np.clip(-(-total // per_cell), 1, min(most_cells, max(1, len(x) // 8)))))
-    placed = reps.select("id", "n", "part", "v").mapInPandas(_cells(centroids, slack, probes), "id long, n long, part string, v array<double>, cells array<long>")
+    centroids, fine = codebooks(x, max(1, -(-total // per_cell)), most_cells)
+    placed = reps.select("id", "n", "part", "v").mapInPandas(_cells(centroids, fine, slack, probes), "id long, n long, part string, v array<double>, cells array<long>")
     placed = scratch.store(placed.withColumn("cell", F.explode("cells")), "cells")
     sizes = placed.groupBy("part", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 0")
     sizes = scratch.store(sizes, "blocks")

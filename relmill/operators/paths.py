@@ -36,6 +36,19 @@ def all_pairs(vertices: DataFrame, edges: DataFrame, directed: bool = False) ->
     return shortest_paths(edges, vertices.select("id"), directed).select("source", "id", "distance")
 
 
+def predecessors(found: DataFrame, edges: DataFrame, weight: str = "weight", directed: bool = False) -> DataFrame:
+    """(source, id, distance, pred) of least distances (source, id, distance): the smallest vertex that a least path may
+    come from, whatever the order in which the distances were found. Weights must be positive."""
+    pairs = edges.select("src", "dst", F.col(weight).alias("w"))
+    if not directed:
+        pairs = pairs.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col(weight).alias("w")))
+    pairs = pairs.groupBy("src", "dst").agg(F.min("w").alias("w"))
+    before = found.select("source", F.col("id").alias("src"), F.col("distance").alias("_d")).join(pairs, "src")
+    best = before.select("source", F.col("dst").alias("id"), "src", (F.col("_d") + F.col("w")).alias("_to")).join(found.select("source", "id", "distance"), ["source", "id"])
+    best = best.where(F.abs(F.col("_to") - F.col("distance")) <= 1e-12 * F.abs("distance")).groupBy("source", "id").agg(F.min("src").alias("pred"))
+    return found.select("source", "id", "distance").join(best, ["source", "id"], "left").select("source", "id", "distance", F.when(F.col("source") != F.col("id"), F.col("pred")).alias("pred"))
+
+
 def nearest_source(edges: DataFrame, sources: DataFrame, weight: str | None = None, directed: bool = False, compact: int = 8) -> DataFrame:
     """(id, distance) to the nearest of all sources: hops, or the sum of a column of weights that are not negative.
 

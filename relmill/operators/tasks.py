@@ -50,9 +50,13 @@ def dropped_edges(edges: DataFrame, share: float, seed: int) -> DataFrame:
 
 
 def noisy(features: DataFrame, sigma: float, seed: int) -> DataFrame:
-    """Adds normal noise to each component (Box-Muller over hashes of node, place and seed)."""
-    u = lambda i, k: (F.pmod(F.xxhash64("node_id", i, F.lit(seed), F.lit(k)), F.lit(1_000_000)) + 0.5) / 1e6
-    noise = lambda i: F.sqrt(-2.0 * F.log(u(i, 1))) * F.cos(F.lit(6.283185307179586) * u(i, 2))
+    """Adds normal noise to each component (Box-Muller over digests of node, place and seed)."""
+
+    def u(i, at):
+        digest = F.md5(F.concat_ws(":", F.col("node_id").cast("string"), i.cast("string"), F.lit(str(seed))))
+        return (F.conv(F.substring(digest, at, 7), 16, 10).cast("long") + 0.5) / float(16**7)
+
+    noise = lambda i: F.sqrt(-2.0 * F.log(u(i, 1))) * F.cos(F.lit(6.283185307179586) * u(i, 8))
     return features.withColumn("x", F.transform("x", lambda v, i: v + noise(i) * sigma))
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from relmill.functions import metrics
 from relmill.functions.scalars import learning_rate
-from relmill.operators import analytics, graph, sampling, tasks, validation
+from relmill.operators import analytics, graph, paths, sampling, tasks, validation
 from relmill.plans import training
-from relmill.plans.catalog import NODES, SEED_SECONDS, SMALL, SPLIT, _graph, query, scored, small_graph, t
+from relmill.plans.catalog import NODES, SEED_SECONDS, SMALL, SPLIT, _graph, database, query, scored, small_graph, smallest_of_nations, t
 from relmill.plans.learned import QUERIES, SQL
 from relmill.sources import tables as sources
 from relmill.staging import Scratch
@@ -220,3 +220,37 @@ def stream_mapped(spark, sf_dir):
     each = lambda b: b.select("user_id", F.upper("event_type").alias("kind"), F.round(F.col("value") * 2, 6).alias("twice"))
     streams.run_available(streams.read_events(spark, sf_dir, "events.parquet"), target, f"{scratch.root}/mapped-state", each=each)
     return spark.read.parquet(target)
+
+
+_U = "(('0x' || md5(vec_id || ':' || {0} || ':9')[{1}])::bigint + 0.5::double) / 268435456"
+
+
+def _noise(i: int) -> str:
+    return f"round(embedding[{i + 1}]::double + 0.1::double * sqrt(-2 * ln({_U.format(i, '1:7')})) * cos(6.283185307179586::double * {_U.format(i, '8:14')}), 6) + 0.0 as x{i}"
+
+
+@query(f"select vec_id, {_noise(0)}, {_noise(63)} from embeddings")
+def feature_noise(spark, sf_dir):
+    """Vectors with normal noise that a rerun repeats."""
+    v = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("x"))
+    out = tasks.noisy(v, 0.1, 9)
+    return out.select(F.col("node_id").alias("vec_id"), *[(F.round(F.col("x")[i], 6) + 0.0).alias(f"x{i}") for i in (0, 63)])
+
+
+@query(f"""{SQL["distances_from_nations"].replace(" select a as source", ", f as (select a as source", 1)}),
+    p as (select f.source, f.id, f.distance, min(g.src) as pred from f join g on g.dst = f.id join f b on b.source = f.source and b.id = g.src and b.distance + g.w = f.distance where f.id <> f.source group by 1, 2, 3),
+    walk as (select source, source as id, source::varchar as path from f where id = source union all select p.source, p.id, walk.path || ',' || p.id from p join walk on walk.source = p.source and walk.id = p.pred)
+    select source, id as target, path from walk""".replace("with ", "with recursive ", 1))
+def weighted_paths(spark, sf_dir):
+    """The least paths from the nations' first customers, vertex by vertex, ties to the smaller vertex."""
+    e = small_graph(spark, sf_dir)[1]
+    found = Scratch(spark).store(paths.predecessors(analytics.shortest_paths(e, smallest_of_nations(spark, sf_dir)), e), "found")
+    return paths.paths(found).select("source", "target", F.array_join("path", ",").alias("path"))
+
+
+@query("""select * from (values ('nation', 0, 'n_nationkey', 'int', true, null, false), ('nation', 1, 'n_name', 'string', false, null, false), ('nation', 2, 'n_regionkey', 'int', false, 'region', false),
+    ('region', 0, 'r_regionkey', 'int', true, null, false), ('region', 1, 'r_name', 'string', false, null, false)) x("table", position, "column", type, is_key, target, is_time)""")
+def database_schema(spark, sf_dir):
+    """Columns of a database with keys, targets and times."""
+    db = database(spark, sf_dir)
+    return sources.schema_of(db).where(F.col("table").isin("nation", "region"))

@@ -127,6 +127,14 @@ def load_jdbc(spark: SparkSession, url: str, table: str | None = None, query: st
     return (r.option("dbtable", table) if table else r.option("query", query)).load()
 
 
+def schema_of(db: RelationalDB) -> DataFrame:
+    """(table, position, column, type, is_key, target, is_time) of a database's tables."""
+    spark = next(iter(db.tables.values())).sparkSession
+    targets = {(k.table, k.column): k.target for k in db.foreign_keys}
+    rows = [(n, i, c, kind, db.keys.get(n) == c, targets.get((n, c)), db.times.get(n) == c) for n, d in db.tables.items() for i, (c, kind) in enumerate(d.dtypes)]
+    return spark.createDataFrame(rows, "table string, position int, column string, type string, is_key boolean, target string, is_time boolean")
+
+
 def describe(tables: dict[str, DataFrame], foreign_keys: list[ForeignKey] = ()) -> DataFrame:
     """(table, column, type, target) of a set of tables, in order."""
     spark = next(iter(tables.values())).sparkSession

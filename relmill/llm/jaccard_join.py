@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import M1, M2, Scratch, known, known_or_named, linked_groups, mix, slices, word_hashes
+from relmill.llm.common import M1, M2, Scratch, distinct, known, known_or_named, linked_groups, mix, slices, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -57,7 +57,7 @@ def shingles(texts) -> np.ndarray:
             for k in range(1, size):
                 x = mix(x * M1 + h[begin[at] + k])
             out.append(at.astype(np.uint64) << np.uint64(LOW) | mix(x + np.full(1, size, np.uint64) * M2) >> np.uint64(64 - LOW))
-    return np.unique(np.concatenate(out))
+    return distinct(np.concatenate(out))
 
 
 def texts_of(batch, column: str):

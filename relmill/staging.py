@@ -1,20 +1,31 @@
 """Tables that cut a lineage, in the shared folder that the session names in ``spark.checkpoint.dir``.
 
-Where the session sets none (tests, a laptop) the SQL warehouse folder is used. Both are shared by all
-executors, so a lost executor costs a re-read, never data. The tables go when the driver process ends.
+Where the session sets none the SQL warehouse folder is used, on one machine (tests, a laptop) or where its path names a
+shared store; a cluster whose warehouse is a local folder is refused. So a lost executor costs a re-read, never data.
+The tables go when the driver process ends.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_warehouse(path: str, master: str) -> str:
+    """The warehouse folder, if all executors can see it: any on one machine, on a cluster one with a scheme but file."""
+    local = re.match(r"local(\[.*\])?$", master)
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]*):", path)
+    if not local and (scheme is None or scheme[1].lower() == "file"):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share; {path} is local to each machine")
+    return path
+
+
 class Scratch:
     def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+        base = spark.conf.get("spark.checkpoint.dir", None) or shared_warehouse(spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/relmill-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
         atexit.register(self.drop, self.root)

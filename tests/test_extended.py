@@ -116,3 +116,13 @@ def test_robust_scaling_ignores_how_values_repeat(spark):
     out = {r.x: r.y for r in robust(spark.createDataFrame([(v,) for v in values], "x double"), "x", "y").collect()}
     # quartiles at positions 1.25, 2.5 and 3.75 of six
     assert out[16.0] == pytest.approx((16 - 3.0) / (7.0 - 1.25)) and out[None] is None
+
+
+def test_scratch_tables_are_shared():
+    from relmill.staging import shared_warehouse
+
+    for path, master in (("file:/tmp/w", "local[4]"), ("/tmp/w", "local"), ("hdfs://x/w", "yarn"), ("s3a://x/w", "spark://h:7077")):
+        assert shared_warehouse(path, master) == path
+    for path, master in (("file:/tmp/w", "yarn"), ("/tmp/w", "spark://h:7077"), ("file:///w", "local-cluster[2,1,1024]")):
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            shared_warehouse(path, master)

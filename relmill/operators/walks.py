@@ -22,8 +22,8 @@ def numbered_ways(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFr
     return ways.select("at", F.col("dst").alias("next")), runs
 
 
-def _draw(seed: int, step: int, attempt: int, at: int, digits: int) -> Column:
-    text = F.concat_ws(":", F.col("walk").cast("string"), F.lit(f"{seed}:{step}:{attempt}"))
+def _draw(seed: int, step: int, at: int, digits: int) -> Column:
+    text = F.concat_ws(":", F.col("walk").cast("string"), F.lit(f"{seed}:{step}"), F.col("attempt").cast("string"))
     return F.conv(F.substring(F.md5(text), at, digits), 16, 10).cast("long")
 
 
@@ -31,9 +31,9 @@ def node2vec_walks(edges: DataFrame, starts: DataFrame, length: int, p: float =
     """(walk, step, node) of walks of up to ``length`` steps; going back weighs 1/p, a neighbour of the last node 1, others 1/q.
 
     starts: (walk, node), one row a walk. Parallel edges count once, null ends not at all. A walk ends where there is no
-    way on. Draws are digests of walk, step, attempt and seed, so reruns agree. The number of attempts of a step is that
-    of its slowest walk, about the logarithm of the walks' number over that of the rejected share; each has only the rows
-    that the one before rejected.
+    way on. Draws are digests of walk, step, attempt and seed, so reruns agree. Attempts come in rounds of 1, 2, 4 and so on
+    for the walks that are still rejected, and the first that is taken counts; so a step has about the logarithm of its
+    slowest walk's attempts as rounds, and a few rows a walk in all.
     """
     if length <= 0 or p <= 0 or q <= 0:
         raise ValueError("length, p and q must be positive")
@@ -45,18 +45,20 @@ def node2vec_walks(edges: DataFrame, starts: DataFrame, length: int, p: float =
     now = starts.select("walk", F.lit(None).cast("long").alias("prev"), F.col("node").cast("long").alias("node"))
     out = [now.select("walk", F.lit(0).alias("step"), "node")]
     for step in range(1, length + 1):
-        left, moved, attempt = scratch.store(now.join(runs.hint("merge"), "node"), "standing"), [], 0
+        left, moved, attempt, batch = scratch.store(now.join(runs.hint("merge"), "node"), "standing"), [], 0, 1
         while True:
-            drawn = left.withColumn("at", F.col("first") + _draw(seed, step, attempt, 1, 15) % F.col("degree")).join(ways.hint("merge"), "at")
+            drawn = left.withColumn("attempt", F.explode(F.sequence(F.lit(attempt), F.lit(attempt + batch - 1))))
+            drawn = drawn.withColumn("at", F.col("first") + _draw(seed, step, 1, 15) % F.col("degree")).join(ways.hint("merge"), "at")
             if p == 1 and q == 1:
-                drawn = drawn.withColumn("taken", F.lit(True))
-            else:
-                weight = F.when(F.col("prev").isNull(), largest).when(F.col("next") == F.col("prev"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
-                taken = (_draw(seed, step, attempt, 16, 7) + 0.5) / float(16**7) * largest < weight
-                drawn = drawn.join(known.hint("merge"), ["prev", "next"], "left").withColumn("taken", taken)
-            drawn = scratch.store(drawn.select("walk", "prev", "node", "first", "degree", "next", "taken"), "drawn")
-            moved.append(drawn.where("taken").select("walk", F.col("node").alias("prev"), F.col("next").alias("node")))
-            left, attempt = drawn.where("not taken").drop("next", "taken"), attempt + 1
+                moved.append(drawn.select("walk", F.col("node").alias("prev"), F.col("next").alias("node")))
+                break
+            weight = F.when(F.col("prev").isNull(), largest).when(F.col("next") == F.col("prev"), 1 / p).when(F.col("near"), 1.0).otherwise(1 / q)
+            taken = (_draw(seed, step, 16, 7) + 0.5) / float(16**7) * largest < weight
+            drawn = drawn.join(known.hint("merge"), ["prev", "next"], "left").where(taken)
+            first = drawn.groupBy("walk").agg(F.min_by(F.struct(F.col("node").alias("prev"), F.col("next").alias("node")), "attempt").alias("m"))
+            moved.append(scratch.store(first.select("walk", "m.prev", "m.node"), "moved"))
+            left = scratch.store(left.join(moved[-1].select("walk"), "walk", "left_anti"), "standing")
+            attempt, batch = attempt + batch, 2 * batch
             if not left.take(1):
                 break
         now = moved[0]

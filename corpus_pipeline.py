@@ -75,5 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.store(stage(spark, docs, sf_dir), name)
+        last, docs = docs, scratch.store(stage(spark, docs, sf_dir), name)
+        scratch.drop(last)  # a stage's result goes once the next one has its own
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -18,13 +18,14 @@ from relmill.operators.components import connected_components
 from relmill.staging import Scratch
 
 
-def _trimmed(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, bool]:
-    """Edges whose source has an in-edge and whose target has an out-edge; whether any edge went."""
+def _trimmed(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
+    """Edges whose source has an in-edge and whose target has an out-edge; the share of edges that went."""
     into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
     kept = scratch.store(edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"), "trimmed")
-    shrunk = kept.count() < edges.count()
+    before = edges.count()
+    gone = (before - kept.count()) / max(1, before)
     scratch.drop(edges)
-    return kept, shrunk
+    return kept, gone
 
 
 def _contracted(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
@@ -85,13 +86,15 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     now = scratch.store(known.where("src <> dst"), "edges")
     merges, parts = [], []  # (node, chain), innermost last; (node, component) of what is settled
     while now.take(1):
-        now, shrunk = _trimmed(now, scratch)
+        now, gone = _trimmed(now, scratch)
+        if gone >= 0.1:
+            continue  # layers go fast enough by themselves
         now, merged, cycles = _contracted(now, scratch)
         if cycles is not None:
             parts.append(cycles)
         if merged is not None:
             merges.append(merged)
-        elif cycles is None and not shrunk and now.take(1):
+        elif cycles is None and not gone and now.take(1):
             found, now = _coloured(now, scratch)
             parts.append(found)
     of = ids.select(F.col("id").alias("node"), F.col("id").alias("component"))

@@ -39,6 +39,8 @@ class Scratch:
 
     def drop(self, what) -> None:
         path = what if isinstance(what, str) else getattr(what, "scratch_path", None)
+        if path is None:  # not a scratch table
+            return
         try:
             jvm = self.spark._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)

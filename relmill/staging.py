@@ -28,6 +28,7 @@ class Scratch:
         base = spark.conf.get("spark.checkpoint.dir", None) or shared_warehouse(spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
         self.spark = spark
         self.root = f"{base.rstrip('/')}/relmill-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+        self.stored: list[str] = []
         atexit.register(self.drop, self.root)
 
     def store(self, df: DataFrame, name: str, files: int | None = None) -> DataFrame:
@@ -35,8 +36,17 @@ class Scratch:
         (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
+        self.stored.append(path)
         return out
 
+    def drop_since(self, mark: int, *keep: DataFrame) -> None:
+        """Drops the tables stored after the first ``mark`` but those to keep; for work whose result is stored."""
+        held = {df.scratch_path for df in keep}
+        for path in self.stored[mark:]:
+            if path not in held:
+                self.drop(path)
+        self.stored[mark:] = [p for p in self.stored[mark:] if p in held]
+
     def drop(self, what) -> None:
         path = what if isinstance(what, str) else getattr(what, "scratch_path", None)
         if path is None:  # not a scratch table

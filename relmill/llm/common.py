@@ -162,6 +162,7 @@ def linked_groups(members: DataFrame, scratch: Scratch, verify, fits=None, small
     other pairs only those are tested that are still in different components.
     """
     cols = [c for c in members.columns if c not in ("key", "id")]
+    mark = len(scratch.stored)
     sizes = scratch.store(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
     live = scratch.store(members.join(sizes.hint("merge"), "key"), "key-members")
     spare = lambda side, df: df.select("key", *[F.col(c).alias(f"{side}_{c}") for c in df.columns if c != "key"])
@@ -221,4 +222,5 @@ def linked_groups(members: DataFrame, scratch: Scratch, verify, fits=None, small
         if grown:
             links = links.unionByName(more)
             groups = scratch.store(connected_components(links, scratch), "groups")
+    scratch.drop_since(mark, groups)
     return groups

@@ -231,5 +231,6 @@ def jaccard_groups(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", t
     groups = linked_groups(members, scratch, verify, fits)
     classes = reps.select("s1", "s2", "n", "id").join(groups.select(F.col("node").alias("id"), "component").hint("merge"), "id", "left")
     classes = scratch.store(classes.select("s1", "s2", "n", F.coalesce("component", "id").alias("component")), "classes")
+    scratch.drop_since(0, sets, classes)
     out = sets.select("doc_id", "n", "s1", "s2").join(classes.hint("merge"), ["s1", "s2", "n"], "left")
     return out.select(known("doc_id"), F.col("n").alias("n_shingles"), known(F.coalesce("component", "doc_id")).alias("component_id"))

@@ -338,7 +338,9 @@ def removed_lines(
     scratch = Scratch(docs.sparkSession)
     seen, keep = line_groups(docs, scratch, id_col, text_col, similarity, min_words, blocks, most_bits, min_chars)
     gone = seen.join(keep.hint("merge"), ["h1", "h2"]).where("lid <> keep").select("doc_id", "line_no")
-    return scratch.store(gone.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("lines")), "removed-lines")
+    out = scratch.store(gone.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("lines")), "removed-lines")
+    scratch.drop_since(0, out)
+    return out
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -35,6 +35,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 ROWS = 4
 KEY_BITS = 48
 FUZZY_WORDS = 5
+PIECE_LETTERS = 1 << 19  # letters of pairs whose pieces are counted at once, about
 BUCKET_KEYS = 2_000_000  # keys of a bucket, on average: 32 MB
 #: Thai, Lao, Myanmar, Khmer, kana and Han.
 UNSPACED = re.compile("([฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿])(?=[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿])")
@@ -270,8 +271,11 @@ def _similar(similarity: float):
                 later = np.flatnonzero(~near)
                 a, b = ([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in part.column(c).take(pa.array(later, pa.int64())).to_pylist()] for c in ("ta", "tb"))
                 may = np.ones(len(later), bool)
-                for q in (3, 2):
-                    may &= _shared_pieces(a, b, q) >= chars[later] - q + 1 - q * most[later]
+                letters = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)]) // PIECE_LETTERS  # bounds the memory
+                cuts = [*np.flatnonzero(np.diff(letters, prepend=-1)).tolist(), len(later)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    for q in (3, 2):
+                        may[lo:hi] &= _shared_pieces(a[lo:hi], b[lo:hi], q) >= chars[later[lo:hi]] - q + 1 - q * most[later[lo:hi]]
                 later, a, b = later[may], [x for x, ok in zip(a, may, strict=True) if ok], [x for x, ok in zip(b, may, strict=True) if ok]
                 near[later] = edit_distances(a, b) <= most[later]
                 yield part.select(["a", "b"]).filter(pa.array(near))

@@ -228,6 +228,21 @@ def test_csv_round_trip_and_bad_key(spark, tmp_path):
         RelationalDB("x", {"a": db.tables["users"]}, [ForeignKey("a", "nope", "a")], {"a": "_row"}).check()
 
 
+def test_csv_parts_are_read_in_their_order(spark, tmp_path):
+    import json
+
+    role = lambda n, r: {"name": n, "role": r}
+    (tmp_path / "users.csv").mkdir()
+    for part, names in enumerate((["a"], ["b", "c", "d" * 50, "e"], ["f", "g"])):  # Spark reads the largest file first
+        (tmp_path / "users.csv" / f"part-{part:05d}-x.csv").write_text("id,churn\n" + "".join(f"{n},{ord(n[0])}\n" for n in names))
+    (tmp_path / "buys.csv").write_text("user\ng\na\nb\n")
+    spec = [{"name": "users", "columns": [role("id", "PrimaryKey"), role("churn", "Label")]}, {"name": "buys", "columns": [role("user", {"ForeignKey": "users"})]}]
+    (tmp_path / "schema.json").write_text(json.dumps({"seed_table": "users", "tables": spec}))
+    db, _, labels = tables.load_csv(spark, str(tmp_path))
+    assert [chr(int(r.churn)) for r in labels.orderBy("_row").collect()] == list("abcdefg")
+    assert [r.user for r in db.tables["buys"].orderBy("_row").collect()] == [6, 0, 1]
+
+
 def test_shop_graph_and_learning(spark):
     db, labels = tables.synthetic_shop(spark, users=200, items=40)
     nodes = graph.keyed_nodes(db).cache()

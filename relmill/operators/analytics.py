@@ -25,7 +25,7 @@ def simple_pairs(edges: DataFrame) -> DataFrame:
 
 def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 20, tol: float = 0.0) -> DataFrame:
     """(id, rank). Parallel edges count; the mass of vertices without out-edges is spread over all."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     n = vertices.count()
     if not n:
         return vertices.select("id", F.lit(0.0).alias("rank"))
@@ -48,7 +48,7 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, round
 
 def eigenvector_centrality(vertices: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, score): power iteration over in-edges from 1, scaled to a sum of 1 each round."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     now = vertices.select("id", F.lit(1.0).alias("score"))
     for _ in range(rounds):
         sums = edges.join(now.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("score").alias("_s"))
@@ -71,13 +71,13 @@ def degree_centrality(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def bfs_levels(edges: DataFrame, sources: DataFrame, directed: bool = False, most: int | None = None) -> DataFrame:
     """(source, id, level, pred): hops from each source (a table with id) and the smallest predecessor; up to
     ``most`` hops if given."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     pairs = scratch.store((edges.select("src", "dst") if directed else _both_ways(edges)).where("src <> dst").distinct(), "pairs")
     seen = scratch.store(sources.select(F.col("id").alias("source"), "id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("pred")).distinct(), "level")
     frontier = seen
     for level in count(1) if most is None else range(1, most + 1):
         new = frontier.select("source", F.col("id").alias("src")).join(pairs, "src").groupBy("source", F.col("dst").alias("id")).agg(F.min("src").alias("pred"))
-        new = scratch.store(new.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(level).alias("level"), "pred"), "level")
+        new = scratch.store(new.join(scratch.shuffled(seen.select("source", "id")), ["source", "id"], "left_anti").select("source", "id", F.lit(level).alias("level"), "pred"), "level")
         if not new.take(1):
             break
         seen, frontier = seen.unionByName(new), new
@@ -86,7 +86,7 @@ def bfs_levels(edges: DataFrame, sources: DataFrame, directed: bool = False, mos
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, directed: bool = False) -> DataFrame:
     """(source, id, distance, pred) by relaxing from the vertices that improved; weights must not be negative."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     pairs = edges.select("src", "dst", "weight") if directed else _both_ways(edges, "weight")
     pairs = scratch.store(pairs.groupBy("src", "dst").agg(F.min("weight").alias("weight")), "pairs")
     best = last = scratch.store(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("distance"), F.lit(None).cast("long").alias("pred")).distinct(), "best")
@@ -119,7 +119,7 @@ def betweenness(vertices: DataFrame, edges: DataFrame, directed: bool = False, b
     """(id, betweenness) over (n-1)(n-2) pairs, halved if undirected. Brandes level by level on tables: joins
     forward add up the paths, joins backward the dependencies. A source has at most a row for each vertex of its
     component; sources are taken in blocks of about ``block_rows`` such rows, which bounds the scratch tables."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     n = vertices.count()
     pairs = scratch.store((edges.select("src", "dst") if directed else _both_ways(edges)).where("src <> dst").distinct(), "pairs")
     every = vertices.select(F.col("id").cast("long").alias("id")).distinct()
@@ -132,7 +132,7 @@ def betweenness(vertices: DataFrame, edges: DataFrame, directed: bool = False, b
         seen = levels[0].select("source", "id")
         while True:
             ways = levels[-1].withColumnRenamed("id", "src").join(pairs, "src").groupBy("source", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
-            new = scratch.store(ways.join(seen, ["source", "id"], "left_anti"), "level")
+            new = scratch.store(ways.join(scratch.shuffled(seen), ["source", "id"], "left_anti"), "level")
             if not new.take(1):
                 scratch.drop(new)
                 break
@@ -159,7 +159,7 @@ def betweenness(vertices: DataFrame, edges: DataFrame, directed: bool = False, b
     scale = (n - 1) * (n - 2)
     if sums is None or scale <= 0:
         return vertices.select("id", F.lit(0.0).alias("betweenness"))
-    rows = vertices.select("id").join(sums.groupBy("id").agg(F.sum("part").alias("_s")), "id", "left")
+    rows = vertices.select("id").join(scratch.shuffled(sums.groupBy("id").agg(F.sum("part").alias("_s"))), "id", "left")
     return rows.select("id", (F.coalesce("_s", F.lit(0.0)) / float(scale)).alias("betweenness"))
 
 
@@ -168,27 +168,27 @@ def triangles(edges: DataFrame) -> DataFrame:
     keeps the wedges of a hub few."""
     pairs = simple_pairs(edges)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-    ranked = pairs.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    ranked = pairs.join(degree.toDF("a", "da").hint("merge"), "a").join(degree.toDF("b", "db").hint("merge"), "b")
     first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
     out = ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("v"))
-    wedge = out.toDF("u", "v").join(out.toDF("u", "w"), "u").where("v < w")
-    closed = wedge.join(pairs.toDF("v", "w"), ["v", "w"], "left_semi")
+    wedge = out.toDF("u", "v").join(out.toDF("u", "w").hint("merge"), "u").where("v < w")
+    closed = wedge.join(pairs.toDF("v", "w").hint("merge"), ["v", "w"], "left_semi")
     return closed.select(F.explode(F.array("u", "v", "w")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
 
 
 def clustering_coefficient(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, coefficient) on the simple undirected graph; 0 with fewer than two neighbours."""
     degree = simple_pairs(edges).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("d"))
-    rows = vertices.select("id").join(degree, "id", "left").join(triangles(edges), "id", "left")
+    rows = vertices.select("id").join(degree.hint("merge"), "id", "left").join(triangles(edges).hint("merge"), "id", "left")
     d = F.col("d")
     return rows.select("id", F.when(d >= 2, 2.0 * F.coalesce("triangles", F.lit(0)) / (d * (d - 1))).otherwise(0.0).alias("coefficient"))
 
 
 def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id that undirected edges reach, for isolated vertices their own."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     found = connected_components(edges, scratch, "src", "dst")
-    return vertices.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return vertices.select("id").join(scratch.shuffled(found.withColumnRenamed("node", "id")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def is_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def is_connected(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
     """(id, label): synchronous rounds, most frequent label of the neighbours, ties to the smallest; isolated
     vertices keep their own."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     pairs = scratch.store(_both_ways(edges).where("src <> dst"), "pairs")
     now = vertices.select("id", F.col("id").alias("label"))
     for _ in range(rounds):
@@ -212,13 +212,13 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 5) ->
 
 def community_rollup(communities: DataFrame, edges: DataFrame) -> DataFrame:
     """(a, b, n_edges) between communities (id, label), a <= b."""
-    e = edges.join(communities.toDF("src", "ca"), "src").join(communities.toDF("dst", "cb"), "dst")
+    e = edges.join(communities.toDF("src", "ca").hint("merge"), "src").join(communities.toDF("dst", "cb").hint("merge"), "dst")
     return e.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.count("*").alias("n_edges"))
 
 
 def modularity(communities: DataFrame, edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """Sum over communities of e_c / m - resolution (d_c / 2m)^2."""
-    e = edges.join(communities.toDF("src", "ca"), "src").join(communities.toDF("dst", "cb"), "dst")
+    e = edges.join(communities.toDF("src", "ca").hint("merge"), "src").join(communities.toDF("dst", "cb").hint("merge"), "dst")
     sides = e.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), (F.col("ca") == F.col("cb")).cast("int").alias("i")), F.struct(F.col("cb").alias("c"), F.lit(0).alias("i")))).alias("x")).select("x.*")
     per = sides.groupBy("c").agg(F.sum("i").alias("e"), F.count("*").alias("d"))
     both = per.crossJoin(F.broadcast(edges.agg(F.count("*").cast("double").alias("m"))))
@@ -227,7 +227,7 @@ def modularity(communities: DataFrame, edges: DataFrame, resolution: float = 1.0
 
 def cycle_vertices(edges: DataFrame) -> DataFrame:
     """(id) of the vertices left after peeling those without in-edges again and again; empty without a cycle."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     now = scratch.store(edges.select("src", "dst").distinct(), "edges")
     size = now.count()
     while True:
@@ -244,7 +244,7 @@ def cycle_vertices(edges: DataFrame) -> DataFrame:
 def greedy_colouring(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, colour): rounds of independent sets. A vertex is coloured once all its smaller neighbours are, with
     the smallest colour that none of them has, which is greedy colouring in order of id."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     pairs = scratch.store(simple_pairs(edges), "pairs")
     done = vertices.select("id").join(pairs.select(F.col("b").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("colour"))
     done, left = scratch.store(done, "done"), vertices.select("id").join(done.select("id"), "id", "left_anti")

@@ -19,7 +19,7 @@ def priority_colouring(vertices: DataFrame, edges: DataFrame, seed: int = 0) ->
     has. As ties are broken by digests, rounds follow the logarithm of the number of vertices and not the longest path.
     Only edges between waiting vertices are read again. Loops, parallel edges and edges of other vertices are left out.
     """
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     ids = scratch.store(vertices.select("id").where("id is not null").distinct(), "vertices")
     pairs = simple_pairs(edges).join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     pairs = scratch.store(pairs, "pairs")

@@ -17,7 +17,7 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, le
     made at once, by half of the vertices in turn, so that neighbours do not swap forever. Edges are undirected,
     parallel ones add up; isolated vertices are communities of their own.
     """
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     graph = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w"))
     graph = scratch.store(graph, "graph")
@@ -41,7 +41,7 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, le
         begin = best = quality(now)
         stale = 0
         for turn in range(rounds):
-            sums = now.groupBy("c").agg(F.sum("k").alias("s"))
+            sums = scratch.store(now.groupBy("c").agg(F.sum("k").alias("s")), "sums")  # plain shuffles: a large community is split
             links = both.join(now.select(F.col("id").alias("other"), "c"), "other").groupBy("id", "c").agg(F.sum("w").alias("l"))
             own = now.select("id", "k", F.col("c").alias("mine"))
             offers = links.unionByName(own.select("id", F.col("mine").alias("c"), F.lit(0.0).alias("l"))).groupBy("id", "c").agg(F.sum("l").alias("l"))
@@ -52,6 +52,7 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, le
             moves = F.pmod(F.xxhash64("id", F.lit(turn // 2)), F.lit(2)) == turn % 2
             new = now.join(pick, "id").select("id", "k", F.when(moves & (F.col("p.v") > F.col("stay")), -F.col("p.m")).otherwise(F.col("c")).alias("c"))
             new = scratch.store(new, "level")
+            scratch.drop(sums)
             score = quality(new)
             if score > best + gain:
                 now, best, stale = new, score, 0
@@ -66,7 +67,7 @@ def louvain(vertices: DataFrame, edges: DataFrame, weight: str | None = None, le
             break
         x = graph.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
         graph = scratch.store(x.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")), "graph")
-    smallest = placed.groupBy("community").agg(F.min("id").alias("name"))
+    smallest = scratch.store(placed.groupBy("community").agg(F.min("id").alias("name")), "smallest")
     return placed.join(smallest, "community").select("id", F.col("name").alias("community"))
 
 

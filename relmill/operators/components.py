@@ -44,5 +44,5 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     members = cur.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = cur.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     known = members.unionByName(roots)
-    alone = loops.select(F.col("u").alias("node")).join(known.select("node"), "node", "left_anti")
+    alone = loops.select(F.col("u").alias("node")).join(scratch.shuffled(known.select("node")), "node", "left_anti")
     return known.unionByName(alone.select("node", F.col("node").alias("component")))

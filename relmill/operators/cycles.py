@@ -79,7 +79,7 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component, size, on_cycle): component is the smallest id of those that reach each other; a vertex is on a
     cycle if its component has several or it has an edge to itself. Edges of other vertices add theirs; null ends are left
     out; repeated vertices and edges count once."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     known = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
     ids = scratch.store(vertices.select("id").where("id is not null").unionByName(known.select(F.explode(F.array("src", "dst")).alias("id"))).distinct(), "vertices")
     loops = scratch.store(known.where("src = dst").select(F.col("src").alias("id"), F.lit(True).alias("loop")), "loops")
@@ -105,6 +105,6 @@ def strong_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
             settled = scratch.store(settled.join(own.select("node"), "node", "left_anti").unionByName(own), "settled")
         of = ids.select(F.col("id").alias("node")).join(settled.withColumnRenamed("component", "_c"), "node", "left").select("node", F.coalesce("_c", "node").alias("component"))
     of = scratch.store(of, "components")
-    sizes = of.groupBy("component").agg(F.min("node").alias("_least"), F.count("*").alias("size"))
+    sizes = scratch.store(of.groupBy("component").agg(F.min("node").alias("_least"), F.count("*").alias("size")), "sizes")  # plain shuffles: a giant component is split
     out = of.join(sizes, "component").join(loops.withColumnRenamed("id", "node"), "node", "left")
     return out.select(F.col("node").alias("id"), F.col("_least").alias("component"), "size", (F.coalesce("loop", F.lit(False)) | (F.col("size") > 1)).alias("on_cycle"))

@@ -17,7 +17,7 @@ def paths(found: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     found: (source, id, pred) of bfs_levels or shortest_paths. wanted: (source, target), all of ``found`` if not
     given. Pairs without a path are absent. All paths step back by one vertex a round.
     """
-    scratch = Scratch(found.sparkSession)
+    scratch = Scratch(found.sparkSession, merge=True)
     steps = scratch.store(found.select("source", F.col("id").alias("node"), "pred"), "steps")
     pairs = steps.select("source", F.col("node").alias("target")) if wanted is None else wanted.select("source", "target").distinct()
     now = pairs.select("source", "target", F.col("target").alias("node"), F.array(F.col("target").cast("long")).alias("path"))
@@ -55,7 +55,7 @@ def nearest_source(edges: DataFrame, sources: DataFrame, weight: str | None = No
     All sources start one frontier at 0, so a vertex has one row however many they are. A round stores only the vertices that
     came nearer; every ``compact`` rounds the layers become one table and the old ones go.
     """
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     pairs = edges.select("src", "dst", w.alias("w"))
     if not directed:
@@ -66,7 +66,7 @@ def nearest_source(edges: DataFrame, sources: DataFrame, weight: str | None = No
     known = lambda: layers[0] if len(layers) == 1 else reduce(DataFrame.unionByName, layers).groupBy("id").agg(F.min("distance").alias("distance"))
     while True:
         offer = fresh.withColumnRenamed("id", "src").join(pairs, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("w")).alias("_d"))
-        better = offer.join(known(), "id", "left").where(F.col("distance").isNull() | (F.col("_d") < F.col("distance")))
+        better = offer.join(scratch.shuffled(known()), "id", "left").where(F.col("distance").isNull() | (F.col("_d") < F.col("distance")))
         fresh = scratch.store(better.select("id", F.col("_d").alias("distance")), "layer")
         if not fresh.take(1):
             return known()

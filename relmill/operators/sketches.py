@@ -17,7 +17,7 @@ def neighbourhoods(vertices: DataFrame, edges: DataFrame, precision: int = 12, h
     """(id, hop, reached): an estimate of the number of nodes within ``hop`` steps, itself included, for every hop at
     which it grows; hop 0 is one. The error is about 1.04 / sqrt(2^precision); small sets are exact. Without ``hops`` it runs
     until nothing grows. Edges from or to other vertices are left out; repeated vertices count once."""
-    scratch = Scratch(edges.sparkSession)
+    scratch = Scratch(edges.sparkSession, merge=True)
     ids = scratch.store(vertices.select("id").where("id is not null").distinct(), "vertices")
     ends = edges.select("src", "dst").where("src <> dst").distinct()
     ends = ends.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")

@@ -130,3 +130,25 @@ def test_quantiser(spark):
     near = {x.id: x.code for x in again.assign(v).collect()}
     assert len(set(near.values())) == 3 and all(near[i] == near[i % 3] for i in range(300))
     assert book.update(v.limit(0)) == 0.0 and again == book
+
+
+def test_loops_send_no_tables_by_way_of_the_driver(spark, monkeypatch):
+    from relmill.operators import communities, paths
+
+    plans, store = [], Scratch.store
+
+    def watched(self, df, *args, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(self, df, *args, **kw)
+
+    pairs = [(i, i + 1, 1.0) for i in range(6)] + [(5, 0, 1.0), (8, 9, 2.0)]
+    v = spark.createDataFrame([(i,) for i in range(10)], "id long")
+    e = spark.createDataFrame(pairs, "src long, dst long, weight double")
+    monkeypatch.setattr(Scratch, "store", watched)
+    assert paths.all_pairs(v, e).where("source = 0").count() == 7
+    paths.paths(analytics.bfs_levels(e, v))
+    analytics.betweenness(v, e)
+    communities.louvain(v, e)
+    cycles.strong_components(v, e)
+    assert sum("SortMergeJoin" in p for p in plans) > 20
+    assert not [p for p in plans if "BroadcastHashJoin" in p]

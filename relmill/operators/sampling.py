@@ -29,7 +29,7 @@ def neighbour_sample(edges: DataFrame, seeds: DataFrame, fanouts: list[int], see
     for hop, fanout in enumerate(fanouts, 1):
         draw = _digest(F.col("src").cast("string"), F.col("dst").cast("string"), F.lit(f"{seed}:{hop}"))
         order = [F.col("etime").desc(), F.col("_d"), F.col("src")] if recent_first else [F.col("_d"), F.col("src")]
-        picked = pairs.join(frontier, "dst", "left_semi").withColumn("_d", draw)
+        picked = pairs.join(frontier.hint("merge"), "dst", "left_semi").withColumn("_d", draw)
         picked = picked.withColumn("_k", F.row_number().over(Window.partitionBy("dst").orderBy(*order))).where(F.col("_k") <= fanout)
         picked = scratch.store(picked.select(F.lit(hop).alias("hop"), "src", "dst"), "hop")
         out = picked if out is None else out.unionByName(picked)

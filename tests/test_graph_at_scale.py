@@ -5,8 +5,10 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from relmill.operators import analytics, colouring, cycles, quantiser, sketches, walks
+from relmill.plans.catalog import order_edges
 from relmill.staging import Scratch
 
 
@@ -152,3 +154,14 @@ def test_loops_send_no_tables_by_way_of_the_driver(spark, monkeypatch):
     cycles.strong_components(v, e)
     assert sum("SortMergeJoin" in p for p in plans) > 20
     assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_order_edges_are_dealt_by_rows(spark, tmp_path):
+    """Columns of ids take few bytes, and parts sized by bytes would hold millions of rows."""
+    n = 4_000_000
+    line = spark.range(n).select((F.col("id") / 4).cast("long").alias("l_orderkey"), (F.col("id") % 20_000).alias("l_partkey"), F.lit(1.0).alias("l_quantity"))
+    order = spark.range(n // 4).select(F.col("id").alias("o_orderkey"), (F.col("id") % 50_000).alias("o_custkey"), F.lit("1999-01-01").cast("timestamp_ntz").alias("o_orderdate"))
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    order.write.parquet(f"{tmp_path}/orders.parquet")
+    parts = [r["n"] for r in order_edges(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(parts) == n and max(parts) < 700_000

@@ -9,6 +9,7 @@ from relmill.operators import graph
 from relmill.operators.tasks import hash_split
 from relmill.plans import gnn
 from relmill.sources.tables import synthetic_shop
+from relmill.staging import Scratch
 
 
 def small(spark, seed=0):
@@ -173,3 +174,19 @@ def test_features_know_nothing_newer(spark):
         return {r.node_id: r.x for r in gnn.node_features(db, graph.keyed_nodes(db), {"a": ["v"]}, at=10.0).collect()}
 
     assert features(7.0) == features(-1e9) == {0: [1.0, -1.0], 1: [1.0, 1.0], 2: [1.0, 0.0], 3: [1.0, 0.0]}
+
+
+def test_passes_do_not_shuffle_dealt_edges(spark):
+    """Edges are stored by source and by target once; only the nodes are shuffled in a join with them."""
+    scratch = Scratch(spark, merge=True)
+    rows = [(1, 10, 0), (2, 10, 0), (2, 11, 0), (10, 1, 1), (10, 2, 1), (11, 2, 1)]
+    by_source, by_target = gnn.dealt_edges(spark.createDataFrame(rows, "src long, dst long, etype int"), "sage", scratch)
+    want = sorted((*r, 1 / sum(x[1:] == r[1:] for x in rows)) for r in rows)
+    nodes = spark.range(100).withColumn("x", F.rand(1))
+    for df, key in ((by_source, "src"), (by_target, "dst")):
+        assert sorted(map(tuple, df.select("src", "dst", "etype", "w").collect())) == want
+        plan = df.join(nodes.withColumnRenamed("id", key), key)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "SortMergeJoin" in plan
+    scratch.drop(scratch.root)
+    assert not [x for x in spark.catalog.listTables() if x.name in scratch.tables.values() or x.name.startswith("relmill_")]
+    assert gnn.dealt_edges(spark.createDataFrame(rows, "src long, dst long, etype int"), "gat", scratch)[1] is None

@@ -58,9 +58,29 @@ def line_tokens(norm: pa.Array) -> pa.Array:
     return pa.array(out, pa.large_string())
 
 
-def _sketch(min_words: int, blocks: int):
-    """The judged lines of documents: numbers, two hashes, length, SimHash, keys and the normalised line."""
+def telling_words(h: np.ndarray, line: np.ndarray, size: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the telling words, or of all words of lines without any, their numbers by line and each line's first place."""
+    telling = size >= 4
+    use = telling | ~(np.bincount(line[telling], minlength=lines) > 0)[line]
+    n = np.bincount(line[use], minlength=lines)
+    return h[use], n, np.cumsum(n) - n
+
+
+def elected_keys(norm, blocks: int) -> np.ndarray:
+    """The ``blocks`` keys of every normalised line, in turn."""
     turns = mix(np.arange(1, ROWS * blocks + 1, dtype=np.uint64) * M2) | np.uint64(1)
+    h, _, begin = telling_words(*sized_hashes(line_tokens(norm)), len(norm))
+    keys = np.empty((len(norm), blocks), np.int64)
+    for b in range(blocks):
+        key = np.full(len(norm), b, np.uint64)
+        for turn in turns[b * ROWS : (b + 1) * ROWS]:
+            key = mix(key ^ np.minimum.reduceat(h * turn, begin))
+        keys[:, b] = (key >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+    return keys.ravel()
+
+
+def _sketch(min_words: int):
+    """The judged lines of documents: numbers, two hashes, length, SimHash and the normalised line."""
 
     def run(batches):
         for batch in batches:
@@ -80,25 +100,14 @@ def _sketch(min_words: int, blocks: int):
                 begin = np.cumsum(n) - n
                 place = (np.arange(len(h)) - np.repeat(begin, n)).astype(np.uint64)
                 h1, h2 = (np.add.reduceat(mix(h + place * m + M3), begin) for m in (M1, M2))
-                telling = size >= 4
-                use = telling | ~(np.bincount(line[telling], minlength=len(row)) > 0)[line]
-                h, line = h[use], line[use]
-                n = np.bincount(line, minlength=len(row))
-                begin = np.cumsum(n) - n
+                h, n, begin = telling_words(h, line, size, len(row))
                 votes = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), begin, axis=0, dtype=np.int32)
                 sig = np.packbits(votes * 2 > n[:, None], axis=1).view(np.uint64).ravel()
-                keys = np.empty((len(row), blocks), np.int64)
-                for b in range(blocks):
-                    key = np.full(len(row), b, np.uint64)
-                    for turn in turns[b * ROWS : (b + 1) * ROWS]:
-                        key = mix(key ^ np.minimum.reduceat(h * turn, begin))
-                    keys[:, b] = (key >> np.uint64(64 - KEY_BITS)).astype(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, blocks, dtype=np.int32)), pa.array(keys.ravel()))
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(line_no.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(words >= FUZZY_WORDS)]
-                    + [pc.utf8_length(norm).cast(pa.int32()), pa.array(sig.view(np.int64)), lists, norm.cast(pa.string())],
-                    ["doc_id", "line_no", "h1", "h2", "wordy", "len", "sig", "keys", "norm"],
+                    + [pc.utf8_length(norm).cast(pa.int32()), pa.array(sig.view(np.int64)), norm.cast(pa.string())],
+                    ["doc_id", "line_no", "h1", "h2", "wordy", "len", "sig", "norm"],
                 )
 
     return run
@@ -124,17 +133,16 @@ def _runs(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pairs, np.append(same, False) | np.append(False, same), ~np.append(False, same)
 
 
-def _messages(buckets: int):
+def _messages(buckets: int, blocks: int):
     """Keys of a batch by bucket; those that several of its lines share in bucket -1, and once in their own."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column("keys")
-            pairs = np.empty(len(lists.flatten()), PAIR)
-            pairs["key"] = lists.flatten().to_numpy(zero_copy_only=False)
-            pairs["rid"] = np.repeat(batch.column("rid").to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-            if not len(pairs):
+            if not batch.num_rows:
                 continue
+            pairs = np.empty(batch.num_rows * blocks, PAIR)
+            pairs["key"] = np.concatenate([elected_keys(part.column("norm"), blocks) for part in slices(batch, "norm")])
+            pairs["rid"] = np.repeat(batch.column("rid").to_numpy(zero_copy_only=False), blocks)
             pairs, met, first = _runs(pairs)
             out, names = [packed(pairs[met])], [-1]
             pairs = pairs[first]
@@ -288,8 +296,8 @@ def line_groups(
 ) -> tuple[DataFrame, DataFrame]:
     """All judged lines (h1, h2, doc_id, line_no, lid) and, for lines in a group of several, h1, h2 and keep."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    schema = "doc_id long, line_no int, h1 long, h2 long, wordy boolean, len int, sig long, keys array<long>, norm string"
-    lines = scratch.store(texts.mapInArrow(_sketch(min_words, blocks), schema).withColumn("rid", F.monotonically_increasing_id()), "lines")
+    schema = "doc_id long, line_no int, h1 long, h2 long, wordy boolean, len int, sig long, norm string"
+    lines = scratch.store(texts.mapInArrow(_sketch(min_words), schema).withColumn("rid", F.monotonically_increasing_id()), "lines")
     lid = (F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
     placed = lines.select("rid", "h1", "h2", "doc_id", "line_no", lid.alias("lid"))
 
@@ -298,10 +306,10 @@ def line_groups(
     equal = scratch.store(equal.select("h1", "h2", "rid", "lid"), "equal-lines")
     few = equal.count() <= 500_000  # their list is broadcast only if it is short
     first = equal.select("h1", "h2", F.col("rid").alias("_first"))
-    compared = lines.where(F.col("wordy") | (F.col("len") >= min_chars)).select("rid", "h1", "h2", "keys")
-    compared = compared.join(F.broadcast(first) if few else first.hint("merge"), ["h1", "h2"], "left").where("_first is null or _first = rid").select("rid", "keys")
+    compared = lines.where(F.col("wordy") | (F.col("len") >= min_chars)).select("rid", "h1", "h2", "norm")
+    compared = compared.join(F.broadcast(first) if few else first.hint("merge"), ["h1", "h2"], "left").where("_first is null or _first = rid").select("rid", "norm")
     buckets = max(8, -(-lines.count() * blocks // BUCKET_KEYS))
-    sent = scratch.store(compared.mapInArrow(_messages(buckets), "bucket int, data binary"), "key-messages")
+    sent = scratch.store(compared.mapInArrow(_messages(buckets, blocks), "bucket int, data binary"), "key-messages")
     met = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, "key long, id long")
     shared = scratch.store(met.unionByName(sent.where("bucket < 0").select("data").mapInArrow(_open, "key long, id long")).distinct(), "shared-keys")
     members = shared.join(lines.select(F.col("rid").alias("id"), "sig", "len").hint("merge"), "id")
@@ -319,7 +327,7 @@ def line_groups(
         return pairs.join(side("a"), "a").join(side("b"), "b").repartition(tasks).mapInArrow(_similar(similarity), "a long, b long")
 
     scratch.drop(sent)
-    groups = linked_groups(members, scratch, verify, fits, likely_first=True)
+    groups = linked_groups(members, scratch, verify, fits, likely_first=True, keys=shared)
     nodes = placed.join(groups.select(F.col("node").alias("rid"), "component").hint("merge"), "rid")
     held = nodes.select("h1", "h2", "rid", "lid", "component").unionByName(equal.withColumn("component", F.lit(None).cast("long")))
     held = held.groupBy("h1", "h2").agg(F.min("rid").alias("rid"), F.min("lid").alias("lid"), F.max("component").alias("component"))
@@ -342,7 +350,7 @@ def removed_lines(
     scratch = Scratch(docs.sparkSession)
     seen, keep = line_groups(docs, scratch, id_col, text_col, similarity, min_words, blocks, most_bits, min_chars)
     gone = seen.join(keep.hint("merge"), ["h1", "h2"]).where("lid <> keep").select("doc_id", "line_no")
-    out = scratch.store(gone.distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("lines")), "removed-lines")
+    out = scratch.store(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("lines")), "removed-lines")
     scratch.drop_since(0, out)
     return out
 

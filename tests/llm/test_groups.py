@@ -2,9 +2,11 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from relmill.llm import common, line_dedup
 from relmill.llm.common import Scratch, dealt_rank, linked_groups
 from relmill.llm.embedding_dedup import embedding_dedup, reaches
 from relmill.llm.exact_dedup import exact_dedup
@@ -85,3 +87,32 @@ def test_cosine_at_the_threshold(spark):
         out = {r.vec_id: r for r in embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
         assert (out[1].component_id == 0) == exact and out[0].n_links == int(exact)
     assert reaches([1.0, 0.0], [t + 4e-13, y], t) and not reaches([1.0, 0.0], [t - 4e-13, y], t)
+
+
+def test_links_are_added_to_groups(spark, monkeypatch):
+    """Groups and more links give what all links give at once, while only the components that they join meet again."""
+    r = random.Random(4)
+    old = [(i, i + 1) for i in range(100, 200)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)]
+    new = [(120, 5), (7, 6), (350, 130), (500, 501), (501, 502)]
+    table = lambda links: spark.createDataFrame([p for p in links if p[0] != p[1]], "a long, b long")
+    scratch = Scratch(spark)
+    groups = scratch.store(common.connected_components(table(old), scratch), "groups")
+    met, whole = [], common.connected_components
+    monkeypatch.setattr(common, "connected_components", lambda edges, scratch: met.append(edges.count()) or whole(edges, scratch))
+    out = common.joined_groups(groups, table(new), scratch)
+    got, want = {x.node: x.component for x in out.collect()}, components(600, old + new)
+    assert out.count() == len(got) and got == {i: want[i] for p in old + new if p[0] != p[1] for i in p}
+    assert met == [len(new)]
+
+
+def test_no_keys_are_stored_with_lines():
+    """Keys are elected from the lines that are compared: every one has them, equal lines the same ones."""
+    text = "some words of this line\nsome words of this line\nquite another one here"
+    (lines,) = line_dedup._sketch(1)([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})])
+    assert "keys" not in lines.schema.names and lines.num_rows == 3
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), lines.column("norm")], ["rid", "norm"])
+    (sent,) = line_dedup._messages(8, 20)([batch, batch.slice(0, 0)])
+    data = dict(zip(sent.column("bucket").to_pylist(), sent.column("data").to_pylist(), strict=True))
+    met = line_dedup.unpacked([data.pop(-1)])
+    assert sorted(met["rid"].tolist()) == [1] * 20 + [2] * 20 and len(set(met["key"].tolist())) == 20
+    assert sorted(line_dedup.unpacked(data.values())["rid"].tolist()) == [1] * 20 + [3] * 20

@@ -28,22 +28,35 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import M1, M2, M3, Scratch, linked_groups, mix, sized_hashes, slices
+from relmill.llm.common import LOWER, M1, M2, M3, Scratch, linked_groups, mix, raw, sized_hashes, slices
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ROWS = 4
 KEY_BITS = 48
 FUZZY_WORDS = 5
-PIECE_LETTERS = 1 << 19  # letters of pairs whose pieces are counted at once, about
+LETTERS = 1 << 19  # of pairs whose common ends are looked for at once, about
+GROUP_WORDS = 4096  # words of 64 rows that edit_distances holds at once, about
+ALPHABET = 256  # letters of which every pair has a table of its own
+#: ASCII letters in lower case and digits; other ASCII characters are spaces.
+PLAIN = np.array([LOWER[i] if i >= 128 or chr(i).isalnum() else 32 for i in range(256)], np.uint8)
+#: The eight bits of a byte, each in a byte of its own.
+BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 BUCKET_KEYS = 2_000_000  # keys of a bucket, on average: 32 MB
 #: Thai, Lao, Myanmar, Khmer, kana and Han.
 UNSPACED = re.compile("([฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿])(?=[฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿])")
 
 
 def normalised(lines: pa.Array) -> pa.Array:
-    """Runs of letters and digits, lower-cased, one space between them."""
-    return pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\pL\pN]+", " "))
+    """Runs of letters and digits, lower-cased, one space between them. ASCII lines are told by their bytes, at half the cost."""
+    lines = lines.cast(pa.large_string())
+    flags = pc.equal(pc.binary_length(lines), pc.utf8_length(lines)).to_numpy(zero_copy_only=False)
+    plain, other = (lines.filter(pa.array(x)) for x in (flags, ~flags))
+    data, offsets = raw(plain)
+    plain = pa.Array.from_buffers(pa.large_string(), len(plain), [None, pa.py_buffer(offsets), pa.py_buffer(PLAIN[data])])
+    out = pa.concat_arrays([pc.replace_substring_regex(plain, "  +", " "), pc.replace_substring_regex(pc.utf8_lower(other), r"[^\pL\pN]+", " ")])
+    place = np.where(flags, np.cumsum(flags), flags.sum() + np.cumsum(~flags)) - 1
+    return pc.utf8_trim_whitespace(out.take(pa.array(place, pa.int64())))
 
 
 def line_tokens(norm: pa.Array) -> pa.Array:
@@ -66,6 +79,17 @@ def telling_words(h: np.ndarray, line: np.ndarray, size: np.ndarray, lines: int)
     return h[use], n, np.cumsum(n) - n
 
 
+def simhashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of every line's n hashes the bits that more than half of them have. Eight votes are counted in one number, of 255 hashes at most."""
+    parts = -(-n // 255)
+    first = np.cumsum(parts) - parts
+    begin = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+    votes = np.stack([np.add.reduceat(BITS[x], begin) for x in np.ascontiguousarray(h.view(np.uint8).reshape(-1, 8).T)], axis=1).view(np.uint8)
+    if len(votes) > len(n):
+        votes = np.add.reduceat(votes, first, axis=0, dtype=np.int32)
+    return np.packbits(votes > (n // 2)[:, None], axis=1).view(np.uint64).ravel()
+
+
 def elected_keys(norm, blocks: int) -> np.ndarray:
     """The ``blocks`` keys of every normalised line, in turn."""
     turns = mix(np.arange(1, ROWS * blocks + 1, dtype=np.uint64) * M2) | np.uint64(1)
@@ -100,9 +124,8 @@ def _sketch(min_words: int):
                 begin = np.cumsum(n) - n
                 place = (np.arange(len(h)) - np.repeat(begin, n)).astype(np.uint64)
                 h1, h2 = (np.add.reduceat(mix(h + place * m + M3), begin) for m in (M1, M2))
-                h, n, begin = telling_words(h, line, size, len(row))
-                votes = np.add.reduceat(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1), begin, axis=0, dtype=np.int32)
-                sig = np.packbits(votes * 2 > n[:, None], axis=1).view(np.uint64).ravel()
+                h, n, _ = telling_words(h, line, size, len(row))
+                sig = simhashes(h, n)
                 ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(line_no.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(words >= FUZZY_WORDS)]
@@ -167,125 +190,194 @@ def _meet(table: pa.Table) -> pa.Table:
     return pa.table({"key": pairs["key"][met], "id": pairs["rid"][met]})
 
 
-def _core(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both without the ends that they have in common, which cost nothing."""
-    for turn in (1, -1):
-        n = min(len(x), len(y))
-        p, q = x[::turn][:n], y[::turn][:n]
-        unlike = np.flatnonzero(p != q)
-        same = int(unlike[0]) if len(unlike) else n
-        x, y = (x[same:], y[same:]) if turn == 1 else (x[: len(x) - same], y[: len(y) - same])
-    return x, y
-
-
-def edit_distances(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Levenshtein distances of pairs of code arrays, bit-parallel (Myers, 1999; blocks after Hyyro, 2003).
-
-    The columns' words of 64 rows depend on each other from top to bottom, so all words of all pairs advance
-    together, each one column behind the word above it."""
-    a, b = zip(*[_core(x, y) for x, y in zip(a, b, strict=True)], strict=True) if len(a) else (a, b)
-    out = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
-    todo = sorted((i for i in range(len(a)) if len(a[i]) and len(b[i])), key=lambda i: (len(a[i]), len(b[i])))
-    one, full = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
-    while todo:
-        width = -(-len(a[todo[0]]) // 64)
-        some = [i for i in todo[: max(1, 4096 // width)] if -(-len(a[i]) // 64) <= width + width // 8]
-        todo = todo[len(some) :]
-        m, n = np.array([len(a[i]) for i in some]), np.array([len(b[i]) for i in some])
-        p, w, cols = len(some), -(-int(m.max()) // 64), int(n.max())
-        pair = np.repeat(np.arange(p), m)
-        codes, local = np.unique(pair.astype(np.int64) << 32 | np.concatenate([a[i] for i in some]).astype(np.int64), return_inverse=True)
-        start = np.searchsorted(codes, np.arange(p).astype(np.int64) << 32)
-        letters = int(np.bincount((codes >> 32).astype(np.int64), minlength=p).max()) + 1  # the last one is in no pattern
-        at = np.arange(len(pair)) - np.repeat(np.cumsum(m) - m, m)
-        peq = np.zeros((p, letters, w), np.uint64)
-        np.bitwise_or.at(peq, (pair, local - start[pair], at >> 6), one << (at & 63).astype(np.uint64))
-        # a column's letters as places in peq, last column first: the words at hand read a slice of it from left to right
-        text = np.full((p, cols), (letters - 1) * w, np.int64)
-        pair = np.repeat(np.arange(p), n)
-        want = pair.astype(np.int64) << 32 | np.concatenate([b[i] for i in some]).astype(np.int64)
-        found = np.minimum(np.searchsorted(codes, want), len(codes) - 1)
-        text[pair, np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)] = np.where(codes[found] == want, found - start[pair], letters - 1) * w
-        text = np.ascontiguousarray(text[:, ::-1]) + (np.arange(p) * (letters * w))[:, None]
-        flat, words = peq.ravel(), np.arange(w)
-        vp, vn = np.full((p, w), full), np.zeros((p, w), np.uint64)
-        last = (m - 1) >> 6
-        top = np.full((p, w), np.uint64(63))
-        top[np.arange(p), last] = ((m - 1) & 63).astype(np.uint64)
-        up, down = np.ones((p, w + 1), np.uint64), np.zeros((p, w + 1), np.uint64)  # +1 or -1 that enters each word from above
-        every, score = np.arange(p), m.copy()
-        for t in range(cols + w - 1):
-            lo, hi = max(0, t - cols + 1), min(w, t + 1)  # words that have a column at hand
-            s = slice(lo, hi)
-            eq, pv, mv, plus, minus = flat.take(text[:, cols - 1 - t + lo : cols - 1 - t + hi] + words[s]), vp[:, s], vn[:, s], up[:, s], down[:, s]
-            xv = eq | mv
-            eq |= minus
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph, mh = mv | ~(xh | pv), pv & xh
-            more, less = (ph >> top[:, s]) & one, (mh >> top[:, s]) & one
-            at_last = (last >= lo) & (last < hi) & (t - last < n)
-            if at_last.any():
-                own = every[at_last]
-                score[own] += more[own, last[own] - lo].astype(np.int64) - less[own, last[own] - lo].astype(np.int64)
-            ph, mh = ph << one | plus, mh << one | minus
-            vp[:, s], vn[:, s] = mh | ~(xv | ph), ph & xv
-            up[:, lo + 1 : hi + 1], down[:, lo + 1 : hi + 1] = more, less
-        out[some] = score
+def places(n: np.ndarray) -> np.ndarray:
+    """The places 0, 1, ... in each of runs of n."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _trimmed(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray) -> list[np.ndarray]:
+    """Codes and lengths of both sides without the ends that the lines of a pair have in common, which cost nothing."""
+    out = [a[:0]], [na[:0]], [b[:0]], [nb[:0]]
+    ends, cuts = (np.cumsum(na), np.cumsum(nb)), [*np.flatnonzero(np.diff((np.cumsum(na) + np.cumsum(nb)) // LETTERS, prepend=-1)).tolist(), len(na)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        sizes, stops, same = [x[lo:hi] for x in (na, nb)], [x[lo:hi] for x in ends], []
+        least = np.minimum(*sizes)
+        for last in (False, True):
+            pair, at = np.repeat(np.arange(hi - lo), least), places(least)
+            x, y = (e[pair] - 1 - at if last else (e - n)[pair] + at for e, n in zip(stops, sizes, strict=True))
+            unlike = np.flatnonzero(a[x] != b[y])
+            unlike = unlike[np.diff(pair[unlike], prepend=-1) > 0]  # the first of each pair
+            same.append(least.copy())
+            same[-1][pair[unlike]] = at[unlike]
+            least = least - same[-1]
+        for i, codes, e, n in zip((0, 2), (a, b), stops, sizes, strict=True):
+            left = n - same[0] - same[1]
+            out[i].append(codes[np.repeat(e - n + same[0], left) + places(left)])
+            out[i + 1].append(left)
+    return [np.concatenate(x) for x in out]
+
+
+def edit_distances(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray | None = None) -> np.ndarray:
+    """Levenshtein distances of pairs of code arrays; with ``most`` they are exact up to it, and some number above it beyond."""
+    flat = lambda x: (np.concatenate([*x, np.zeros(0, np.uint32)]), np.array([len(i) for i in x], np.int64))
+    return flat_distances(*flat(a), *flat(b), most)
+
+
+def flat_distances(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+    """As edit_distances, of lines that follow each other in a and b with lengths na and nb."""
+    a, na, b, nb = _trimmed(a, na, b, nb)
+    out = np.maximum(na, nb)
+    k = out if most is None else np.minimum(out, most)
+    todo = np.flatnonzero((np.minimum(na, nb) > 0) & (np.abs(na - nb) <= k))
+    if not len(todo):
+        return out
+    codes, alphabet = np.concatenate([a, b]), 1 << 32
+    if int(codes.max()) <= sys.maxunicode:
+        held = np.zeros(int(codes.max()) + 1, bool)
+        held[codes] = True
+        codes, alphabet = (np.cumsum(held) - 1)[codes], int(held.sum())
+    turned, every = (nb < na).astype(int), np.arange(len(na))  # rows are the shorter line's letters
+    sizes, begins = np.stack([na, nb]), np.stack([np.cumsum(na) - na, len(a) + np.cumsum(nb) - nb])
+    m, n, at_m, at_n = sizes[turned, every], sizes[1 - turned, every], begins[turned, every], begins[1 - turned, every]
+    width, off = (m + 63) >> 6, (k - n + m) // 2
+    todo = todo[np.lexsort((n[todo], width[todo]))]
+    wide, done = width[todo], 0
+    while done < len(todo):
+        w, i = int(wide[done]), todo[done]
+        held = min(w, int(2 * off[i] + n[i] - m[i]) // 64 + 2)
+        some = todo[done : min(done + max(1, min(GROUP_WORDS // held, (1 << 22) // (w * min(64 * w, alphabet)))), int(np.searchsorted(wide, w + w // 2, "right")))]
+        done += len(some)
+        out[some] = _aligned(codes.astype(np.int64, copy=False), alphabet, at_m[some], m[some], at_n[some], n[some], off[some])
+    return out
+
+
+def _aligned(codes: np.ndarray, alphabet: int, at_m: np.ndarray, m: np.ndarray, at_n: np.ndarray, n: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Edit distances, bit-parallel (Myers, 1999; blocks after Hyyro, 2003), of m letters from at_m on (rows) and n >= m from at_n on.
+
+    The columns' words of 64 rows depend on each other from top to bottom, so the words of all pairs advance together, each
+    one column behind the word above it. A path of k edits strays at most ``off`` = (k - n + m) / 2 from the diagonals of both
+    corners (Ukkonen, 1985), so a word works only in the columns where a pair's band crosses it. Outside every step costs one,
+    which is a path's cost as well: what comes out is never too small, and exact where the band holds the best path. Lines
+    of fewer words get a common start that changes nothing. A pair leaves once all that its paths can go on from costs more than k."""
+    one, full, p, width = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF), len(m), (m + 63) >> 6
+    w = int(width.max())
+    front = 64 * (w - width)
+    pair, other = np.repeat(np.arange(p), m), np.repeat(np.arange(p), n)
+    x, row = codes[at_m[pair] + places(m)], places(m) + front[pair]
+    y, col = codes[at_n[other] + places(n)], places(n) + front[other]
+    letters = alphabet
+    if alphabet > ALPHABET:  # letters by the pair; those that are in no row are alike
+        known, x = np.unique(pair << 32 | x, return_inverse=True)
+        start = np.searchsorted(known, np.arange(p) << 32)
+        x, want, letters = x - start[pair], other << 32 | y, int(np.diff(start, append=len(known)).max()) + 1
+        found = np.minimum(np.searchsorted(known, want), len(known) - 1)
+        y = np.where(known[found] == want, found - start[other], letters - 1)
+    peq = np.zeros((p, letters + 1, w), np.uint64)  # the last letter is that of the common starts
+    np.bitwise_or.at(peq, (pair, x, row >> 6), one << (row & 63).astype(np.uint64))
+    for i in range(w - int(width.min())):
+        peq[width < w - i, letters, i] = full
+    above, below, k, n, m = int((off + n - m).max()), int(off.max()), 2 * off + n - m + 1, n + front, m + front
+    cols, words = int(n.max()), np.arange(w)
+    # a column's letters as places in peq, last column first: the words at hand read a slice of it from top to bottom
+    text = np.tile((np.arange(p) * (letters + 1) + letters) * w, (cols, 1))
+    text[cols - 1 - col, other] = (other * (letters + 1) + y) * w
+    flat, down_to = peq.ravel(), words[:, None]
+    first, last = np.maximum(0, 64 * words - below), np.minimum(cols - 1, 64 * words + 63 + above)  # columns of each word
+    steps = cols + w - 1
+    los, his = np.searchsorted(last + words, np.arange(steps)).tolist(), np.searchsorted(first + words, np.arange(steps), "right").tolist()
+    lowest = np.searchsorted(first, np.arange(cols), "right") - 1
+    told = np.full(steps, -1)  # the word whose last row a step adds up: the lowest one of its column
+    told[np.arange(cols) + lowest] = lowest
+    vp, vn = np.full((w, p), full), np.zeros((w, p), np.uint64)
+    up, down = np.ones((w + 1, p), np.uint64), np.zeros((w + 1, p), np.uint64)  # +1 or -1 that enters each word from above
+    top, end, least, score, before = np.uint64(63), ((m - 1) & 63).astype(np.uint64), int(n.min()), m.copy(), 0
+    out, own = k + 1, np.arange(p)
+    for t, (lo, hi, low) in enumerate(zip(los, his, told.tolist(), strict=True)):
+        if lo >= hi:
+            continue
+        if lo != before:  # the word above has left the band
+            up[lo], down[lo], before = one, 0, lo
+        eq, pv, mv, plus, minus = flat.take(text[cols - 1 - t + lo : cols - 1 - t + hi] + down_to[lo:hi]), vp[lo:hi], vn[lo:hi], up[lo:hi], down[lo:hi]
+        xv = eq | mv
+        eq |= minus
+        xh = eq & pv
+        xh += pv
+        xh ^= pv
+        xh |= eq
+        ph = xh | pv
+        np.invert(ph, ph)
+        ph |= mv
+        mh = pv & xh
+        more, less = ph >> top, mh >> top
+        if hi == w:
+            more[-1], less[-1] = (ph[-1] >> end) & one, (mh[-1] >> end) & one
+        if low >= 0:
+            change = more[low - lo].view(np.int64) - less[low - lo].view(np.int64)
+            score += change if t - low < least else np.where(n > t - low, change, 0)
+        ph <<= one
+        ph |= plus
+        mh <<= one
+        mh |= minus
+        np.bitwise_and(ph, xv, mv)
+        ph |= xv
+        np.invert(ph, ph)
+        np.bitwise_or(mh, ph, pv)
+        up[lo + 1 : hi + 1], down[lo + 1 : hi + 1] = more, less
+        if t % 64 == 63 and low == hi - 1:
+            over = n <= t - low
+            gone = over | (_least_costs(vp, vn, up, down, lo, hi, t, n - m, score - np.maximum(m - 64 * hi, 0), end if hi == w else None) > k)
+            if 4 * gone.sum() >= len(own):
+                out[own[over]] = score[over]
+                own, n, m, k, end, score = (x[~gone] for x in (own, n, m, k, end, score))
+                if not len(own):
+                    break
+                text, vp, vn, up, down = (x[:, ~gone] for x in (text[: cols - 1 - t + hi], vp, vn, up, down))
+    out[own] = score
     return out
 
 
-def _shared_pieces(a: list[np.ndarray], b: list[np.ndarray], q: int) -> np.ndarray:
-    """Number of runs of q letters, by 32-bit hashes, that the two lines of each pair have in common."""
-    counted = []
-    for side in (a, b):
-        n = np.array([len(x) for x in side], np.int64)
-        codes = np.concatenate([*side, np.zeros(0, np.uint32)]).astype(np.uint64)
-        pieces = codes.copy()
-        for k in range(1, min(q, len(codes))):
-            pieces[:-k] = mix(pieces[:-k] * M1 + codes[k:])
-        pair = np.repeat(np.arange(len(side)), n)
-        inside = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n) <= np.repeat(n, n) - q
-        counted.append(np.unique(pair[inside].astype(np.uint64) << np.uint64(32) | pieces[inside] >> np.uint64(32), return_counts=True))
-    (ka, na), (kb, nb) = counted
-    both, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    return np.bincount((both >> np.uint64(32)).astype(np.int64), np.minimum(na[i], nb[j]), len(a)).astype(np.int64)
+def _least_costs(vp, vn, up, down, lo: int, hi: int, t: int, drift: np.ndarray, cost: np.ndarray, end: np.ndarray | None) -> np.ndarray:
+    """A lower bound on the cost of every path through the columns that the words lo to hi - 1 have reached after step t.
+
+    ``cost`` is that of the last word's last row. The rows' steps lead from there to the ends of all words; neighbours differ by one
+    at most, so the 64 rows between two ends cost no less than half of what both cost less 64. A path that is not on the last
+    corner's diagonal, ``drift`` off the first one's, has as many edits to go."""
+    held = np.full((hi - lo, len(cost)), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    if end is not None:
+        held[-1] >>= np.uint64(63) - end
+    rise = np.bitwise_count(vp[lo:hi] & held).astype(np.int64) - np.bitwise_count(vn[lo:hi] & held)
+    turn = up[lo:hi].view(np.int64) - down[lo:hi].view(np.int64)  # from a word's first row to the column of the word above
+    back = np.cumsum((rise - turn)[::-1], axis=0)[::-1] - (rise - turn)
+    bottom = cost - back
+    ahead = (t + 1 - 65 * np.arange(lo, hi))[:, None] - drift
+    return ((2 * bottom - rise - 64) // 2 + np.maximum(np.maximum(ahead - 64, -ahead), 0) - 2).min(axis=0)
 
 
 def _similar(similarity: float):
     """Pairs (a, b, ta, tb) with an edit similarity in characters of at least ``similarity``.
 
-    The edit distance in words comes first, which costs a fortieth. It bounds the one in characters from above: as many of the
-    longest words as it counts, with a space each. Most true pairs are settled so. Strangers are told by their pieces of two
-    and three letters: an edit changes no more than q pieces of q letters, so lines within k edits share all but q k of them
-    (Ukkonen, 1992). Neither bound ever errs; what is left is aligned by characters."""
+    The edit distance in words comes first, which costs a fraction. It bounds the one in characters from above: as many of the
+    longest words as it counts, with a space each. Most true pairs are settled so; the bound never errs, and what is left is
+    aligned by characters, as far as the allowed distance reaches."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "ta", 8 << 20):
-                words, sizes = ([], []), ([], [])
-                for side, c in enumerate(("ta", "tb")):
+                rows, words, longest = part.num_rows, [], []
+                for c in ("ta", "tb"):
                     h, line, size = sized_hashes(part.column(c))
-                    cuts = np.searchsorted(line, np.arange(part.num_rows + 1))
-                    for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                        words[side].append((h[i:j] >> np.uint64(32)).astype(np.uint32))
-                        sizes[side].append(size[i:j])
-                unlike = edit_distances(*words)
-                chars = np.maximum(*(pc.utf8_length(part.column(c)).to_numpy(zero_copy_only=False) for c in ("ta", "tb")))
-                most = np.floor(chars * (1 - similarity) + 1e-9)
-                near = np.zeros(part.num_rows, bool)
-                for i, d in enumerate(unlike.tolist()):
-                    longest = np.concatenate([sizes[0][i], sizes[1][i]])
-                    near[i] = (np.partition(longest, -d)[-d:].sum() if 0 < d < len(longest) else longest.sum() * (d > 0)) + d <= most[i]
+                    words += [(h >> np.uint64(32)).astype(np.uint32), np.bincount(line, minlength=rows)]
+                    longest.append(line << 32 | (1 << 31) - size)
+                chars = [pc.utf8_length(part.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ta", "tb")]
+                most = np.floor(np.maximum(*chars) * (1 - similarity) + 1e-9).astype(np.int64)
+                longest, n = np.sort(np.concatenate(longest)), words[1] + words[3]
+                pair, cost = longest >> 32, np.cumsum((1 << 31) + 1 - (longest & 0xFFFFFFFF))
+                cost -= np.append(0, cost)[np.cumsum(n) - n][pair]
+                may = np.bincount(pair[cost <= most[pair]], minlength=rows)  # words that can differ within the bound
+                near = flat_distances(*words, may) <= may
                 later = np.flatnonzero(~near)
-                a, b = ([np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in part.column(c).take(pa.array(later, pa.int64())).to_pylist()] for c in ("ta", "tb"))
-                may = np.ones(len(later), bool)
-                letters = np.cumsum([len(x) + len(y) for x, y in zip(a, b, strict=True)]) // PIECE_LETTERS  # bounds the memory
-                cuts = [*np.flatnonzero(np.diff(letters, prepend=-1)).tolist(), len(later)]
-                for lo, hi in zip(cuts, cuts[1:], strict=False):
-                    for q in (3, 2):
-                        may[lo:hi] &= _shared_pieces(a[lo:hi], b[lo:hi], q) >= chars[later[lo:hi]] - q + 1 - q * most[later[lo:hi]]
-                later, a, b = later[may], [x for x, ok in zip(a, may, strict=True) if ok], [x for x, ok in zip(b, may, strict=True) if ok]
-                near[later] = edit_distances(a, b) <= most[later]
+                codes = [np.frombuffer("".join(part.column(c).take(pa.array(later, pa.int64())).to_pylist()).encode("utf-32-le"), np.uint32) for c in ("ta", "tb")]
+                near[later] = flat_distances(codes[0], chars[0][later], codes[1], chars[1][later], most[later]) <= most[later]
                 yield part.select(["a", "b"]).filter(pa.array(near))
 
     return run

@@ -28,7 +28,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relmill.llm.common import LOWER, M1, M2, M3, Scratch, linked_groups, mix, raw, sized_hashes, slices
+from relmill.llm.common import LOWER, M1, M2, M3, Scratch, linked_groups, mix, raw, sized_hashes, slices, span_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -71,6 +71,21 @@ def line_tokens(norm: pa.Array) -> pa.Array:
     return pa.array(out, pa.large_string())
 
 
+def spaced_hashes(norm: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sized_hashes of normalised lines with a word or more, whose words are told by the single spaces between them."""
+    data, offsets = raw(norm)
+    low = np.full(len(data) + 8, 32, np.uint8)
+    low[: len(data)] = data
+    first = np.zeros(len(data) + 1, bool)
+    first[1:] = low[: len(data)] == 32
+    first[offsets] = True
+    starts = np.flatnonzero(first[: len(data)])
+    n = np.diff(np.searchsorted(starts, offsets))
+    size = np.diff(starts, append=len(data)) - 1
+    size[np.cumsum(n) - 1] += 1  # no space follows a line's last word
+    return span_hashes(low, starts, size), np.repeat(np.arange(len(n)), n), size
+
+
 def telling_words(h: np.ndarray, line: np.ndarray, size: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the telling words, or of all words of lines without any, their numbers by line and each line's first place."""
     telling = size >= 4
@@ -93,7 +108,7 @@ def simhashes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
 def elected_keys(norm, blocks: int) -> np.ndarray:
     """The ``blocks`` keys of every normalised line, in turn."""
     turns = mix(np.arange(1, ROWS * blocks + 1, dtype=np.uint64) * M2) | np.uint64(1)
-    h, _, begin = telling_words(*sized_hashes(line_tokens(norm)), len(norm))
+    h, _, begin = telling_words(*spaced_hashes(line_tokens(norm)), len(norm))
     keys = np.empty((len(norm), blocks), np.int64)
     for b in range(blocks):
         key = np.full(len(norm), b, np.uint64)
@@ -119,7 +134,7 @@ def _sketch(min_words: int):
                 norm, row, line_no, words = norm.filter(pa.array(keep)), row[keep], line_no[keep], words[keep]
                 if not len(row):
                     continue
-                h, line, size = sized_hashes(line_tokens(norm))
+                h, line, size = spaced_hashes(line_tokens(norm))
                 n = np.bincount(line, minlength=len(row))
                 begin = np.cumsum(n) - n
                 place = (np.arange(len(h)) - np.repeat(begin, n)).astype(np.uint64)
@@ -390,7 +405,11 @@ def line_groups(
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     schema = "doc_id long, line_no int, h1 long, h2 long, wordy boolean, len int, sig long, norm string"
     lines = scratch.store(texts.mapInArrow(_sketch(min_words), schema).withColumn("rid", F.monotonically_increasing_id()), "lines")
-    lid = (F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
+    n, low, high = lines.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    if n and -(2**31) <= low and high < 2**31:  # a decimal costs several times as much
+        lid = F.shiftleft("doc_id", 32) + F.col("line_no")
+    else:
+        lid = (F.col("doc_id").cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)") + F.col("line_no")).cast("decimal(38,0)")
     placed = lines.select("rid", "h1", "h2", "doc_id", "line_no", lid.alias("lid"))
 
     # of equal lines, one stands for all
@@ -400,7 +419,7 @@ def line_groups(
     first = equal.select("h1", "h2", F.col("rid").alias("_first"))
     compared = lines.where(F.col("wordy") | (F.col("len") >= min_chars)).select("rid", "h1", "h2", "norm")
     compared = compared.join(F.broadcast(first) if few else first.hint("merge"), ["h1", "h2"], "left").where("_first is null or _first = rid").select("rid", "norm")
-    buckets = max(8, -(-lines.count() * blocks // BUCKET_KEYS))
+    buckets = max(8, -(-n * blocks // BUCKET_KEYS))
     sent = scratch.store(compared.mapInArrow(_messages(buckets, blocks), "bucket int, data binary"), "key-messages")
     met = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(_meet, "key long, id long")
     shared = scratch.store(met.unionByName(sent.where("bucket < 0").select("data").mapInArrow(_open, "key long, id long")).distinct(), "shared-keys")

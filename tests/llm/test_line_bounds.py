@@ -61,3 +61,16 @@ def test_normalised_lines_of_both_kinds():
     want = pc.utf8_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(lines), r"[^\pL\pN]+", " "))
     assert L.normalised(lines).equals(want) and L.normalised(lines[:0]).to_pylist() == [] and L.normalised(lines[3:4]).to_pylist() == ["é x"]
     assert len(sized_hashes(want)[0]) == sum(len(x.split()) for x in want.to_pylist())
+
+
+def test_hashes_of_spaced_lines():
+    norm = L.line_tokens(pa.array(["a", "some words of a line", "中文字 x", "é " * 40 + "end", "longer than eight bytes"], pa.large_string()))
+    for part in (norm, norm[1:3], norm[4:]):
+        assert all(np.array_equal(x, y) for x, y in zip(L.spaced_hashes(part), sized_hashes(part), strict=True))
+
+
+def test_ids_of_any_size(spark):
+    """Small ids are placed by whole numbers of 64 bits, larger ones by decimals; the first line stays in both."""
+    for ids in ((5, -7, 2**31 - 1), (5, -7, 2**31), (2**62, -(2**62), 0)):
+        docs = spark.createDataFrame([(i, f"own {k}\nthe very same line here") for k, i in enumerate(ids)], "doc_id long, text string")
+        assert {r.doc_id: r.lines for r in L.removed_lines(docs, min_words=1).collect()} == {i: [1] for i in ids if i != min(ids)}
